@@ -214,3 +214,14 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         live, nodes = moved, renamed
     least = nodes.groupBy("at").agg(F.min("node").alias("component"))
     return nodes.join(least, "at").select("node", "component")
+
+
+def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """``docs`` less the rows whose id is in ``ids``; only rows that the bounded filter lets through are joined.
+
+    Rows with a null id stay.
+    """
+    ids = stored(ids.select(column).where(F.col(column).isNotNull()).distinct(), "dropped")
+    may = KeyFilter(ids, column).may_contain(F.col(column))
+    rest = docs.where(may).join(ids, column, "left_anti").select(docs.columns)
+    return docs.where(~may).unionByName(rest)
