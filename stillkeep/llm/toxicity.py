@@ -37,7 +37,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _begins(word: str) -> list[str]:
-    return [word, *(word[:k] + "*" for k in range(3, 7) if len(word) > k)]
+    return [word, *(word[:k] + "*" for k in range(3, 9) if len(word) > k)]
 
 
 class Hits:
@@ -137,7 +137,7 @@ def fit_label_model(n: int, second: np.ndarray, balance: float) -> LabelModel:
     return LabelModel(balance, toxic, other, correlation, (fire - rest) / share, math.log(balance / (1 - balance)) + float((rest / share).sum()))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, float]:
+def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.02, rounds: int = 40) -> tuple[np.ndarray, float]:
     """Ridge logistic regression on soft labels by damped Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
     w = np.zeros(x.shape[1])
