@@ -34,6 +34,8 @@ NAMES = (
     "comment comments respond reply disqus discussion share sharing social related recommended more-stories widget tags pagination pager skip form search copyright legal"
 ).split()
 _NAME = re.compile(r"(?:^|[\s_-])(?:" + "|".join(sorted(map(re.escape, NAMES), key=len, reverse=True)) + r")(?:$|[\s_-]|\d)", re.I)
+_LAYOUT = re.compile(r"\b(?:with|has|no|without|entry|post|article)-[\w-]+")  # "with-sidebar", "post-header": how a part looks or which part of the article it is
+_COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|reply)(?:$|[\s_-]|\d)", re.I)
 _ROLE = re.compile(r"^(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert|alertdialog|menu|menubar|toolbar)$", re.I)
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
@@ -60,8 +62,9 @@ def _chrome(tag: str, attributes: str, in_article: bool) -> bool:
     own = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
     if tag in ("body", "html"):
         return False
+    named = _LAYOUT.sub(" ", f"{own.get('class', '')} {own.get('id', '')}")
     return bool(
-        _NAME.search(f"{own.get('class', '')} {own.get('id', '')}")
+        (_COMMENT if tag in ARTICLE else _NAME).search(named)
         or _ROLE.match(own.get("role", ""))
         or _HIDDEN.search(own.get("style", ""))
         or own.get("aria-hidden", "").lower() == "true"
@@ -191,7 +194,7 @@ def labelled_pages() -> Iterator[tuple[str, list[str]]]:
         yield f'<body><header><a href="/">Home</a> {_words(6)}</header><main><h1>The title</h1>{quoted}<h2>Part</h2><ul>{items}</ul>{comment}</main><aside><p>{_words(40)}</p>{links}</aside></body>', ["The title", *(f"{t} see there" for t in body), "Part", *body]
         yield f'<body><div id="cookie-notice"><p>{_words(30)}</p></div><article><header><h1>The title</h1></header>{paragraphs}<div class="share"><a href="#">Share</a></div></article><form><label>{_words(9)}</label></form></body>', ["The title", *body]
         yield f'<body><div>{_words(25)}</div><div>{_words(2)}</div><article><h1>The title</h1>{paragraphs}</article><div><p>{_words(33)}</p></div></body>', ["The title", *body]
-        yield f"<body><article>{quoted}</article></body>", [f"{t} see there" for t in body]
+        yield f'<body><nav>{menu}</nav><article>{quoted}<p><a href="/deep">A link alone</a></p></article>{links}</body>', [*(f"{t} see there" for t in body), "A link alone"]
         yield f"<body>{paragraphs}</body>", body
         # without one, parts named by class or id
         yield f'<body><div class="navbar">{menu}</div><div class="content"><h1>The title</h1>{paragraphs}</div><div class="sidebar"><p>{_words(45)}</p></div>{comment}<div id="footer">{_words(15)}</div></body>', ["The title", *body]
