@@ -7,17 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stillkeep.llm.common import stored, table
+from stillkeep.llm.common import stored, table, without
+from stillkeep.llm.decontaminate import decontaminate
 from stillkeep.llm.exact_dedup import exact_dedup
+from stillkeep.llm.near_dedup import near_dedup
 from stillkeep.llm.packing import packed_documents
+from stillkeep.llm.toxicity import fit_toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of 0.3 or more go; the model is fitted on the labels of these documents."""
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return docs.where(model.score()(F.col("text")) < 0.3)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays, the one with the largest doc_id."""
-    gone = exact_dedup(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, exact_dedup(docs).where(~F.col("kept")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one with the smallest doc_id; sets of five words, similarity of 0.8 or more."""
+    return without(docs, near_dedup(docs, words=5, num=80, den=100).where(~F.col("kept")))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, up to a fifth of its words edited, go."""
+    return without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +43,15 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed_documents(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", drop_copies), ("packing", pack)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
 
-#: No stage sequence with learned, approximate or tokenising stages can be written in SQL; tests compare with brute force.
+#: A learned score, a candidate search and a tokeniser are not SQL; the tests compare with brute force.
 ORACLE_SQL: str | None = None
 
 
