@@ -207,35 +207,14 @@ def _block_links(num: int, den: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return links
 
 
-def near_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100
+def linked_components(
+    bands: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, weigh: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
-    """Documents linked by den * |A & B| >= num * |A | B| on sets of ``words``-word shingles, and their components.
-
-    Returns one row per input row: ``id_col``, n_shingles, component_id (the smallest id reachable, itself
-    included), kept (its id is the component's). Other columns are neither read nor returned. A null or empty
-    text, or one of white space, has no shingle and is linked with nothing. Equal sets are always linked. Ids tell
-    different texts apart; rows repeated with one id belong to one component and are each kept or not by
-    it. A row without id belongs to the component of rows with its set, or to none (null). An empty table gives no rows.
+    """Components (node, component) of nodes that share a band key and whose sets are alike by num / den; single nodes are left out.
 
-    The candidate search misses a pair at the threshold with a chance below 5e-6 and a closer pair with less.
+    bands: distinct (node, key). sets_of: gives (node, items) for a table of wanted nodes, more nodes do no harm.
+    weigh: discards candidate pairs (u, v) before their sets are read.
     """
-    threshold = num / den
-    body = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
-    signed = stored(
-        body.mapInArrow(_signer(words, threshold), f"id {dict(body.dtypes)['id']}, n bigint, h1 bigint, h2 bigint, regs binary"),
-        "sketches",
-    )
-    kinds = stored(
-        signed.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("node"), F.first("regs").alias("regs")), "kinds"
-    )
-    rows, count = bands_for(threshold)
-    band = F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("band")
-    bands = (
-        kinds.where("node IS NOT NULL AND regs IS NOT NULL")
-        .select("node", "regs", band)
-        .select("node", F.xxhash64("band", F.substring("regs", F.col("band") * (2 * rows) + 1, F.lit(2 * rows))).alias("key"))
-    )
     buckets = stored(
         bands.groupBy("key")
         .agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor("node").alias("x"))
@@ -257,21 +236,13 @@ def near_dedup(
         .select("p.u", "p.v")
         .distinct()
     )
-    sketch = lambda end: kinds.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("regs").alias(f"r{end}"))
-    pairs = stored(
-        pairs.join(sketch("u"), "u").join(sketch("v"), "v").mapInArrow(_may_reach(threshold), "u bigint, v bigint"), "pairs"
-    )
+    pairs = stored(weigh(pairs) if weigh else pairs, "pairs")
     # larger buckets: families, compared in blocks
     large = buckets.where("k > 3").select("key", "a")
     family = components(bands.join(large, "key").select(F.col("a").alias("u"), F.col("node").alias("v")), "families")
     family = stored(family, "family")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(family.select("node")).distinct()
-    sets = stored(
-        body.where(KeyFilter(stored(wanted, "wanted"), "node").may_contain(F.col("id").cast("bigint")))
-        .mapInArrow(_sets(words), "node bigint, items array<bigint>")
-        .dropDuplicates(["node"]),
-        "sets",
-    )
+    sets = stored(sets_of(stored(wanted, "wanted")).dropDuplicates(["node"]), "sets")
     of = lambda end: sets.select(F.col("node").alias(end), F.col("items").alias(f"s{end}"))
     common = F.size(F.array_intersect("su", "sv"))
     confirmed = (
@@ -290,7 +261,48 @@ def near_dedup(
     )
     blocks = placed.join(sets, "node").groupBy("component", "i", "j")
     edges = confirmed.unionByName(blocks.applyInPandas(_block_links(num, den), "u bigint, v bigint"))
-    found = components(edges, "links").withColumnRenamed("component", "of_node")
+    return components(edges, "links")
+
+
+def near_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100
+) -> DataFrame:
+    """Documents linked by den * |A & B| >= num * |A | B| on sets of ``words``-word shingles, and their components.
+
+    Returns one row per input row: ``id_col``, n_shingles, component_id (the smallest id reachable, itself
+    included), kept (its id is the component's). Other columns are neither read nor returned. A null or empty
+    text, or one of white space, has no shingle and is linked with nothing. Equal sets are always linked. Ids tell
+    different texts apart; rows repeated with one id belong to one component and are each kept or not by
+    it. A row without id belongs to the component of rows with its set, or to none (null). An empty table gives no rows.
+
+    The candidate search misses a pair at the threshold with a chance below 5e-6 and a closer pair with less.
+    """
+    threshold = num / den
+    body = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
+    signed = stored(
+        body.mapInArrow(_signer(words, threshold), f"id {dict(body.dtypes)['id']}, n bigint, h1 bigint, h2 bigint, regs binary"),
+        "sketches",
+    )
+    kinds = stored(
+        signed.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("node"), F.first("regs").alias("regs")), "kinds"
+    )
+    rows, count = bands_for(threshold)
+    band = F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("band")
+    bands = (
+        kinds.where("node IS NOT NULL AND regs IS NOT NULL")
+        .select("node", "regs", band)
+        .select("node", F.xxhash64("band", F.substring("regs", F.col("band") * (2 * rows) + 1, F.lit(2 * rows))).alias("key"))
+    )
+    sketch = lambda end: kinds.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("regs").alias(f"r{end}"))
+
+    def weigh(pairs: DataFrame) -> DataFrame:
+        return pairs.join(sketch("u"), "u").join(sketch("v"), "v").mapInArrow(_may_reach(threshold), "u bigint, v bigint")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        may = KeyFilter(wanted, "node").may_contain(F.col("id").cast("bigint"))
+        return body.where(may).mapInArrow(_sets(words), "node bigint, items array<bigint>")
+
+    found = linked_components(bands, sets_of, num, den, weigh).withColumnRenamed("component", "of_node")
     classes = kinds.join(found, "node", "left").select("n", "h1", "h2", F.coalesce("of_node", "node").alias("component_id"))
     return signed.join(classes, ["n", "h1", "h2"], "left").select(
         F.col("id").alias(id_col),
