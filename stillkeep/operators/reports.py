@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _thousandths(name: str) -> Column:
+    """Rounded half up to three digits before it is printed, so the text does not hang on how a formatter breaks ties."""
+    return F.floor(F.col(name) * 1000 + 0.5) / 1000
+
+
 def technical_means(scenes: DataFrame, scored: DataFrame) -> DataFrame:
     """Candidates and mean technical score of each scene, 0 for an empty one; candidates of unknown scenes are ignored."""
     n = scored.groupBy("video_id", "scene_id").agg(F.count(F.lit(1)).alias("_n"), F.avg("technical").alias("_m"))
@@ -36,7 +41,7 @@ def batch_totals(results: DataFrame) -> DataFrame:
 
 def selection_summary(decided: DataFrame, requested: int | None) -> DataFrame:
     """Per video: selected, requested ("no quota" without one), rejected, and the selected lines in order."""
-    line = F.format_string("scene %d - %.3fs - score %.3f", F.col("scene_id").cast("int"), "t", "final_score")
+    line = F.format_string("scene %d - %.3fs - score %.3f", F.col("scene_id").cast("int"), _thousandths("t"), _thousandths("final_score"))
     lines = F.array_sort(F.collect_list(F.when(F.col("reason").isNull(), F.struct("selection_rank", line.alias("line")))))
     return decided.groupBy("video_id").agg(
         F.count_if(F.col("reason").isNull()).alias("n_selected"),
@@ -47,7 +52,7 @@ def selection_summary(decided: DataFrame, requested: int | None) -> DataFrame:
 
 
 def scene_lines(scenes: DataFrame) -> DataFrame:
-    text = F.format_string("scene %d: %.3fs -> %.3fs (%.3fs)", F.col("scene_id").cast("int"), "start_time", "end_time", "duration")
+    text = F.format_string("scene %d: %.3fs -> %.3fs (%.3fs)", F.col("scene_id").cast("int"), *map(_thousandths, ("start_time", "end_time", "duration")))
     return scenes.select("video_id", "scene_id", text.alias("line"))
 
 

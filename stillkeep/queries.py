@@ -650,12 +650,12 @@ def cs1(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "cs2_reasons",
-    f"""WITH {COMPOSITE_SQL} SELECT frame_index, row_number() OVER (PARTITION BY frame_index ORDER BY abs(score - 0.5::DOUBLE) * weight DESC, p) AS place, criterion, round(score, 6) AS score, weight,
-  round(score * weight, 6) AS contribution, detail FROM rs""",
+    f"""WITH {COMPOSITE_SQL} SELECT frame_index, row_number() OVER (PARTITION BY frame_index ORDER BY abs(score - 0.5::DOUBLE) * weight DESC, p) AS place, criterion, round(score, 9) AS score, weight,
+  round(score * weight, 9) AS contribution, detail FROM rs""",
 )
 def cs2(spark: SparkSession, d: str) -> DataFrame:
     rows = composite_frames(spark, d).select("frame_index", F.posexplode("reasons").alias("k", "r"))
-    return rows.select("frame_index", (F.col("k") + 1).alias("place"), "r.criterion", r6("score", F.col("r.score")), "r.weight", r6("contribution", F.col("r.contribution")), "r.detail")
+    return rows.select("frame_index", (F.col("k") + 1).alias("place"), "r.criterion", F.round("r.score", 9).alias("score"), "r.weight", F.round("r.contribution", 9).alias("contribution"), "r.detail")
 
 
 @query(
@@ -801,13 +801,13 @@ def ag4(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "ag5_selection_summary",
     f"""WITH {DECIDED_SQL} SELECT video_id, count(*) FILTER (reason IS NULL) AS n_selected, '5' AS requested, count(*) FILTER (reason IS NOT NULL) AS n_rejected,
-  coalesce(string_agg(printf('scene %d - %.3fs - score %.3f', scene_id, t, final_score), chr(10) ORDER BY place) FILTER (reason IS NULL), '') AS lines FROM de GROUP BY 1""",
+  coalesce(string_agg(printf('scene %d - %.3fs - score %.3f', scene_id, floor(t * 1000 + 0.5) / 1000, floor(final_score * 1000 + 0.5) / 1000), chr(10) ORDER BY place) FILTER (reason IS NULL), '') AS lines FROM de GROUP BY 1""",
 )
 def ag5(spark: SparkSession, d: str) -> DataFrame:
     return reports.selection_summary(decided_slice(spark, d), SELECT.count)
 
 
-@query("rp1_scene_lines", f"WITH RECURSIVE {SCENES_SQL} SELECT video_id, scene_id, printf('scene %d: %.3fs -> %.3fs (%.3fs)', scene_id, start_time, end_time, greatest(0, end_time - start_time)) AS line FROM sc")
+@query("rp1_scene_lines", f"WITH RECURSIVE {SCENES_SQL} SELECT video_id, scene_id, printf('scene %d: %.3fs -> %.3fs (%.3fs)', scene_id, floor(start_time * 1000 + 0.5) / 1000, floor(end_time * 1000 + 0.5) / 1000, floor(greatest(0, end_time - start_time) * 1000 + 0.5) / 1000) AS line FROM sc")
 def rp1(spark: SparkSession, d: str) -> DataFrame:
     return reports.scene_lines(found_scenes(spark, d))
 
