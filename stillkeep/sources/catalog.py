@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # A fixed list: suffixes of video files.
 VIDEO_SUFFIXES = (".avi", ".m4v", ".mkv", ".mov", ".mp4")
@@ -18,8 +17,6 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
 
 def catalog(files: DataFrame) -> DataFrame:
     """Video files by name, case folded; name and position (from 1, in name order)."""
-    from pyspark.sql import Window
-
     low = F.lower("name")
     videos = files.where(F.col("is_file") & F.regexp_extract(low, r"(\.[^./]+)$", 1).isin(*VIDEO_SUFFIXES))
     # names are split by their first two characters, so no window holds the whole folder
@@ -37,7 +34,7 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
 
 
 _TAGS = "struct<rotate:string,creation_time:string>"
-PROBE = T._parse_datatype_string(
+PROBE = (
     "streams array<struct<codec_type:string,codec_name:string,width:string,height:string,avg_frame_rate:string,nb_frames:string,bit_rate:string,"
     f"side_data_list:array<struct<rotation:string>>,tags:{_TAGS}>>, format struct<duration:string,bit_rate:string,tags:{_TAGS}>"
 )
