@@ -24,11 +24,9 @@ ROWS, BANDS = 5, 16
 def line_shingles(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(line number, hash) of every shingle of several lines at once; a shorter line is one shingle. Not distinct."""
     size = np.diff(starts)
-    wide = np.zeros(len(data) + SHINGLE, dtype=np.uint64)
+    wide = np.zeros(len(data) + SHINGLE, dtype=np.uint8)
     wide[: len(data)] = data
-    packed = np.zeros(len(data), dtype=np.uint64)
-    for k in range(SHINGLE):
-        packed |= wide[k : k + len(data)] << np.uint64(8 * k)
+    packed = np.ndarray((len(data),), "<u8", wide, strides=(1,)).copy()  # the eight bytes from each place on
     line = np.repeat(np.arange(len(size)), size)
     left = starts[1:][line] - np.arange(len(data))  # bytes from here to the line's end
     whole = left >= SHINGLE
@@ -46,19 +44,14 @@ def minhash(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     bins, lines = ROWS * BANDS, len(starts) - 1
     line, h = line_shingles(data, starts)
     least = np.full(lines * bins, np.iinfo(np.uint64).max, dtype=np.uint64)
-    np.minimum.at(least, line * bins + (mixed(h, 3) % np.uint64(bins)).astype(np.int64), h)
+    np.minimum.at(least, line * bins + (h % np.uint64(bins)).astype(np.int64), h)
     least = least.reshape(lines, bins)
-    empty = least == np.iinfo(np.uint64).max
-    # an empty bin takes the value of the next filled one, marked by the distance
-    away = np.zeros_like(least)
-    for _ in range(bins):
-        if not (empty & ~empty.all(axis=1, keepdims=True)).any():
-            break
-        nearer, far = np.roll(least, -1, axis=1), np.roll(away, -1, axis=1) + np.uint64(1)
-        gap = np.roll(empty, -1, axis=1)
-        fill = empty & ~gap
-        least[fill], away[fill] = nearer[fill], far[fill]
-        empty = empty & gap
+    # an empty bin takes the value of the next filled one, around the end, marked by the distance
+    own = np.arange(2 * bins)
+    filled = np.where(np.tile(least == np.iinfo(np.uint64).max, 2), 2 * bins, own)
+    nearest = np.minimum.accumulate(filled[:, ::-1], axis=1)[:, ::-1][:, :bins]
+    away = (nearest - own[:bins]).astype(np.uint64)
+    least = np.take_along_axis(least, nearest % bins, axis=1)
     values = mixed(least ^ (away * np.uint64(0x9E3779B97F4A7C15))).reshape(lines, BANDS, ROWS)
     key = np.zeros((lines, BANDS), dtype=np.uint64)
     for k in range(ROWS):
@@ -75,16 +68,28 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b, data, starts in text_slices(batch.column(1), 1 << 20):
-            line, h = line_shingles(data, starts)
-            both = np.unique(np.stack([line.astype(np.uint64), h], axis=1), axis=0)
-            ends = np.searchsorted(both[:, 0], np.arange(b - a + 1, dtype=np.uint64)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(both[:, 1].view(np.int64)))],
-                ["node", "items"],
-            )
+def line_sets(lines: pa.Array) -> list[np.ndarray]:
+    """The distinct shingle hashes of each line, sorted."""
+    out = []
+    for a, b, data, starts in text_slices(lines, 1 << 20):
+        line, h = line_shingles(data, starts)
+        order = np.lexsort((h, line))
+        line, h = line[order], h[order]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+        out += np.split(h[new].view(np.int64), np.cumsum(np.bincount(line[new], minlength=b - a))[:-1])
+    return out
+
+
+def _confirm(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = line_sets(batch.column("su")), line_sets(batch.column("sv"))
+            common = [len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(left, right, strict=True)]
+            keep = pa.array([den * c >= num * (len(a) + len(b) - c) for a, b, c in zip(left, right, common, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], ["u", "v"])
+
+    return confirm
 
 
 def lines_of(text: Column) -> Column:
@@ -109,17 +114,18 @@ def line_dedup(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     # ids and hashes are written once; texts are read again where a set is wanted
     places = stored(lines.select("doc_id", "line_no", F.when(~blank, node).alias("node")), "lines")
     real = lines.where(~blank).select(node.alias("node"), "line")
-    signed = real.mapInArrow(_sign, "node bigint, keys binary").distinct()
+    signed = stored(real.mapInArrow(_sign, "node bigint, keys binary").distinct(), "signatures")
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
     bands = signed.select("node", "keys", band).select(
         "node",
         F.xxhash64("band", F.substring("keys", F.col("band") * 4 + 1, F.lit(4))).alias("key"),
     )
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        return real.where(KeyFilter(wanted, "node").may_contain(F.col("node"))).mapInArrow(_sets, "node bigint, items array<bigint>")
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        return real.where(KeyFilter(wanted, "node").may_contain(F.col("node"))).select("node", F.col("line").alias("items"))
 
-    found = stored(linked_components(stored(bands, "bands"), sets_of, num, den), "components")
+    confirm = lambda pairs: pairs.mapInArrow(_confirm(num, den), "u bigint, v bigint")
+    found = stored(linked_components(bands, texts_of, num, den, confirm=confirm, as_sets=lambda x: line_sets(pa.array(x))), "components")
     first = (
         places.where("node IS NOT NULL")
         .groupBy("node")

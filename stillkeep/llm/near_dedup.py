@@ -172,11 +172,11 @@ def _may_reach(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return weigh
 
 
-def _block_links(num: int, den: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _block_links(num: int, den: int, as_sets: Callable[[pd.Series], list[np.ndarray]] | None = None) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def links(block: pd.DataFrame) -> pd.DataFrame:
         """A spanning forest of the links among the sets of a block pair, by exact intersection sizes."""
         nodes, k = block["node"].to_numpy(), len(block)
-        sets = [np.asarray(s, dtype=np.int64) for s in block["items"]]
+        sets = as_sets(block["items"]) if as_sets else [np.asarray(s, dtype=np.int64) for s in block["items"]]
         size = np.array([len(s) for s in sets], dtype=np.int64)
         owner = np.repeat(np.arange(k), size)
         _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -208,12 +208,19 @@ def _block_links(num: int, den: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 
 def linked_components(
-    bands: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, weigh: Callable[[DataFrame], DataFrame] | None = None
+    bands: DataFrame,
+    sets_of: Callable[[DataFrame], DataFrame],
+    num: int,
+    den: int,
+    weigh: Callable[[DataFrame], DataFrame] | None = None,
+    confirm: Callable[[DataFrame], DataFrame] | None = None,
+    as_sets: Callable[[pd.Series], list[np.ndarray]] | None = None,
 ) -> DataFrame:
     """Components (node, component) of nodes that share a band key and whose sets are alike by num / den; single nodes are left out.
 
     bands: distinct (node, key). sets_of: gives (node, items) for a table of wanted nodes, more nodes do no harm.
-    weigh: discards candidate pairs (u, v) before their sets are read.
+    weigh: discards candidate pairs (u, v) before their sets are read. confirm: keeps the linked of pairs with items su and sv,
+    as_sets: makes sets of items; both where items are not yet sets of integers.
     """
     buckets = stored(
         bands.groupBy("key")
@@ -238,20 +245,20 @@ def linked_components(
     )
     pairs = stored(weigh(pairs) if weigh else pairs, "pairs")
     # larger buckets: families, compared in blocks
-    large = buckets.where("k > 3").select("key", "a")
-    family = components(bands.join(large, "key").select(F.col("a").alias("u"), F.col("node").alias("v")), "families")
+    large = stored(buckets.where("k > 3").select("key", "a"), "large")
+    near = bands.where(KeyFilter(large, "key").may_contain(F.col("key")))  # most keys are in no large bucket
+    family = components(near.join(large, "key").select(F.col("a").alias("u"), F.col("node").alias("v")), "families")
     family = stored(family, "family")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(family.select("node")).distinct()
     sets = stored(sets_of(stored(wanted, "wanted")).dropDuplicates(["node"]), "sets")
     of = lambda end: sets.select(F.col("node").alias(end), F.col("items").alias(f"s{end}"))
-    common = F.size(F.array_intersect("su", "sv"))
-    confirmed = (
-        pairs.join(of("u"), "u")
-        .join(of("v"), "v")
-        .select("u", "v", common.alias("c"), (F.size("su") + F.size("sv") - common).alias("all"))
-        .where(F.col("c") * den >= F.col("all") * num)
-        .select("u", "v")
-    )
+    joined = pairs.join(of("u"), "u").join(of("v"), "v")
+    if confirm:
+        confirmed = confirm(joined)
+    else:
+        common = F.size(F.array_intersect("su", "sv"))
+        sizes = joined.select("u", "v", common.alias("c"), (F.size("su") + F.size("sv") - common).alias("all"))
+        confirmed = sizes.where(F.col("c") * den >= F.col("all") * num).select("u", "v")
     sizes = family.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = (
         family.join(sizes, "component")
@@ -260,7 +267,7 @@ def linked_components(
         .select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
     )
     blocks = placed.join(sets, "node").groupBy("component", "i", "j")
-    edges = confirmed.unionByName(blocks.applyInPandas(_block_links(num, den), "u bigint, v bigint"))
+    edges = confirmed.unionByName(blocks.applyInPandas(_block_links(num, den, as_sets), "u bigint, v bigint"))
     return components(edges, "links")
 
 
