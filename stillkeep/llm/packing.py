@@ -84,7 +84,16 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
 
 
 def pack_plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths that share a sequence) and how often each is used; every length is used exactly as often as it occurs."""
+    """Patterns (lengths that share a sequence) and how often each is used; every length is used exactly as often as it occurs.
+
+    Combinations of up to three lengths are consumed first; where stopping at two, one or none needs fewer sequences,
+    that plan is taken.
+    """
+    plans = (_plan(histogram, capacity, most) for most in (3, 2, 1, 0))
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
+def _plan(histogram: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         left[length] = n
@@ -115,12 +124,13 @@ def pack_plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int,
         if gap == 0:
             use((size,))
             continue
-        use((size, gap))
-        for a, b in pairs(gap):
+        if most > 0:
+            use((size, gap))
+        for a, b in pairs(gap) if most > 1 else ():
             if not left[size]:
                 break
             use((size, a, b))
-        if left[size]:
+        if left[size] and most > 2:
             for a in range(min(size, gap - 2), 0, -1):
                 if not left[size]:
                     break
