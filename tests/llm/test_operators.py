@@ -259,7 +259,7 @@ def test_licenses(spark):
     rows = [
         (1, "/a/LICENSE", "Released under the MIT License."),
         (2, "/a/b/x.py", "code"),
-        (3, "/a/b/y.py", "# Licensed under the Apache License, Version 2.0\ncode and more code here to be long"),
+        (3, "/a/b/y.py", "# Licensed under the Apache License, Version 2.0\n" + "code " * 40),
         (4, "/c/z.py", None),
         (5, None, "code"),
         (6, "/a/b/d/q.py", ""),
