@@ -125,7 +125,7 @@ def line_dedup(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
         return real.where(KeyFilter(wanted, "node").may_contain(F.col("node"))).select("node", F.col("line").alias("items"))
 
     confirm = lambda pairs: pairs.mapInArrow(_confirm(num, den), "u bigint, v bigint")
-    found = stored(linked_components(bands, texts_of, num, den, confirm=confirm, as_sets=lambda x: line_sets(pa.array(x))), "components")
+    found = stored(linked_components(bands, texts_of, num, den, confirm=confirm, as_sets=lambda x: line_sets(pa.array(x)), by_bucket=True), "components")
     first = (
         places.where("node IS NOT NULL")
         .groupBy("node")

@@ -215,16 +215,18 @@ def linked_components(
     weigh: Callable[[DataFrame], DataFrame] | None = None,
     confirm: Callable[[DataFrame], DataFrame] | None = None,
     as_sets: Callable[[pd.Series], list[np.ndarray]] | None = None,
+    by_bucket: bool = False,
 ) -> DataFrame:
     """Components (node, component) of nodes that share a band key and whose sets are alike by num / den; single nodes are left out.
 
     bands: distinct (node, key). sets_of: gives (node, items) for a table of wanted nodes, more nodes do no harm.
     weigh: discards candidate pairs (u, v) before their sets are read. confirm: keeps the linked of pairs with items su and sv,
-    as_sets: makes sets of items; both where items are not yet sets of integers.
+    as_sets: makes sets of items; both where items are not yet sets of integers. by_bucket: large buckets are compared each
+    by itself, which suits small items and many overlapping buckets; otherwise buckets that share nodes form a family first.
     """
     buckets = stored(
         bands.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor("node").alias("x"))
+        .agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("h"))
         .where("k > 1"),
         "buckets",
     )
@@ -245,9 +247,13 @@ def linked_components(
     )
     pairs = stored(weigh(pairs) if weigh else pairs, "pairs")
     # larger buckets: families, compared in blocks
-    large = stored(buckets.where("k > 3").select("key", "a"), "large")
+    # a bucket that other bands repeat with the same members is taken once
+    large = stored(buckets.where("k > 3").groupBy("k", "a", "b", "x", "h").agg(F.min("key").alias("key")).select("key", "a"), "large")
     near = bands.where(KeyFilter(large, "key").may_contain(F.col("key")))  # most keys are in no large bucket
-    family = components(near.join(large, "key").select(F.col("a").alias("u"), F.col("node").alias("v")), "families")
+    if by_bucket:
+        family = near.join(large, "key").select("node", F.col("key").alias("component"))
+    else:
+        family = components(near.join(large, "key").select(F.col("a").alias("u"), F.col("node").alias("v")), "families")
     family = stored(family, "family")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(family.select("node")).distinct()
     sets = stored(sets_of(stored(wanted, "wanted")).dropDuplicates(["node"]), "sets")
