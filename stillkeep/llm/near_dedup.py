@@ -186,8 +186,9 @@ def _block_links(num: int, den: int, as_sets: Callable[[pd.Series], list[np.ndar
         order = np.argsort(code, kind="stable")
         owner, code = owner[order], code[order]
         inter = np.zeros((k, k), dtype=np.float32)
-        wide = max(1, (1 << 22) // k)
-        for first in range(0, int(code[-1]) + 1 if len(code) else 0, wide):
+        codes = int(code[-1]) + 1 if len(code) else 0
+        wide = max(1, min(codes, (1 << 22) // k))
+        for first in range(0, codes, wide):
             a, b = np.searchsorted(code, [first, first + wide])
             rows = np.zeros((k, wide), dtype=np.float32)
             rows[owner[a:b], code[a:b] - first] = 1
