@@ -73,11 +73,11 @@ def line_sets(lines: pa.Array) -> list[np.ndarray]:
     out = []
     for a, b, data, starts in text_slices(lines, 1 << 20):
         line, h = line_shingles(data, starts)
-        order = np.lexsort((h, line))
-        line, h = line[order], h[order]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-        out += np.split(h[new].view(np.int64), np.cumsum(np.bincount(line[new], minlength=b - a))[:-1])
+        h = h[np.argsort(line, kind="stable")].view(np.int64)  # two ascending runs, so this only merges
+        ends = np.cumsum(np.bincount(line, minlength=b - a))
+        for one in np.split(h, ends[:-1]):
+            one.sort()
+            out.append(one[np.concatenate(([True], one[1:] != one[:-1]))] if len(one) else one)
     return out
 
 
