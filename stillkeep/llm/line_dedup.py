@@ -109,7 +109,7 @@ def line_dedup(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     apart by xxhash64 here; full shingle sets decide on links.
     """
     lines = docs.select("doc_id", lines_of(F.col("text")).alias("line_no", "line"))
-    blank = F.trim(F.regexp_replace("line", r"\s", " ")) == ""
+    blank = ~F.col("line").rlike(r"\S")  # looks no further than the first visible character
     node = F.xxhash64("line")
     # ids and hashes are written once; texts are read again where a set is wanted
     places = stored(lines.select("doc_id", "line_no", F.when(~blank, node).alias("node")), "lines")
