@@ -222,12 +222,15 @@ def linked_components(
 
     bands: distinct (node, key). sets_of: gives (node, items) for a table of wanted nodes, more nodes do no harm.
     weigh: discards candidate pairs (u, v) before their sets are read. confirm: keeps the linked of pairs with items su and sv,
-    as_sets: makes sets of items; both where items are not yet sets of integers. by_bucket: large buckets are compared each
-    by itself, which suits small items and many overlapping buckets; otherwise buckets that share nodes form a family first.
+    as_sets: makes sets of items; both where items are not yet sets of integers. by_bucket: only large buckets with the same
+    smallest node are compared as one, which suits small items and many overlapping buckets; otherwise all buckets that share
+    nodes form a family first.
     """
+    # tells whether two buckets have the same members
+    members = [] if by_bucket else [F.bit_xor(F.xxhash64("node")).alias("h")]
     buckets = stored(
         bands.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("h"))
+        .agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor("node").alias("x"), *members)
         .where("k > 1"),
         "buckets",
     )
@@ -249,10 +252,13 @@ def linked_components(
     pairs = stored(weigh(pairs) if weigh else pairs, "pairs")
     # larger buckets: families, compared in blocks
     # a bucket that other bands repeat with the same members is taken once
-    large = stored(buckets.where("k > 3").groupBy("k", "a", "b", "x", "h").agg(F.min("key").alias("key")).select("key", "a"), "large")
+    large = buckets.where("k > 3")
+    if not by_bucket:
+        large = large.groupBy("k", "a", "b", "x", "h").agg(F.min("key").alias("key"))
+    large = stored(large.select("key", "a"), "large")
     near = bands.where(KeyFilter(large, "key").may_contain(F.col("key")))  # most keys are in no large bucket
     if by_bucket:
-        family = near.join(large, "key").select("node", F.col("key").alias("component"))
+        family = near.join(large, "key").select("node", F.col("a").alias("component")).distinct()
     else:
         family = components(near.join(large, "key").select(F.col("a").alias("u"), F.col("node").alias("v")), "families")
     family = stored(family, "family")
