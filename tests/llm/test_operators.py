@@ -269,6 +269,16 @@ def test_licenses(spark):
     assert out[6]["inherited_from"] == "/a" and out[3]["inherited_from"] is None
 
 
+def test_licenses_of_every_template(spark):
+    own = {**licenses.TEMPLATES, **licenses.NAMES}
+    rows = [(k, f"/d{k}/x.py", "some code here\n" * 5 + line + "\n" + "more code\n" * 5) for k, line in enumerate([*own.values(), "All rights reserved."])]
+    rows += [(100 + k, f"/f{k}/x.py", "\n".join(" ".join(random.Random(k).choices(WORDS, k=12)) for _ in range(40))) for k in range(60)]
+    out = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    want = [re.sub("-(text|name)$", "", x) for x in own] + ["All-Rights-Reserved"]
+    assert [out[k]["own_license"] for k in range(len(want))] == want
+    assert all(out[100 + k]["own_license"] is None for k in range(60))
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     bad = ["idiot", "scum", "trash", "loser", "grobnik", "grobnal", "grobner"]
