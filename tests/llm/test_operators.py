@@ -279,6 +279,20 @@ def test_licenses_of_every_template(spark):
     assert all(out[100 + k]["own_license"] is None for k in range(60))
 
 
+def test_licenses_over_lines_and_inside_paragraphs(spark):
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\n"
+    prose = lambda k: " ".join(random.Random(k).choices(WORDS, k=60))
+    rows = [
+        (1, "/a/x.c", mpl + "int x;\n" * 30),
+        (2, "/b/x.txt", f"{prose(1)} Released under the MIT License {prose(2)}"),
+        (3, "/c/x.txt", f"{prose(3)}. Licensed under the Apache\nLicense, Version 2.0. {prose(4)}"),
+        (4, "/d/x.txt", prose(5)),
+    ]
+    out = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [out[k]["own_license"] for k in (1, 2, 3, 4)] == ["MPL-2.0", "MIT", "Apache-2.0", None]
+    assert not any(out[k]["is_license_file"] for k in (1, 2, 3, 4))
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     bad = ["idiot", "scum", "trash", "loser", "grobnik", "grobnal", "grobner"]
