@@ -16,6 +16,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -73,6 +74,14 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 _UNICODE_ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+={0,2}(?!\S))+")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+_URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~+/-])+")
+_URL_ONE = re.compile(r"%([0-9A-Fa-f]{2})|.", re.S)
+_ESCAPE = r"""\\x[0-9A-Fa-f]{2}|\\[abfnrtv0\\'"]|[ !#-&(-\[\]-~]"""  # printable ASCII stands for itself up to a quote
+_BYTES_RUN = re.compile(rf"""(?<=b')(?:{_ESCAPE}|")+|(?<=b")(?:{_ESCAPE}|')+|(?:{_ESCAPE})+""")
+_BYTES_ONE = re.compile(r"""\\x([0-9A-Fa-f]{2})|\\([abfnrtv0\\'"])|.""", re.S)
+_SHORT = {"a": 7, "b": 8, "f": 12, "n": 10, "r": 13, "t": 9, "v": 11, "0": 0, "\\": 92, "'": 39, '"': 34}
 
 
 def _url(text: str) -> tuple[str, Mapping] | None:
@@ -127,58 +136,211 @@ def _unicode(text: str) -> tuple[str, Mapping] | None:
     return "".join(made.out), made.back
 
 
-def _unpacked(raw: bytes, most: int) -> bytes | None:
-    """The content of gzip, zlib, bzip2, xz or zstd bytes, at most ``most`` of it; None if they are none of these."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, most)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, most)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(raw, most)
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            with zstandard.ZstdDecompressor().stream_reader(raw) as r:
-                return r.read(most)
-        if raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(raw, most)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None
-    except Exception as e:  # zstandard has its own class of errors
-        if type(e).__name__ == "ZstdError":
-            return None
-        raise
+PIECE = 1 << 20
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
+
+
+def _decoder(head: bytes):  # noqa: ANN202
+    """A new decompressor for bytes that begin like gzip, bzip2, xz, zstd or zlib; None if they do not."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompressobj()
+    if head[:1] == b"\x78" and len(head) > 1 and (head[0] * 256 + head[1]) % 31 == 0:
+        return zlib.decompressobj()
     return None
 
 
+def _member(d, buf: bytes, src: Iterator[bytes]) -> Iterator[bytes]:  # noqa: ANN001
+    """The content of one member or frame in small pieces; returns the bytes read beyond it."""
+    bounded = hasattr(d, "needs_input")
+    inflate = not bounded and hasattr(d, "copy")
+    while True:
+        if not buf and (not bounded or d.needs_input) and not (buf := next(src, b"")):
+            if inflate and (out := d.flush()):
+                yield out
+            return b""
+        if inflate:
+            out = d.decompress(buf, PIECE)
+            buf = d.unconsumed_tail
+        elif bounded:
+            out, buf = d.decompress(buf, PIECE), b""
+        else:  # zstd has no limit on what comes out, so little goes in
+            out, buf = d.decompress(buf[:1024]), buf[1024:]
+        if out:
+            yield out
+        if d.eof:
+            return d.unused_data + buf
+
+
+def _headed(src: Iterator[bytes], buf: bytes = b"") -> bytes:
+    """The first bytes, enough to tell a format by, as far as there are any."""
+    while len(buf) < 6 and (more := next(src, b"")):
+        buf += more
+    return buf
+
+
+def _members(buf: bytes, src: Iterator[bytes], rest: bool) -> Iterator[bytes]:
+    """The content of all members one after the other. Damaged data gives what precedes the damage; with ``rest``, bytes after the last member follow."""
+    while (d := _decoder(buf)) is not None:
+        try:
+            buf = yield from _member(d, buf, src)
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+            return
+        except Exception as e:  # zstandard has its own class of errors
+            if type(e).__name__ == "ZstdError":
+                return
+            raise
+        buf = _headed(src, buf.lstrip(b"\0"))  # padding between members
+    if rest and buf:
+        yield buf
+        yield from src
+
+
+def _unpacked(raw: bytes, rest: bool = True) -> Iterator[bytes] | None:
+    """The content of compressed bytes, unpacked as often as they are compressed, in pieces; None if they are not compressed."""
+    buf, src, seen = raw, iter(()), set()
+    while _decoder(buf) is not None and (key := hashlib.sha256(buf).digest()) not in seen:
+        seen.add(key)
+        inner = _members(buf, src, rest)
+        first = _headed(inner)
+        if not first:
+            break
+        buf, src = first, inner
+    return chain([buf], src) if seen and buf is not raw else None
+
+
+def _chunks(pieces: Iterator[bytes], most: int) -> Iterator[bytes]:
+    """Stretches of about ``most`` bytes, each of which repeats the end of the one before, from a blank where there is one."""
+    held: list[bytes] = []
+    n = 0
+    for piece in pieces:
+        held.append(piece)
+        n += len(piece)
+        if n >= most:
+            whole = b"".join(held)
+            yield whole
+            near = whole[-min(PIECE, most // 2) :]
+            near = near[1 + near.find(b"\n") :] if b"\n" in near[: len(near) // 2] else near
+            while near and near[0] >> 6 == 2:  # not from the middle of a UTF-8 character
+                near = near[1:]
+            held, n = [near], len(near)
+    if n:
+        yield b"".join(held)
+
+
+def _texts(raw: bytes, packed: bool) -> Iterator[tuple[str, bool]]:
+    """The texts that bytes may stand for, and whether a character is a byte: UTF-8, and UTF-16 where there is a mark or a NUL."""
+    try:
+        text = raw.decode()
+        yield text, text.isascii()
+    except UnicodeDecodeError:
+        if packed:  # no chance bytes, so other encodings keep their ASCII
+            yield raw.decode("utf-8", "replace"), False
+    if b"\0" in raw or raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        for k in (0, 1):  # a stretch may start at an odd byte
+            for codec in ("utf-16-le", "utf-16-be") if k == 0 or packed else ():
+                yield raw[k : len(raw) - (len(raw) - k) % 2].decode(codec, "replace"), False
+
+
+def _layers(raw: bytes, most: int) -> Iterator[tuple[str, bool]]:
+    """(text, whether its characters are the bytes of ``raw``) for each layer that decoded bytes give."""
+    pieces = _unpacked(raw)
+    if pieces is None:
+        yield from _texts(raw, False)
+    else:
+        for chunk in _chunks(pieces, most):
+            for text, _ in _texts(chunk, True):
+                yield text, False
+
+
+def _wrapped(text: str) -> Iterator[tuple[int, str]]:
+    """Base64 over several lines, as (start, the lines with their breaks): equal lines and a last one that may be shorter.
+
+    Whether the last line belongs to it is not known, so it comes with and, after that, without.
+    """
+    for m in _WRAPPED.finditer(text):
+        lines = list(_RUN.finditer(text, m.start(), m.end()))
+        k = 0
+        while k < len(lines) - 1:
+            size = len(lines[k + 1][0])
+            e = k + 1
+            while e < len(lines) and len(lines[e][0]) == size and "=" not in lines[e - 1][0]:
+                e += 1
+            if e < len(lines) and len(lines[e][0]) < size and "=" not in lines[e - 1][0]:
+                yield lines[k].start(), text[lines[k].start() : lines[e].end()]
+            if e > k + 1:
+                yield lines[k].start(), text[lines[k].start() : lines[e - 1].end()]
+            if e > k + 2:
+                yield lines[k].start(), text[lines[k].start() : lines[e - 2].end()]
+            k = max(e - 1, k + 1)
+
+
+def _sound(raw: bytes) -> bool:
+    try:
+        return _decoder(raw) is not None or bool(raw.decode())
+    except UnicodeDecodeError:
+        return False
+
+
 def _base64s(text: str, most: int) -> Iterator[tuple[str, Mapping]]:
-    """A layer for each base64 run whose bytes, unpacked as often as they are compressed, are UTF-8 text."""
-    for m in _BASE64.finditer(text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1 or _plain(body):
+    """The layers of each base64 run, which may go over line breaks."""
+    whole = -1  # start of the last run over lines that is sound: shorter ones from there are parts of it
+    runs = ((m.start(), m[0]) for m in _BASE64.finditer(text))
+    for start, run in chain(runs, _wrapped(text)) if "\n" in text else runs:
+        broken = "\n" in run
+        body = ("".join(run.split()) if broken else run).rstrip("=")
+        if len(body) % 4 == 1 or _plain(body) or broken and start == whole:
             continue
         try:
             raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
         except ValueError:
             continue
-        exact = True
-        seen = set()
-        while (more := _unpacked(raw, most)) is not None and (key := hashlib.sha256(raw).digest()) not in seen:
-            seen.add(key)
-            raw, exact = more, False
-        try:
-            layer = raw.decode()
-        except UnicodeDecodeError:
+        at = [start + k for k, c in enumerate(run) if not c.isspace() and c != "="] if broken else range(start, start + len(body))
+        end = start + len(run)
+        if broken and _sound(raw):
+            whole = start
+        for layer, exact in _layers(raw, most):
+            if exact:
+                yield layer, lambda a, b, at=at: (at[a // 3 * 4 + a % 3], at[min(len(at), (b - 1) // 3 * 4 + (b - 1) % 3 + 2) - 1] + 1)
+            elif layer:
+                yield layer, lambda a, b, s=start, e=end: (s, e)
+
+
+def _url_bytes(text: str) -> Iterator[tuple[bytes, list[int], int]]:
+    for m in _URL_RUN.finditer(text):
+        if "%" not in m[0]:
             continue
-        if not layer or not all(c.isprintable() or c in "\t\n\r" for c in layer[:64]):
+        parts = [(x.start(), int(x[1], 16) if x[1] else 32 if x[0] == "+" else ord(x[0])) for x in _URL_ONE.finditer(m[0])]
+        yield bytes(b for _, b in parts), [m.start() + k for k, _ in parts], m.end()
+
+
+def _escaped_bytes(text: str) -> Iterator[tuple[bytes, list[int], int]]:
+    for m in _BYTES_RUN.finditer(text):
+        if "\\x" not in m[0]:
             continue
-        start, end = m.start(), m.end()
-        if exact and layer.isascii():
-            n = len(body)
-            yield layer, lambda a, b, s=start, n=n: (s + a // 3 * 4 + a % 3, s + min(n, (b - 1) // 3 * 4 + (b - 1) % 3 + 2))
-        else:
-            yield layer, lambda a, b, s=start, e=end: (s, e)
+        parts = []
+        for x in _BYTES_ONE.finditer(m[0]):
+            code = int(x[1], 16) if x[1] else _SHORT[x[2]] if x[2] else ord(x[0])
+            parts.append((m.start() + x.start(), code))
+        yield bytes(b for _, b in parts), [k for k, _ in parts], m.end()
+
+
+def _packed_escapes(text: str, most: int) -> Iterator[tuple[str, Mapping]]:
+    r"""The layers of compressed bytes that are written with %XX or \xXX escapes, other bytes as they are."""
+    for runs in (_url_bytes(text) if "%" in text else (), _escaped_bytes(text) if "\\x" in text else ()):
+        for raw, at, end in runs:
+            for m in _MAGIC.finditer(raw):
+                pieces = _unpacked(raw[m.start() :], rest=False)
+                for chunk in _chunks(pieces, most) if pieces else ():
+                    for layer, _ in _texts(chunk, True):
+                        yield layer, lambda a, b, s=at[m.start()], e=end: (s, e)
 
 
 def _plain(body: str) -> bool:
@@ -201,8 +363,7 @@ def all_spans(text: str, most: int = 1 << 26) -> tuple[list[Span], list[Span]]:
             made.append(x)
         if "\\" in layer and (x := _unicode(layer)):
             made.append(x)
-        made.extend(_base64s(layer, most))
-        for inner, step in made:
+        for inner, step in chain(made, _packed_escapes(layer, most), _base64s(layer, most)):
             way = [step, *back]
 
             def to_text(a: int, b: int, way: list[Mapping] = way) -> tuple[int, int]:
@@ -244,8 +405,8 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     """Per document: counts of the base spans by kind, base and all spans as kind:start:end, comma-joined.
 
     One pass without a shuffle; a text is scanned whole. A null text counts as empty and has no spans, a null doc_id
-    stays null, repeated rows give a row each, other columns are not read. A compressed layer is unpacked up
-    to 64 MB, which guards against bombs; ordinary text has no limit.
+    stays null, repeated rows give a row each, other columns are not read. A compressed layer
+    is unpacked whole; of more than 64 MB, stretches of that size that overlap by up to 1 MB are scanned in turn.
     """
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_scan, SPANS)
 

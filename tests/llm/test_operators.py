@@ -194,6 +194,22 @@ def test_secrets_in_layers(wrap):
     assert text.index(wrap(SECRET)[:4]) <= spans[0][1] < spans[0][2] <= len(text) - len(" after")
 
 
+@pytest.mark.parametrize(
+    "raw",
+    [
+        b"\xef\xbb\xbf" + SECRET.encode(),
+        ("a\u00a0b\u200b\x1b[1m " + SECRET).encode(),
+        b"\x00\x0c " + SECRET.encode(),
+        SECRET.encode("utf-16"),
+        SECRET.encode("utf-16-le"),
+        SECRET.encode("utf-16-be"),
+        gzip.compress(SECRET.encode("utf-16-le")),
+    ],
+)
+def test_secrets_in_layers_of_any_characters(raw):
+    assert [k for k, *_ in secrets.all_spans("before " + base64.b64encode(raw).decode() + " after")[1]] == ["assign"]
+
+
 def test_base_spans():
     text = 'api_key: "abcdef" TOKEN=short secret = x/y+zzzz AKIA' + "A" * 16 + " AKIA123 " + "0a" * 12 + " ſecret=abcdefg"
     assert [text[a:b] for k, a, b in secrets.all_spans(text)[0] if k == "assign"] == ['api_key: "abcdef', "secret = x/y+zzzz"]
