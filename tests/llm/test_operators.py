@@ -1,8 +1,10 @@
 """Small fixtures against brute force, with nulls, empty and repeated texts, empty tables and clashing columns."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
@@ -11,6 +13,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 
 from stillkeep.llm import common, decontaminate, exact_dedup, html_text, licenses, line_dedup, near_dedup, packing, secrets, token_counts, toxicity
 
@@ -210,6 +213,31 @@ def test_secrets_in_layers_of_any_characters(raw):
     assert [k for k, *_ in secrets.all_spans("before " + base64.b64encode(raw).decode() + " after")[1]] == ["assign"]
 
 
+@pytest.mark.parametrize("pack", [lambda x: gzip.compress(x, mtime=0), zlib.compress, bz2.compress, lzma.compress, lambda x: zstandard.ZstdCompressor().compress(x)])
+def test_secrets_in_packed_members(pack):
+    secret, filler = SECRET.encode(), b"nothing here. " * 40
+    kinds = lambda text, most=1 << 26: [k for k, *_ in secrets.all_spans(text, most)[1]]
+    in_base64 = lambda raw: base64.b64encode(raw).decode()
+    assert kinds(in_base64(pack(filler) + pack(secret))) == ["assign"]
+    assert kinds(in_base64(pack(pack(filler) + pack(secret)))) == ["assign"]
+    assert kinds(in_base64(pack("é".encode() * 5000 + secret + "é".encode() * 5000)), 1001) == ["assign"]  # content beyond `most`
+    random_text = random.Random(7).randbytes(300).hex(" ").encode()
+    both = pack(random_text + b" " + secret)
+    assert kinds("see " + urllib.parse.quote(both) + " end") == ["assign"]
+    assert kinds("".join(f"\\x{b:02x}" for b in both)) == ["assign"]
+    assert kinds("x = " + repr(both) + " # end") == ["assign"]
+    for text in (base64.encodebytes(both).decode(), base64.encodebytes(both).decode().replace("\n", "\r\n")):
+        assert kinds("begin\n" + text + "end") == ["assign"]
+
+
+def test_secret_over_a_line_break_of_base64():
+    text = "key:\n" + base64.encodebytes(b"x" * 50 + b" password=hunter22 " + b"y" * 60).decode() + "done"
+    (kind, start, end), *more = secrets.all_spans(text)[1]
+    assert kind == "assign" and not more
+    held = "".join(text[start:end].split())
+    assert base64.b64decode(held + "A" * (-len(held) % 4)).strip(b"\0").startswith(b"password") or b"assword=hunter2" in base64.b64decode("A" * (-len(held) % 4) + held)
+
+
 def test_base_spans():
     text = 'api_key: "abcdef" TOKEN=short secret = x/y+zzzz AKIA' + "A" * 16 + " AKIA123 " + "0a" * 12 + " ſecret=abcdefg"
     assert [text[a:b] for k, a, b in secrets.all_spans(text)[0] if k == "assign"] == ['api_key: "abcdef', "secret = x/y+zzzz"]
