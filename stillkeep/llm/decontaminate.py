@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from stillkeep.llm.common import hashed_words, mixed, table, text_slices
 
-STRIDE = 4  # windows start at every fourth word of a document, items at their first four words
+STRIDE = 4  # windows start at every fourth word of a document, items at their first four words; short items have fewer of both
 TABLES = 6  # keys taken from one walk
 PLACES = 4  # places of the output in a key
 
@@ -60,19 +60,34 @@ def _edited(rng: np.random.Generator, words: np.ndarray, edits: int) -> np.ndarr
     return np.array(row, dtype=np.uint64)
 
 
-def walks_needed(words: int, distance: int, length: int, places: int, recall: float, trials: int = 400) -> int:
-    """Walks for which the tables find a window at this distance with the target probability, by simulation."""
-    rng = np.random.default_rng([words, distance, length])
-    left = rng.integers(1, 1 << 63, (trials, words)).astype(np.uint64)
-    right = np.zeros((trials, words), dtype=np.uint64)
+def edits_of(words: int, num: int, den: int) -> int:
+    """The largest edit distance at which ``words`` words still have a similarity of num / den."""
+    return (den - num) * words // den
+
+
+def walks_needed(words: int, distance: int, steps: int, stride: int, places: int, recall: float, trials: int = 400) -> int:
+    """Walks for which the tables find an item at this distance with the target probability, by simulation.
+
+    As in a document, the passage stands among other words and starts anywhere on the grid; the windows before
+    it and at its first grid place meet the item at all of its first places.
+    """
+    rng = np.random.default_rng([words, distance, steps])
+    item = rng.integers(1, 1 << 63, (trials, words)).astype(np.uint64)
+    lefts = [np.pad(item[:, s:], ((0, 0), (0, steps + 1))) for s in range(stride)]
+    rights = np.zeros((2, trials, steps + 1), dtype=np.uint64)
     for k in range(trials):
-        row = _edited(rng, left[k], distance)[:words]
-        right[k, : len(row)] = row
+        around = rng.integers(1, 1 << 63, stride + steps + 1).astype(np.uint64)
+        row = np.concatenate([around[:stride], _edited(rng, item[k], distance), around[stride:]])
+        first = stride + int(rng.integers(stride))
+        rights[0, k], rights[1, k] = row[first - stride :][: steps + 1], np.resize(row[first : first + steps + 1], steps + 1)
     missed = np.ones(trials, dtype=bool)
     for walk in range(200):
-        a, b = walks(left, length, walk), walks(right, length, walk)
+        outs = [walks(x, steps, walk) for x in lefts], [walks(x, steps, walk) for x in rights]
         for t in range(TABLES):
-            missed &= sampled_keys(a, walk, t, places) != sampled_keys(b, walk, t, places)
+            own, seen = ([sampled_keys(x, walk, t, places) for x in side] for side in outs)
+            for a in own:
+                for b in seen:
+                    missed &= a != b
         if missed.mean() <= 1 - recall:
             return walk + 1
     return 200
@@ -84,12 +99,14 @@ class Length:
 
     least: int
     most: int
+    stride: int  # windows start at each so many words, items at that many first words
     steps: int
     walks: int
     gram: int  # words in a row that a match within the distance must share with its item
     grams: np.ndarray  # the items' word sequences of that length
     keys: list[np.ndarray]  # for each walk and table, sorted
     owners: list[np.ndarray]  # the item of each key
+    plain: int  # words of the window that the last key takes as they are, so that a passage without an edit is found
 
 
 @dataclass
@@ -98,7 +115,8 @@ class Index:
     items: list[np.ndarray]
     vocabulary: np.ndarray
     lengths: list[Length]
-    share: float
+    num: int
+    den: int
 
 
 def grams_of(words: np.ndarray, size: int) -> np.ndarray:
@@ -110,7 +128,7 @@ def grams_of(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def build_index(items: list[tuple[int, str]], similarity: float, recall: float, places: int = PLACES) -> Index:
+def build_index(items: list[tuple[int, str]], num: int, den: int, recall: float, places: int = PLACES) -> Index:
     ids, words = [], []
     for item_id, text in items:
         raw = np.frombuffer((text or "").encode(), np.uint8)
@@ -118,7 +136,6 @@ def build_index(items: list[tuple[int, str]], similarity: float, recall: float,
         if len(h):
             ids.append(item_id)
             words.append(h)
-    share = 1 - similarity
     lengths = []
     low = min((len(w) for w in words), default=1)
     while low <= max((len(w) for w in words), default=0):
@@ -133,7 +150,10 @@ def build_index(items: list[tuple[int, str]], similarity: float, recall: float,
                 part = words[k][shift:]
                 rows[r, : len(part)] = part
             owner = np.repeat(np.array(own), len(shifts))
-            n = walks_needed(low, int(share * low), steps, places, recall)
+            # the hardest length is the least one with the most edits
+            edits = edits_of(high - 1, num, den)
+            hardest = next(k for k in range(low, high) if edits_of(k, num, den) == edits)
+            n = walks_needed(hardest, edits, steps, len(shifts), places, recall)
             keys, owners = [], []
             for walk in range(n):
                 out = walks(rows, steps, walk)
@@ -142,13 +162,18 @@ def build_index(items: list[tuple[int, str]], similarity: float, recall: float,
                     order = np.argsort(key, kind="stable")
                     keys.append(key[order])
                     owners.append(owner[order])
+            plain = low - len(shifts) + 1
+            key = grams_of(rows[:, :plain].reshape(-1), plain)[::plain]
+            order = np.argsort(key, kind="stable")
+            keys.append(key[order])
+            owners.append(owner[order])
             # that many edits cut an item into at most one piece more, and one of the pieces has this length
-            gram = max(1, low // (int(share * (high - 1)) + 1))
+            gram = max(1, low // (edits + 1))
             grams = np.unique(np.concatenate([grams_of(words[k], gram) for k in own]))
-            lengths.append(Length(low, high - 1, steps, n, gram, grams, keys, owners))
+            lengths.append(Length(low, high - 1, len(shifts), steps, n, gram, grams, keys, owners, plain))
         low = high
     vocabulary = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
-    return Index(ids, words, vocabulary, lengths, share)
+    return Index(ids, words, vocabulary, lengths, num, den)
 
 
 def edit_places(text: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,13 +211,25 @@ def _candidates(w: np.ndarray, first: np.ndarray, count: np.ndarray, index: Inde
 
     known = counted(w, index.vocabulary)
     sizes = {own.gram: grams_of(w, own.gram) for own in index.lengths}
-    grid = np.concatenate([np.arange(a, a + n, STRIDE) for a, n in zip(first, count, strict=True)]) if len(first) else first
-    end_of = np.repeat(first + count, -(-count // STRIDE))
+    grids = {}
+    for stride in {own.stride for own in index.lengths}:
+        grid = np.concatenate([np.arange(a, a + n, stride) for a, n in zip(first, count, strict=True)]) if len(first) else first
+        grids[stride] = grid, np.repeat(first + count, -(-count // stride))
     starts, items = [], []
+
+    def look_up(q: np.ndarray, key: np.ndarray, keys: np.ndarray, owners: np.ndarray) -> None:
+        lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+        hit = np.flatnonzero(hi > lo)
+        for k in range(int((hi - lo)[hit].max(initial=0))):
+            some = hit[(hi - lo)[hit] > k]
+            starts.append(q[some])
+            items.append(owners[lo[some] + k])
+
     for own in index.lengths:
         # a stretch that matches has at most `reach` words, of which all but the edits are words of the item
-        reach = math.ceil((1 + index.share) * own.most)
-        need = math.floor((1 - index.share) * own.least) - STRIDE
+        grid, end_of = grids[own.stride]
+        reach = own.most + edits_of(own.most, index.num, index.den)
+        need = own.least - edits_of(own.least, index.num, index.den) - own.stride
         stop = np.minimum(grid + reach, end_of)
         seeds = counted(sizes[own.gram], own.grams)
         live = (known[stop] - known[grid] >= max(1, need)) & (seeds[stop] > seeds[np.maximum(grid - STRIDE, 0)])
@@ -204,13 +241,11 @@ def _candidates(w: np.ndarray, first: np.ndarray, count: np.ndarray, index: Inde
             for walk in range(own.walks):
                 out = walks(rows, own.steps, walk)
                 for t in range(TABLES):
-                    key, keys = sampled_keys(out, walk, t, PLACES), own.keys[walk * TABLES + t]
-                    lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                    hit = np.flatnonzero(hi > lo)
-                    for k in range(int((hi - lo)[hit].max(initial=0))):
-                        some = hit[(hi - lo)[hit] > k]
-                        starts.append(q[some])
-                        items.append(own.owners[walk * TABLES + t][lo[some] + k])
+                    at = walk * TABLES + t
+                    look_up(q, sampled_keys(out, walk, t, PLACES), own.keys[at], own.owners[at])
+            whole = q + own.plain <= f
+            key = grams_of(rows[whole][:, : own.plain].reshape(-1), own.plain)[:: own.plain]
+            look_up(q[whole], key, own.keys[-1], own.owners[-1])
     if not starts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     both = np.unique(np.stack([np.concatenate(items), np.concatenate(starts)], axis=1), axis=0)
@@ -225,7 +260,7 @@ def contaminated_spans(w: np.ndarray, first: np.ndarray, count: np.ndarray, inde
     # texts without words share their first place with the next text, which then comes last at that place
     for item in np.unique(items):
         words = index.items[item]
-        most = int(index.share * len(words))
+        most = edits_of(len(words), index.num, index.den)
         own = np.flatnonzero(items == item)
         width = 2 * (len(words) + most) + STRIDE
         for a in range(0, len(own), 4096):
@@ -267,9 +302,9 @@ def _search(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.98, block_words: int = 500_000
+    docs: DataFrame, benchmark: DataFrame, num: int = 80, den: int = 100, recall: float = 0.98, block_words: int = 500_000
 ) -> DataFrame:
-    """Documents that hold a stretch within edit distance ``(1 - similarity) * words`` of a benchmark item, in words.
+    """Documents that hold a stretch within edit distance ``(den - num) * words // den`` of a benchmark item, in words.
 
     Returns one row per (doc_id, item_id) found: the distance of the best stretch, the item's number of words, and the
     word of the document at which the stretch ends (from 0, exclusive). Case of A-Z and white space do not count.
@@ -286,7 +321,7 @@ def decontaminate(
     out = None
     for block in range(blocks):
         own = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        index = build_index([(r["item_id"], r["text"]) for r in own.collect()], similarity, recall, PLACES)
+        index = build_index([(r["item_id"], r["text"]) for r in own.collect()], num, den, recall, PLACES)
         found = texts.mapInArrow(_search(spark.sparkContext.broadcast(index)), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out

@@ -276,6 +276,28 @@ def test_decontaminate(spark):
     assert decontaminate.decontaminate(docs, bench.where("false")).count() == 0
 
 
+def _spans(texts, items):
+    index = decontaminate.build_index(list(enumerate(items)), 80, 100, 0.98)
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    w, doc, _, _ = common.hashed_words(data, np.cumsum([0, *map(len, texts)]))
+    count = np.bincount(doc, minlength=len(texts))
+    return decontaminate.contaminated_spans(w, np.cumsum(count) - count, count, index)
+
+
+def test_decontaminate_finds_short_items_at_every_place():
+    rng = random.Random(11)
+    for n in range(1, 18):
+        items = [" ".join(rng.choices(WORDS[:300], k=n)) for _ in range(3)]
+        texts, want = [], set()
+        for k, item in enumerate(items):
+            for before in range(8):
+                want.add((len(texts), k))
+                around = rng.choices(WORDS[300:], k=before + 9)
+                texts.append(" ".join([*around[:before], item, *around[before:]]))
+        got = {(d, i) for d, i, distance, _ in _spans(texts, items) if distance == 0}
+        assert want <= got, n
+
+
 def test_edit_places():
     assert decontaminate.edit_places(np.array([[9, 1, 2, 4, 5, 9]], np.uint64), np.array([1, 2, 3, 4, 5], np.uint64))[0][0] == 1
 
