@@ -298,6 +298,20 @@ def test_decontaminate_finds_short_items_at_every_place():
         assert want <= got, n
 
 
+def test_decontaminate_counts_a_fifth_of_the_words():
+    rng = random.Random(12)
+    for n, most in ((5, 1), (10, 2), (20, 4), (25, 5), (40, 8)):
+        item = " ".join(f"i{k}" for k in range(n))
+        texts = []
+        for edits in [most] * 60 + [most + 1] * 20:
+            words = item.split()
+            for at in rng.sample(range(n), edits):
+                words[at] = "other"
+            texts.append(" ".join(rng.choices(WORDS, k=rng.randint(0, 9)) + words + rng.choices(WORDS, k=9)))
+        found = {d for d, *_ in _spans(texts, [item])}
+        assert found <= set(range(60)) and len(found) >= 55, n
+
+
 def test_edit_places():
     assert decontaminate.edit_places(np.array([[9, 1, 2, 4, 5, 9]], np.uint64), np.array([1, 2, 3, 4, 5], np.uint64))[0][0] == 1
 
