@@ -165,6 +165,19 @@ def test_packing(docs):
     assert Counter(r["doc_id"] for r in out if r["piece"] == 0) == Counter(i for i, *_ in corpus())
 
 
+def test_packing_takes_added_tokens_as_the_tokenizer_does(tmp_path):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    alone = tmp_path / "alone.json"  # without a rank file beside it
+    alone.write_bytes(open(path, "rb").read())
+    own = Tokenizer.from_file(path)
+    for encode in (packing._encoder(path), packing._encoder(str(alone))):
+        for text in ("a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|><|endoftext|> é\n<|endoftext|", "plain", ""):
+            assert encode(text) == own.encode(text, add_special_tokens=False).ids
+        assert encode("a<|endoftext|>b") == [64, 50256, 65]
+
+
 def test_plan_uses_each_length_as_often_as_it_occurs():
     rng = random.Random(8)
     for n in (1, 7, 300, 20000):
