@@ -17,25 +17,50 @@ from pyspark.sql import functions as F
 from stillkeep.llm.common import KeyFilter, mixed, stored, table, text_slices
 from stillkeep.llm.near_dedup import linked_components
 
-SHINGLE = 8  # bytes of UTF-8, so a letter beyond ASCII counts as two or more
+SHINGLE = 8  # characters (code points)
 ROWS, BANDS = 5, 16
 
 
+def _eights(units: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros stand after the end."""
+    wide = np.zeros(len(units) + SHINGLE, dtype=np.uint8)
+    wide[: len(units)] = units
+    return np.ndarray((len(units),), "<u8", wide, strides=(1,)).copy()
+
+
 def line_shingles(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line number, hash) of every shingle of several lines at once; a shorter line is one shingle. Not distinct."""
+    """(line number, hash) of every shingle of several lines at once; a shorter line is one shingle. Not distinct.
+
+    Characters up to U+00FF fill a byte each; the upper bits of others are mixed in for the shingles that hold them.
+    """
+    upper = None
+    if len(data) and data.max() >= 0x80:
+        begins = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        starts = begins[starts]
+        data = points.astype(np.uint8)
+        if points.max() > 0xFF:
+            upper = _eights((points >> 8).astype(np.uint8)), _eights((points >> 16).astype(np.uint8))
     size = np.diff(starts)
-    wide = np.zeros(len(data) + SHINGLE, dtype=np.uint8)
-    wide[: len(data)] = data
-    packed = np.ndarray((len(data),), "<u8", wide, strides=(1,)).copy()  # the eight bytes from each place on
+    packed = _eights(data)  # the eight characters from each place on
     line = np.repeat(np.arange(len(size)), size)
-    left = starts[1:][line] - np.arange(len(data))  # bytes from here to the line's end
+    left = starts[1:][line] - np.arange(len(data))  # characters from here to the line's end
     whole = left >= SHINGLE
-    line_of, hashes = [line[whole]], [mixed(packed[whole])]
+
+    def hashed(at: np.ndarray, keep: np.uint64 | np.ndarray, seed: int) -> np.ndarray:
+        h = mixed(packed[at] & keep, seed)
+        if upper is not None:
+            for k, part in enumerate(upper):
+                own = part[at] & keep
+                h = np.where(own != 0, mixed(h ^ mixed(own, 20 + k), 30 + k), h)
+        return h
+
+    line_of, hashes = [line[whole]], [hashed(whole, np.uint64(0xFFFFFFFFFFFFFFFF), 0) if upper is not None else mixed(packed[whole])]
     short = np.flatnonzero((size > 0) & (size < SHINGLE))
     if len(short):
         keep = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (np.uint64(SHINGLE) - size[short].astype(np.uint64)))
         line_of.append(short)
-        hashes.append(mixed(packed[starts[short]] & keep, 9))
+        hashes.append(hashed(starts[short], keep, 9))
     return np.concatenate(line_of), np.concatenate(hashes)
 
 
@@ -97,7 +122,7 @@ def lines_of(text: Column) -> Column:
 
 
 def line_dedup(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """Lines whose sets of 8-byte shingles have a Jaccard similarity of num / den or more, and their components.
+    """Lines whose sets of shingles of 8 characters have a Jaccard similarity of num / den or more, and their components.
 
     Returns one row per line: doc_id, line_no (from 0), line_class (the component's smallest line hash; its own
     where the line is alone), kept (the first line of the component by doc_id and line_no). Lines end at \\n;

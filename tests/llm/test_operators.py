@@ -132,6 +132,17 @@ def test_line_dedup(spark):
     assert {(r["doc_id"], r["line_no"]): r["kept"] for r in out} == want
 
 
+def test_line_shingles_are_of_characters():
+    lines = ["plain ascii line", "größere Straße über Öl", "中文字符一二三四五六七八九十", "短い", "𝄞𝄞 mixed é中 𝄞 text 𝄞𝄞", "", "abc", "größere Straße uber Öl"]
+    sets = [frozenset(x[k : k + 8] for k in range(len(x) - 7)) or frozenset([x] if x else []) for x in lines]
+    got = [set(x.tolist()) for x in line_dedup.line_sets(common.pa.array(lines))]
+    assert [len(x) for x in got] == [len(x) for x in sets]
+    for a in range(len(lines)):
+        assert got[a] == set(line_dedup.line_sets(common.pa.array([lines[a]]))[0].tolist())  # whatever lines stand around
+        for b in range(a):
+            assert len(got[a] & got[b]) == len(sets[a] & sets[b])
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
