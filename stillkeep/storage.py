@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,20 +10,44 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables, read by Spark whatever store it lies in."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new folder name under spark.checkpoint.dir; under a local folder only where the session names none."""
+    """A new folder name under spark.checkpoint.dir.
+
+    Where the session names none, a local one is made, for tests in one process only; on a cluster that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
         named = spark.sparkContext.getCheckpointDir()
     return f"{named.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again; a lost executor costs a re-read."""
+    """``df`` written as Parquet to the shared folder and read again, which cuts its lineage.
+
+    A lost executor then costs a re-read, not a re-run, and what follows sees fixed rows.
+    """
     path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table that ``stored`` wrote and that nothing reads any more.
+
+    Needs a session with a JVM of its own; elsewhere the files stay until the shared folder is cleared.
+    """
+    spark = df.sparkSession
+    if not hasattr(spark, "_jsparkSession"):
+        return
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
