@@ -2,51 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MASK = (1 << 64) - 1
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables, read by Spark whatever store it lies in."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
+from stillkeep.storage import dropped, stored, table
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again, which cuts its lineage.
-
-    A lost executor then costs a re-read, not a re-run, and what follows sees fixed rows.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table that ``stored`` wrote and that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+__all__ = ["KeyFilter", "components", "dropped", "hashed_words", "mixed", "stored", "table", "text_slices", "without"]
 
+MASK = (1 << 64) - 1
 
 # ---------------------------------------------------------------- membership filter of bounded size
 
@@ -54,34 +21,32 @@ _WORD = 1 << 15  # bits in a bitmap of Spark's bitmap_* functions
 
 
 class KeyFilter:
-    """A one-hash Bloom filter over a long column, at most ``max_bits`` bits (2 MB by default).
+    """A one-hash Bloom filter over a long column: 16 to 32 bits a key, so that some 5 % of other rows pass.
 
-    Spark builds it with its bitmap aggregates; only the bitmaps come to the driver, and their
-    number is bounded by ``max_bits / 32768`` whatever the input. A full filter lets every row
-    pass: it only saves work, the exact steps after it decide.
+    Spark builds it with its bitmap aggregates as a table of bitmaps of 4 KB, which is broadcast; ``max_bits``
+    (128 MB) bounds it. From 2**26 keys on more other rows pass. The filter only saves work, the exact steps after it decide.
     """
 
-    def __init__(self, keys: DataFrame, column: str, max_bits: int = 1 << 24):
-        n = keys.count()
-        bits = _WORD
-        while bits < min(max_bits, 16 * n):
+    def __init__(self, keys: DataFrame, column: str, max_bits: int = 1 << 30):
+        bits, wanted = _WORD, 16 * keys.count()
+        while bits < min(max_bits, wanted):
             bits *= 2
-        self.bits, self.n = bits, n
-        rows = (
-            keys.select(F.pmod(F.xxhash64(F.col(column)), F.lit(bits)).alias("at"))
-            .groupBy(F.expr(f"at div {_WORD}").alias("part"))
-            .agg(F.expr(f"bitmap_construct_agg(at % {_WORD})").alias("bitmap"))
-            .collect()
-        )
-        whole = bytearray(bits // 8)
-        for part, bitmap in rows:
-            whole[part * (_WORD // 8) : part * (_WORD // 8) + len(bitmap)] = bitmap
-        self.bitmap = bytes(whole)
+        self.bits = bits
+        at = keys.select(F.pmod(F.xxhash64(F.col(column)), F.lit(bits)).alias("at"))
+        parts = at.groupBy(F.expr(f"at div {_WORD}").alias("_part")).agg(F.expr(f"bitmap_construct_agg(at % {_WORD})").alias("_bitmap"))
+        self.parts = stored(parts, "filter")
 
-    def may_contain(self, column: Column) -> Column:
-        at = F.pmod(F.xxhash64(column), F.lit(self.bits))
-        byte = F.conv(F.hex(F.substring(F.lit(self.bitmap), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10)
-        return F.getbit(byte.cast("int"), (at % 8).cast("int")) == 1
+    def marked(self, df: DataFrame, key: Column, name: str) -> DataFrame:
+        """``df`` with a boolean column ``name``: false where ``key`` is certainly none of the keys."""
+        at = df.select("*", F.pmod(F.xxhash64(key), F.lit(self.bits)).alias("_at"))
+        place = (F.col("_at") % _WORD).cast("int")
+        byte = F.conv(F.hex(F.substring(F.col("_bitmap"), F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+        hit = F.coalesce(F.getbit(byte, place % 8) == 1, F.lit(False))
+        return at.join(F.broadcast(self.parts), F.expr(f"_at div {_WORD}") == F.col("_part"), "left").select(*(F.col(f"`{c}`") for c in df.columns), hit.alias(name))
+
+    def matching(self, df: DataFrame, key: Column) -> DataFrame:
+        """The rows of ``df`` that may have one of the keys."""
+        return self.marked(df, key, "_may").where("_may").drop("_may")
 
 
 # ---------------------------------------------------------------- hashing in NumPy
@@ -216,12 +181,19 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     return nodes.join(least, "at").select("node", "component")
 
 
-def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
-    """``docs`` less the rows whose id is in ``ids``; only rows that the bounded filter lets through are joined.
+def text_hash(text: Column) -> Column:
+    """What tells rows of one id apart; a null text counts as empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, ...) less the rows whose doc_id and text are in ``gone`` (doc_id, text_hash).
 
-    Rows with a null id stay.
+    Another text under a repeated id stays, rows with a null id stay. Only rows that the filter lets through are joined.
     """
-    ids = stored(ids.select(column).where(F.col(column).isNotNull()).distinct(), "dropped")
-    may = KeyFilter(ids, column).may_contain(F.col(column))
-    rest = docs.where(may).join(ids, column, "left_anti").select(docs.columns)
-    return docs.where(~may).unionByName(rest)
+    gone = stored(gone.select("doc_id", "text_hash").where("doc_id IS NOT NULL").distinct(), "gone")
+    whole = docs.select(F.struct("*").alias("row"))  # so that no name of docs can clash
+    marked = KeyFilter(gone, "doc_id").marked(whole, F.col("row.doc_id"), "may")
+    rest = marked.where("may").withColumn("hash", text_hash(F.col("row.text")))
+    same = (rest["row.doc_id"] == gone["doc_id"]) & (rest["hash"] == gone["text_hash"])
+    return marked.where("NOT may").select("row").unionByName(rest.join(gone, same, "left_anti").select("row")).select("row.*")

@@ -3,7 +3,8 @@
 Every scan partition sorts the distinct fingerprints of its texts and sends them, Golomb-Rice
 coded, to the owners of the fingerprint ranges. An owner answers each partition with one bitmap:
 which of the fingerprints it sent occur elsewhere too. Only rows with such a fingerprint (or with one
-repeated inside the partition) are suspects; their texts are shuffled and compared byte by byte.
+repeated inside the partition) are suspects; a filter of 16 bits or more for each marked fingerprint picks them in
+the second scan, and their texts are shuffled and compared byte by byte.
 Fingerprints cross the network at about ``fp_bits - log2(fingerprints in the range)`` bits each.
 """
 
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stillkeep.llm.common import KeyFilter, stored, table
+from stillkeep.llm.common import KeyFilter, stored, table, text_hash
 
 
 def golomb_encode(values: np.ndarray) -> bytes:
@@ -98,7 +99,7 @@ def exact_dedup(
     """Groups of byte-equal texts.
 
     Returns one row per input row: ``id_col``, keep_id (the group's largest id), group_size, kept,
-    text_sha256; the other columns of ``docs`` are neither read nor returned, so their names cannot clash.
+    text_sha256, text_hash (``common.text_hash``); the other columns of ``docs`` are neither read nor returned, so their names cannot clash.
     A null text counts as empty, and empty texts are equal to each other. Rows repeated with the same id
     each count in group_size and are each kept if their id is the largest. A null id is smaller than any other;
     in a group of null ids only, keep_id is null and the rows are kept. An empty table gives no rows.
@@ -116,7 +117,7 @@ def exact_dedup(
     )
     answers = sent.select("part", "owner", "codes").groupBy("owner").applyInPandas(_answer, "part int, owner int, bitmap binary")
     flagged = sent.join(answers, ["part", "owner"]).mapInArrow(_flagged, "fp bigint").distinct()
-    suspects = rows.where(KeyFilter(stored(flagged, "flagged"), "fp").may_contain(fp))
+    suspects = KeyFilter(stored(flagged, "flagged"), "fp").matching(rows, fp)
     # grouping on the text itself compares bytes; copies meet in the partial aggregate before the shuffle
     groups = (
         suspects.groupBy("sha", "body")
@@ -124,17 +125,18 @@ def exact_dedup(
         .where("n > 1")
         .select("sha", "keep", "n")
     )
-    return rows.select("id", "sha").join(groups, "sha", "left").select(
+    return rows.select("id", "sha", text_hash(F.col("body")).alias("text_hash")).join(groups, "sha", "left").select(
         F.col("id").alias(id_col),
         F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep_id"),
         F.coalesce("n", F.lit(1).cast("bigint")).alias("group_size"),
         F.when(F.col("n").isNull(), F.lit(True)).otherwise(F.col("id").eqNullSafe(F.col("keep"))).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        "text_hash",
     )
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 ORACLE_SQL = """

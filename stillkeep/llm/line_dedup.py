@@ -86,6 +86,9 @@ def minhash(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        node = batch.column(0).to_numpy()
+        once = np.unique(node, return_index=True)[1]  # a line that the batch repeats is signed once
+        batch = batch.take(pa.array(np.sort(once))) if len(once) < len(node) else batch
         for a, b, data, starts in text_slices(batch.column(1), 1 << 20):
             keys = minhash(data, starts)
             yield pa.RecordBatch.from_arrays(
@@ -121,7 +124,7 @@ def lines_of(text: Column) -> Column:
     return F.posexplode(F.split(F.coalesce(text.cast("string"), F.lit("")), "\n"))
 
 
-def line_dedup(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+def line_dedup(docs: DataFrame, num: int = 80, den: int = 100, name_bits: int = 64) -> DataFrame:
     """Lines whose sets of shingles of 8 characters have a Jaccard similarity of num / den or more, and their components.
 
     Returns one row per line: doc_id, line_no (from 0), line_class (the component's smallest line hash; its own
@@ -130,14 +133,16 @@ def line_dedup(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     with one doc_id: of equal first lines both are kept. A null doc_id comes before all others. Other columns
     are not read. An empty table gives no rows.
 
-    Pairs at the threshold are found with a chance of about 0.998, closer ones with more. Distinct lines are told
-    apart by xxhash64 here; full shingle sets decide on links.
+    Pairs at the threshold are found with a chance of about 0.998, closer ones with more. A line's place in the work is
+    named by ``name_bits`` bits of xxhash64, lines are told apart by that and a second, independent 64-bit hash: of different lines with one
+    name only that of the smaller second hash is linked, the others are kept with all their copies, their class being that hash.
     """
     lines = docs.select("doc_id", lines_of(F.col("text")).alias("line_no", "line"))
     blank = ~F.col("line").rlike(r"\S")  # looks no further than the first visible character
-    node = F.xxhash64("line")
+    node, check = F.shiftright(F.xxhash64("line"), 64 - name_bits), F.xxhash64(F.lit(1), "line")
     # ids and hashes are written once; texts are read again where a set is wanted
-    places = stored(lines.select("doc_id", "line_no", F.when(~blank, node).alias("node")), "lines")
+    hashes = (F.when(~blank, node).alias("node"), F.when(~blank, check).alias("check"))
+    places = stored(lines.select("doc_id", "line_no", *hashes), "lines")
     real = lines.where(~blank).select(node.alias("node"), "line")
     signed = stored(real.mapInArrow(_sign, "node bigint, keys binary").distinct(), "signatures")
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
@@ -147,33 +152,29 @@ def line_dedup(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     )
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        return real.where(KeyFilter(wanted, "node").may_contain(F.col("node"))).select("node", F.col("line").alias("items"))
+        near = KeyFilter(wanted, "node").matching(real, F.col("node"))
+        one = near.groupBy("node").agg(F.min(F.struct(check.alias("check"), "line")).alias("l"))
+        return one.join(wanted, "node", "left_semi").select("node", F.col("l.line").alias("items"), F.length("l.line").cast("bigint").alias("n"))
 
     confirm = lambda pairs: pairs.mapInArrow(_confirm(num, den), "u bigint, v bigint")
-    found = stored(linked_components(bands, texts_of, num, den, confirm=confirm, as_sets=lambda x: line_sets(pa.array(x)), by_bucket=True), "components")
+    found = linked_components(bands, texts_of, num, den, confirm=confirm, as_sets=lambda x: line_sets(pa.array(x)))
     first = (
         places.where("node IS NOT NULL")
         .groupBy("node")
-        .agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-        .join(found, "node", "left")
-        .withColumn("line_class", F.coalesce("component", "node"))
+        .agg(F.min(F.struct("check", "doc_id", "line_no")).alias("first"))
+        .join(stored(found, "components"), "node", "left")
+        .select("node", "first.check", F.struct("first.doc_id", "first.line_no").alias("first"), F.coalesce("component", "node").alias("line_class"))
     )
     least = first.groupBy("line_class").agg(F.min("first").alias("first"))
-    classes = first.select("node", "line_class").join(least, "line_class")
+    classes = first.select("node", F.col("check").alias("linked"), "line_class").join(least, "line_class")
+    other = F.col("check") != F.col("linked")
     return places.join(classes, "node", "left").select(
         "doc_id",
         "line_no",
-        "line_class",
-        (F.col("node").isNull() | F.col("first").eqNullSafe(F.struct("doc_id", "line_no"))).alias("kept"),
+        F.when(other, F.col("check")).otherwise(F.col("line_class")).alias("line_class"),
+        (F.col("node").isNull() | other | F.col("first").eqNullSafe(F.struct("doc_id", "line_no"))).alias("kept"),
     )
 
 
-def deduped_texts(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """doc_id and text without the lines that ``line_dedup`` dropped; ids must be unique."""
-    gone = lines.where("NOT kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
-    rest = F.filter(F.split("text", "\n"), lambda _, k: ~F.coalesce(F.array_contains("gone", k), F.lit(False)))
-    return docs.join(gone, "doc_id", "left").select("doc_id", F.array_join(rest, "\n").alias("text"))
-
-
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"))

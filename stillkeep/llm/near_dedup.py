@@ -6,8 +6,9 @@ equal registers are as likely as sets are alike. Runs of registers are hashed in
 share a band are candidates; the likelihood of the joint register comparisons discards those that cannot
 reach the threshold, and full sets confirm the rest.
 
-Large buckets never become pair lists. Their members form families; a family's sets are compared exactly in
-blocks of bounded size, one task for a pair of blocks, and a block gives out only a spanning forest of its links.
+Large buckets never become pair lists. Their members are first compared with one of them, which links a group of near
+copies at once. What is left is compared exactly in blocks of bounded size, between blocks that a link can join by size
+and by distance from that one, and a block gives out only a spanning forest of its links.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stillkeep.llm.common import KeyFilter, components, hashed_words, mixed, stored, table, text_slices
+from stillkeep.llm.common import KeyFilter, components, hashed_words, mixed, stored, table, text_hash, text_slices
 
 REGISTERS = 256
 BASE = 1.01  # ratio of neighbouring register values
 _OFFSET = 400  # register value of a point at 1.0
 _SLACK = 10.0  # a register stays empty with probability e**-10 for a document
-BLOCK = 192  # family members in a block, about
+BLOCK = 192  # members of a group in a block, about
+ELEMENTS = 8_000_000  # set elements in a block, about: its memory
 
 
 def shingle_sets(data: np.ndarray, starts: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,12 +114,13 @@ def _signer(words: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch]]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
+                        batch.column(2).slice(a, b - a),
                         pa.array(sizes.astype(np.int64)),
                         pa.array(h1.view(np.int64)),
                         pa.array(h2.view(np.int64)),
                         pa.array([r.tobytes() if r.any() else None for r in regs], pa.binary()),
                     ],
-                    ["id", "n", "h1", "h2", "regs"],
+                    ["id", "text_hash", "n", "h1", "h2", "regs"],
                 )
 
     return sign
@@ -128,9 +131,9 @@ def _sets(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
         for batch in batches:
             for a, b, data, starts in text_slices(batch.column(1)):
                 doc, h = shingle_sets(data, starts, words)
-                ends = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=b - a)))).astype(np.int64)
-                lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists.cast(pa.list_(pa.int64()))], ["node", "items"])
+                n = np.bincount(doc, minlength=b - a).astype(np.int64)
+                lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n)))), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists.cast(pa.list_(pa.int64())), pa.array(n)], ["node", "items", "n"])
 
     return make
 
@@ -172,11 +175,18 @@ def _may_reach(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return weigh
 
 
-def _block_links(num: int, den: int, as_sets: Callable[[pd.Series], list[np.ndarray]] | None = None) -> Callable[[pd.DataFrame], pd.DataFrame]:
+Sets = Callable[[pd.Series], list[np.ndarray]]
+
+
+def _plain_sets(items: pd.Series) -> list[np.ndarray]:
+    return [np.asarray(s, dtype=np.int64) for s in items]
+
+
+def _block_links(num: int, den: int, as_sets: Sets) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def links(block: pd.DataFrame) -> pd.DataFrame:
-        """A spanning forest of the links among the sets of a block pair, by exact intersection sizes."""
+        """A spanning forest of the links among the sets of a block, by exact intersection sizes."""
         nodes, k = block["node"].to_numpy(), len(block)
-        sets = as_sets(block["items"]) if as_sets else [np.asarray(s, dtype=np.int64) for s in block["items"]]
+        sets = as_sets(block["items"])
         size = np.array([len(s) for s in sets], dtype=np.int64)
         owner = np.repeat(np.arange(k), size)
         _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -208,6 +218,69 @@ def _block_links(num: int, den: int, as_sets: Callable[[pd.Series], list[np.ndar
     return links
 
 
+def _star(num: int, den: int, as_sets: Sets) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Compares the members of a chunk with their group's smallest node, whose set is in every chunk.
+
+    Gives each member's cell: d, how many threshold distances it lies from that set (0: linked with it), and s, its size in steps
+    of the threshold. The Jaccard distance is a metric, so linked members are at most one step apart in d, and in s likewise.
+    """
+    reach = (den - num) / den * (1 + 1e-9) or 1.0
+    step = math.log(den / num) * (1 + 1e-9) or 1.0
+
+    def star(chunk: pd.DataFrame) -> pd.DataFrame:
+        sets = as_sets(chunk["items"])
+        of = int(np.flatnonzero(chunk["node"].to_numpy() == chunk["a"].to_numpy())[0])
+        size = np.array([len(x) for x in sets], dtype=np.int64)
+        common = np.array([len(np.intersect1d(x, sets[of], assume_unique=True)) for x in sets], dtype=np.int64)
+        union = size + size[of] - common
+        d = np.where(den * common >= num * union, 0, np.maximum(1, np.floor((1 - common / np.maximum(union, 1)) / reach)))
+        s = np.floor(np.log(np.maximum(size, 1)) / step)
+        return pd.DataFrame({"a": chunk["a"], "node": chunk["node"], "d": d.astype(np.int32), "s": s.astype(np.int32), "n": size})
+
+    return star
+
+
+def _blocks(rows: DataFrame, keys: list[str], block: int, elements: int) -> DataFrame:
+    """(keys, blocks): in how many blocks of about ``block`` members and ``elements`` set elements at most a group goes."""
+    most = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / elements))
+    return rows.groupBy(*keys).agg(most.cast("int").alias("blocks"))
+
+
+def _compared(groups: DataFrame, sets: DataFrame, num: int, den: int, as_sets: Sets, block: int, elements: int) -> DataFrame:
+    """The links (u, v), as spanning forests, within each group (a, node); a, the smallest node, is a member.
+
+    A group of one block is compared whole. In a larger one all members are first compared with a, in chunks. Those linked
+    with a are one component already; the others are compared with each other and with the linked ones, but only between
+    cells (see ``_star``) that a link can join, in blocks of bounded size.
+    """
+    members = groups.join(sets.select("node", "n"), "node")
+    sized = stored(members.join(_blocks(members, ["a"], block, elements), "a"), "sized")
+    none = F.lit(0)
+    whole = sized.where("blocks = 1").select("a", "node", *(none.alias(c) for c in ("d", "s", "e", "t", "i", "j")))
+    chunks = sized.where("blocks > 1").select("a", "node", F.pmod(F.xxhash64("node", F.lit(3)), "blocks").cast("int").alias("chunk"))
+    centres = sized.where("blocks > 1 AND node = a").select("a", "node", F.explode(F.sequence(none, F.col("blocks") - 1)).alias("chunk"))
+    met = chunks.where("node <> a").unionByName(centres).join(sets.select("node", "items"), "node")
+    star = stored(met.groupBy("a", "chunk").applyInPandas(_star(num, den, as_sets), "a bigint, node bigint, d int, s int, n bigint"), "star")
+    cells = stored(_blocks(star.where("node <> a"), ["a", "d", "s"], block, elements), "cells")
+    # half of the neighbouring cells, so that a pair of cells is met once; members linked with a need no comparison among themselves
+    steps = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(s).alias("s")) for d, s in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))))
+    near = cells.select("a", "d", "s", F.col("blocks").alias("k"), F.explode(steps).alias("step"))
+    near = near.select("a", "d", "s", "k", (F.col("d") + F.col("step.d")).alias("e"), (F.col("s") + F.col("step.s")).alias("t"))
+    other = cells.select("a", F.col("d").alias("e"), F.col("s").alias("t"), F.col("blocks").alias("l"))
+    near = stored(near.where("d > 0 OR e > 0").join(other, ["a", "e", "t"]), "near_cells")
+    rest = star.where("node <> a").select("a", "node", "d", "s")
+    upto = lambda n: F.explode(F.sequence(none, F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), n).cast("int")
+    left = rest.join(near, ["a", "d", "s"]).withColumn("i", own("k")).withColumn("j", upto("l"))
+    same = (F.col("d") == F.col("e")) & (F.col("s") == F.col("t"))
+    left = left.withColumns({"i": F.when(same, F.least("i", "j")).otherwise(F.col("i")), "j": F.when(same, F.greatest("i", "j")).otherwise(F.col("j"))})
+    right = rest.withColumnsRenamed({"d": "e", "s": "t"}).join(near.where(~same), ["a", "e", "t"]).withColumn("j", own("l")).withColumn("i", upto("k"))
+    keys = ["a", "d", "s", "e", "t", "i", "j"]
+    placed = whole.unionByName(left.select("node", *keys)).unionByName(right.select("node", *keys))
+    found = placed.join(sets.select("node", "items"), "node").groupBy(*keys).applyInPandas(_block_links(num, den, as_sets), "u bigint, v bigint")
+    return found.unionByName(star.where("d = 0 AND node <> a").select(F.col("a").alias("u"), F.col("node").alias("v")))
+
+
 def linked_components(
     bands: DataFrame,
     sets_of: Callable[[DataFrame], DataFrame],
@@ -215,22 +288,20 @@ def linked_components(
     den: int,
     weigh: Callable[[DataFrame], DataFrame] | None = None,
     confirm: Callable[[DataFrame], DataFrame] | None = None,
-    as_sets: Callable[[pd.Series], list[np.ndarray]] | None = None,
-    by_bucket: bool = False,
+    as_sets: Sets = _plain_sets,
+    block: int = BLOCK,
+    elements: int = ELEMENTS,
 ) -> DataFrame:
     """Components (node, component) of nodes that share a band key and whose sets are alike by num / den; single nodes are left out.
 
-    bands: distinct (node, key). sets_of: gives (node, items) for a table of wanted nodes, more nodes do no harm.
-    weigh: discards candidate pairs (u, v) before their sets are read. confirm: keeps the linked of pairs with items su and sv,
-    as_sets: makes sets of items; both where items are not yet sets of integers. by_bucket: only large buckets with the same
-    smallest node are compared as one, which suits small items and many overlapping buckets; otherwise all buckets that share
-    nodes form a family first.
+    bands: distinct (node, key). sets_of: (node, items, n) for a table of wanted nodes, one row for each, n the elements of a set or
+    an upper bound. weigh: discards candidate pairs (u, v) before their sets are read. confirm: keeps the linked of pairs with items su
+    and sv; as_sets: makes sets of items; both where items are not yet sets of integers. Buckets of more than three nodes that have one
+    smallest node are compared as one group.
     """
-    # tells whether two buckets have the same members
-    members = [] if by_bucket else [F.bit_xor(F.xxhash64("node")).alias("h")]
     buckets = stored(
         bands.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor("node").alias("x"), *members)
+        .agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor("node").alias("x"))
         .where("k > 1"),
         "buckets",
     )
@@ -250,20 +321,11 @@ def linked_components(
         .distinct()
     )
     pairs = stored(weigh(pairs) if weigh else pairs, "pairs")
-    # larger buckets: families, compared in blocks
-    # a bucket that other bands repeat with the same members is taken once
-    large = buckets.where("k > 3")
-    if not by_bucket:
-        large = large.groupBy("k", "a", "b", "x", "h").agg(F.min("key").alias("key"))
-    large = stored(large.select("key", "a"), "large")
-    near = bands.where(KeyFilter(large, "key").may_contain(F.col("key")))  # most keys are in no large bucket
-    if by_bucket:
-        family = near.join(large, "key").select("node", F.col("a").alias("component")).distinct()
-    else:
-        family = components(near.join(large, "key").select(F.col("a").alias("u"), F.col("node").alias("v")), "families")
-    family = stored(family, "family")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(family.select("node")).distinct()
-    sets = stored(sets_of(stored(wanted, "wanted")).dropDuplicates(["node"]), "sets")
+    large = stored(buckets.where("k > 3").select("key", "a"), "large")
+    near = KeyFilter(large, "key").matching(bands, F.col("key"))  # most keys are in no large bucket
+    groups = stored(near.join(large, "key").select("a", "node").distinct(), "groups")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(groups.select("node")).distinct()
+    sets = stored(sets_of(stored(wanted, "wanted")), "sets")
     of = lambda end: sets.select(F.col("node").alias(end), F.col("items").alias(f"s{end}"))
     joined = pairs.join(of("u"), "u").join(of("v"), "v")
     if confirm:
@@ -272,16 +334,7 @@ def linked_components(
         common = F.size(F.array_intersect("su", "sv"))
         sizes = joined.select("u", "v", common.alias("c"), (F.size("su") + F.size("sv") - common).alias("all"))
         confirmed = sizes.where(F.col("c") * den >= F.col("all") * num).select("u", "v")
-    sizes = family.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = (
-        family.join(sizes, "component")
-        .withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
-    )
-    blocks = placed.join(sets, "node").groupBy("component", "i", "j")
-    edges = confirmed.unionByName(blocks.applyInPandas(_block_links(num, den, as_sets), "u bigint, v bigint"))
-    return components(edges, "links")
+    return components(confirmed.unionByName(_compared(groups, sets, num, den, as_sets, block, elements)), "links")
 
 
 def near_dedup(
@@ -290,22 +343,21 @@ def near_dedup(
     """Documents linked by den * |A & B| >= num * |A | B| on sets of ``words``-word shingles, and their components.
 
     Returns one row per input row: ``id_col``, n_shingles, component_id (the smallest id reachable, itself
-    included), kept (its id is the component's). Other columns are neither read nor returned. A null or empty
-    text, or one of white space, has no shingle and is linked with nothing. Equal sets are always linked. Ids tell
-    different texts apart; rows repeated with one id belong to one component and are each kept or not by
-    it. A row without id belongs to the component of rows with its set, or to none (null). An empty table gives no rows.
+    included), kept (its id is the component's), text_hash (``common.text_hash``). Other columns are neither read nor returned. A null or
+    empty text, or one of white space, has no shingle and is linked with nothing. Equal sets are always linked. A repeated
+    id with several texts: each text has its own links and component. A row without id belongs to the component of rows with
+    its set, or to none (null). An empty table gives no rows.
 
     The candidate search misses a pair at the threshold with a chance below 5e-6 and a closer pair with less.
     """
     threshold = num / den
-    body = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
-    signed = stored(
-        body.mapInArrow(_signer(words, threshold), f"id {dict(body.dtypes)['id']}, n bigint, h1 bigint, h2 bigint, regs binary"),
-        "sketches",
-    )
-    kinds = stored(
-        signed.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("node"), F.first("regs").alias("regs")), "kinds"
-    )
+    text = F.col(text_col).cast("string")
+    body = docs.select(F.col(id_col).alias("id"), text.alias("body"), text_hash(text).alias("text_hash"))
+    shape = f"id {dict(body.dtypes)['id']}, text_hash bigint, n bigint, h1 bigint, h2 bigint, regs binary"
+    signed = stored(body.mapInArrow(_signer(words, threshold), shape), "sketches")
+    row = F.when(F.col("id").isNotNull(), F.struct(F.col("id").cast("bigint").alias("id"), "text_hash"))
+    kinds = signed.where("n > 0").groupBy("n", "h1", "h2").agg(F.min(row).alias("row"), F.first("regs").alias("regs"))
+    kinds = _numbered(stored(kinds.select("n", "h1", "h2", "row.id", "row.text_hash", "regs"), "kinds"))
     rows, count = bands_for(threshold)
     band = F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("band")
     bands = (
@@ -319,18 +371,35 @@ def near_dedup(
         return pairs.join(sketch("u"), "u").join(sketch("v"), "v").mapInArrow(_may_reach(threshold), "u bigint, v bigint")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        may = KeyFilter(wanted, "node").may_contain(F.col("id").cast("bigint"))
-        return body.where(may).mapInArrow(_sets(words), "node bigint, items array<bigint>")
-
-    found = linked_components(bands, sets_of, num, den, weigh).withColumnRenamed("component", "of_node")
-    classes = kinds.join(found, "node", "left").select("n", "h1", "h2", F.coalesce("of_node", "node").alias("component_id"))
+        own = stored(kinds.select("node", "id", "text_hash").join(wanted, "node"), "wanted_rows")
+        near = KeyFilter(own, "id").matching(body, F.col("id").cast("bigint"))
+        texts = near.join(own, ["id", "text_hash"]).select("node", "body").dropDuplicates(["node"])
+        return texts.mapInArrow(_sets(words), "node bigint, items array<bigint>, n bigint")
+
+    found = linked_components(bands, sets_of, num, den, weigh).join(kinds.select("node", "id"), "node")
+    least = found.groupBy("component").agg(F.min("id").alias("least"))
+    found = found.join(least, "component").select("node", "least")
+    classes = kinds.join(found, "node", "left").select("n", "h1", "h2", F.coalesce("least", "id").alias("component_id"))
     return signed.join(classes, ["n", "h1", "h2"], "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(F.col("n") == 0, F.lit(True)).otherwise(F.col("id").eqNullSafe(F.col("component_id"))).alias("kept"),
+        "text_hash",
     )
 
 
+def _numbered(kinds: DataFrame) -> DataFrame:
+    """With node: the id, but a new number above all ids where several sets have the same id."""
+    kinds = kinds.withColumn("node", F.col("id"))
+    several = stored(kinds.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select("id"), "several")
+    if several.isEmpty():
+        return kinds
+    top = kinds.agg(F.max("id")).first()[0]
+    new = kinds.join(several, "id", "left_semi").withColumn("node", F.monotonically_increasing_id() + F.lit(top + 1))
+    rest = kinds.join(several, "id", "left_anti")
+    return stored(rest.unionByName(new.select(rest.columns)), "numbered")
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents"), words=3, num=85, den=100)
+    return near_dedup(table(spark, sf_dir, "documents"), words=3, num=85, den=100).drop("text_hash")
