@@ -18,28 +18,40 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of 0.3 or more go; the model is fitted on the labels of these documents."""
+    """Documents with a toxicity score of 0.3 or more go; the model is fitted on these documents and their labels.
+
+    A null or empty text has the score of a text without any sign and stays; repeated rows are judged alike.
+    """
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
     return docs.where(model.score()(F.col("text")) < 0.3)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays, the one with the largest doc_id."""
+    """One document of each group of equal texts stays, the one with the largest doc_id; null counts as empty.
+
+    Rows that repeat that doc_id and text stay together, and so do rows without an id.
+    """
     return without(docs, exact_dedup(docs).where(~F.col("kept")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id; sets of five words, similarity of 0.8 or more."""
+    """One document of each group stays, the one with the smallest doc_id; sets of five words, similarity of 0.8 or more.
+
+    Texts without words and rows without an id stay; another text under a repeated doc_id is judged by itself.
+    """
     return without(docs, near_dedup(docs, words=5, num=80, den=100).where(~F.col("kept")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, up to a fifth of its words edited, go."""
+    """Documents that hold a benchmark item, up to a fifth of its words edited, go.
+
+    Null and empty texts and rows without an id stay; another text under a repeated doc_id is judged by itself.
+    """
     return without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of 1024 tokens."""
+    """The pieces of all documents with their places in sequences of 1024 tokens; a null text is the end id alone, rows repeat."""
     return packed_documents(docs)
 
 
