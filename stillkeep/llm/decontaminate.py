@@ -18,22 +18,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stillkeep.llm.common import hashed_words, mixed, table, text_slices
+from stillkeep.llm.common import hashed_words, mixed, table, text_hash, text_slices
 
 STRIDE = 4  # windows start at every fourth word of a document, items at their first four words; short items have fewer of both
 TABLES = 6  # keys taken from one walk
 PLACES = 4  # places of the output in a key
+MOST_WALKS = 200  # where more were needed, shared word sequences give the candidates, all of them
+CELLS = 4_000_000  # words of text that are walked or compared at once
 
 
 def walks(words: np.ndarray, length: int, walk: int) -> np.ndarray:
     """CGK output of the given walk for each row of words (rows x width; 0 stands after the end): rows x length symbols."""
     at = np.zeros(len(words), dtype=np.int64)
     rows = np.arange(len(words))
-    bits = [mixed(words, 1000 * walk + k) for k in range(math.ceil(length / 64))]
     out = np.zeros((len(words), length), dtype=np.uint64)
     for step in range(length):
-        out[:, step] = words[rows, at]
-        move = (bits[step // 64][rows, at] >> np.uint64(step % 64)) & np.uint64(1)
+        own = out[:, step] = words[rows, at]
+        move = mixed(own, (walk << 24) + step) & np.uint64(1)
         at = np.minimum(at + move.astype(np.int64), words.shape[1] - 1)
     return out
 
@@ -65,8 +66,8 @@ def edits_of(words: int, num: int, den: int) -> int:
     return (den - num) * words // den
 
 
-def walks_needed(words: int, distance: int, steps: int, stride: int, places: int, recall: float, trials: int = 400) -> int:
-    """Walks for which the tables find an item at this distance with the target probability, by simulation.
+def walks_needed(words: int, distance: int, steps: int, stride: int, places: int, recall: float, trials: int = 400) -> int | None:
+    """Walks for which the tables find an item at this distance with the target probability, by simulation; None if MOST_WALKS do not.
 
     As in a document, the passage stands among other words and starts anywhere on the grid; the windows before
     it and at its first grid place meet the item at all of its first places.
@@ -81,7 +82,7 @@ def walks_needed(words: int, distance: int, steps: int, stride: int, places: int
         first = stride + int(rng.integers(stride))
         rights[0, k], rights[1, k] = row[first - stride :][: steps + 1], np.resize(row[first : first + steps + 1], steps + 1)
     missed = np.ones(trials, dtype=bool)
-    for walk in range(200):
+    for walk in range(MOST_WALKS):
         outs = [walks(x, steps, walk) for x in lefts], [walks(x, steps, walk) for x in rights]
         for t in range(TABLES):
             own, seen = ([sampled_keys(x, walk, t, places) for x in side] for side in outs)
@@ -90,7 +91,7 @@ def walks_needed(words: int, distance: int, steps: int, stride: int, places: int
                     missed &= a != b
         if missed.mean() <= 1 - recall:
             return walk + 1
-    return 200
+    return None
 
 
 @dataclass
@@ -103,7 +104,8 @@ class Length:
     steps: int
     walks: int
     gram: int  # words in a row that a match within the distance must share with its item
-    grams: np.ndarray  # the items' word sequences of that length
+    grams: np.ndarray  # the items' word sequences of that length, sorted
+    gram_items: tuple[np.ndarray, np.ndarray, np.ndarray] | None  # without walks: the sequences again, each with its item and its place there
     keys: list[np.ndarray]  # for each walk and table, sorted
     owners: list[np.ndarray]  # the item of each key
     plain: int  # words of the window that the last key takes as they are, so that a passage without an edit is found
@@ -155,7 +157,7 @@ def build_index(items: list[tuple[int, str]], num: int, den: int, recall: float,
             hardest = next(k for k in range(low, high) if edits_of(k, num, den) == edits)
             n = walks_needed(hardest, edits, steps, len(shifts), places, recall)
             keys, owners = [], []
-            for walk in range(n):
+            for walk in range(n or 0):
                 out = walks(rows, steps, walk)
                 for t in range(TABLES):
                     key = sampled_keys(out, walk, t, places)
@@ -169,8 +171,12 @@ def build_index(items: list[tuple[int, str]], num: int, den: int, recall: float,
             owners.append(owner[order])
             # that many edits cut an item into at most one piece more, and one of the pieces has this length
             gram = max(1, low // (edits + 1))
-            grams = np.unique(np.concatenate([grams_of(words[k], gram) for k in own]))
-            lengths.append(Length(low, high - 1, len(shifts), steps, n, gram, grams, keys, owners, plain))
+            parts = [grams_of(words[k], gram) for k in own]
+            grams = np.concatenate(parts)
+            order = np.argsort(grams, kind="stable")
+            of = np.repeat(np.array(own), [len(x) for x in parts])[order], np.concatenate([np.arange(len(x)) for x in parts])[order]
+            found = None if n else (grams[order], *of)
+            lengths.append(Length(low, high - 1, len(shifts), steps, n or 0, gram, np.unique(grams), found, keys, owners, plain))
         low = high
     vocabulary = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
     return Index(ids, words, vocabulary, lengths, num, den)
@@ -217,15 +223,24 @@ def _candidates(w: np.ndarray, first: np.ndarray, count: np.ndarray, index: Inde
         grids[stride] = grid, np.repeat(first + count, -(-count // stride))
     starts, items = [], []
 
-    def look_up(q: np.ndarray, key: np.ndarray, keys: np.ndarray, owners: np.ndarray) -> None:
+    def look_up(q: np.ndarray, key: np.ndarray, keys: np.ndarray, owners: np.ndarray, places: np.ndarray | None = None, least: np.ndarray | None = None) -> None:
+        """Notes where keys of the text meet keys of items; with places, where the item would start, not before ``least``."""
         lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
         hit = np.flatnonzero(hi > lo)
         for k in range(int((hi - lo)[hit].max(initial=0))):
             some = hit[(hi - lo)[hit] > k]
-            starts.append(q[some])
+            starts.append(q[some] if places is None else np.maximum(q[some] - places[lo[some] + k], least[some]))
             items.append(owners[lo[some] + k])
 
+    whose = np.repeat(np.arange(len(first)), count)
+
     for own in index.lengths:
+        if own.gram_items:
+            keys, owners, places = own.gram_items
+            here = np.arange(max(0, len(w) - own.gram + 1))
+            here = here[whose[here] == whose[here + own.gram - 1]] if len(here) else here
+            look_up(here, sizes[own.gram][here], keys, owners, places, first[whose[here]])
+            continue
         # a stretch that matches has at most `reach` words, of which all but the edits are words of the item
         grid, end_of = grids[own.stride]
         reach = own.most + edits_of(own.most, index.num, index.den)
@@ -234,8 +249,9 @@ def _candidates(w: np.ndarray, first: np.ndarray, count: np.ndarray, index: Inde
         seeds = counted(sizes[own.gram], own.grams)
         live = (known[stop] - known[grid] >= max(1, need)) & (seeds[stop] > seeds[np.maximum(grid - STRIDE, 0)])
         p, e = grid[live], end_of[live]
-        for a in range(0, len(p), 20_000):
-            q, f = p[a : a + 20_000], e[a : a + 20_000]
+        some = max(1, CELLS // (3 * own.steps))
+        for a in range(0, len(p), some):
+            q, f = p[a : a + some], e[a : a + some]
             cells = q[:, None] + np.arange(own.steps + 1)
             rows = np.where(cells < f[:, None], w[np.minimum(cells, len(w) - 1)], np.uint64(0))
             for walk in range(own.walks):
@@ -263,8 +279,9 @@ def contaminated_spans(w: np.ndarray, first: np.ndarray, count: np.ndarray, inde
         most = edits_of(len(words), index.num, index.den)
         own = np.flatnonzero(items == item)
         width = 2 * (len(words) + most) + STRIDE
-        for a in range(0, len(own), 4096):
-            some = own[a : a + 4096]
+        at_once = max(1, CELLS // (2 * width))
+        for a in range(0, len(own), at_once):
+            some = own[a : a + at_once]
             d = doc[some]
             left = np.maximum(first[d], starts[some] - most - STRIDE)
             cells = left[:, None] + np.arange(width)
@@ -278,23 +295,23 @@ def contaminated_spans(w: np.ndarray, first: np.ndarray, count: np.ndarray, inde
     return [(d, i, distance, end) for (d, i), (distance, end) in sorted(best.items())]
 
 
-SCHEMA = "doc_id bigint, item_id bigint, distance int, item_words int, end_word bigint"
+SCHEMA = "doc_id bigint, item_id bigint, distance int, item_words int, end_word bigint, text_hash bigint"
 
 
 def _search(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
-        names = ("doc_id", "item_id", "distance", "item_words", "end_word")
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+        names = ("doc_id", "item_id", "distance", "item_words", "end_word", "text_hash")
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
         for batch in batches:
-            ids = batch.column(0)
+            ids, hashes = batch.column(0), batch.column(2)
             rows: list[tuple] = []
             for a, b, data, starts in text_slices(batch.column(1)):
                 w, doc, _, _ = hashed_words(data, starts)
                 count = np.bincount(doc, minlength=b - a)
                 first = np.cumsum(count) - count
                 for d, item, distance, end in contaminated_spans(w, first, count, index):
-                    rows.append((ids[a + d].as_py(), index.ids[item], distance, len(index.items[item]), end))
+                    rows.append((ids[a + d].as_py(), index.ids[item], distance, len(index.items[item]), end, hashes[a + d].as_py()))
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
@@ -306,9 +323,10 @@ def decontaminate(
 ) -> DataFrame:
     """Documents that hold a stretch within edit distance ``(den - num) * words // den`` of a benchmark item, in words.
 
-    Returns one row per (doc_id, item_id) found: the distance of the best stretch, the item's number of words, and the
-    word of the document at which the stretch ends (from 0, exclusive). Case of A-Z and white space do not count.
-    ``recall`` is for windows at the largest distance; items that occur without an edit are always found.
+    Returns one row per (doc_id, item_id) found: the distance of the best stretch, the item's number of words, the
+    word of the document at which the stretch ends (from 0, exclusive), and text_hash (``common.text_hash``). Case of A-Z and
+    white space do not count. ``recall`` is for windows at the largest distance; items that occur without an edit are always
+    found. Where walks cannot reach the recall, all stretches that share a word sequence with an item, which a match must, are compared.
     The benchmark is broadcast in blocks of about ``block_words`` words; a larger one takes a scan for each block.
     Null and empty texts on either side match nothing, null ids stay null, repeated documents give rows each, repeated
     items too; other columns are not read. An empty table on either side gives no rows.
@@ -317,7 +335,8 @@ def decontaminate(
     named = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text")
     words = named.agg(F.sum(F.size(F.split(F.trim("text"), r"\s+")).cast("bigint"))).first()[0] or 0
     blocks = max(1, math.ceil(words / block_words))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), text_hash(text).alias("text_hash"))
     out = None
     for block in range(blocks):
         own = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
@@ -328,4 +347,4 @@ def decontaminate(
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
