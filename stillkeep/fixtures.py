@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stillkeep.functions.pixels import let
 from stillkeep.storage import table
 
 START_US = 1_704_067_200_000_000
@@ -35,8 +36,9 @@ def event_frames(spark: SparkSession, sf_dir: str, hashes: bool = False) -> Data
         "event_id",
     )
     if hashes:
-        own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_vec"), sign_hash(F.col("embedding")).alias("hash"))
-        out = out.withColumn("_vec", F.col("event_id") % 500).join(own, "_vec").drop("_vec")
+        vectors = table(spark, sf_dir, "embeddings")
+        own = vectors.select(F.col("vec_id").alias("_vec"), sign_hash(F.col("embedding")).alias("hash"))
+        out = out.withColumn("_vec", F.col("event_id") % F.lit(max(1, vectors.count()))).join(own, "_vec").drop("_vec")
     return out
 
 
@@ -46,13 +48,8 @@ EVENTS_SQL = f"""ev AS (
          least(1.0::DOUBLE, value / 100.0::DOUBLE) AS final_score, event_type, event_id
   FROM events)"""
 
-#: A hash as a list of 64 booleans: comparing lists needs no unsigned arithmetic.
-SIGN_SQL = """sg AS (
-  SELECT vec_id, label, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings)"""
-
-
-def same_bits(a: str, b: str) -> str:
-    return f"list_sum(list_transform(list_zip({a}, {b}), lambda z: CASE WHEN z[1] = z[2] THEN 1 ELSE 0 END))"
+#: The vector of an event: every vector is some event's.
+VECTOR_SQL = "event_id % (SELECT count(*) FROM embeddings)"
 
 
 def sign_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +77,20 @@ def pixel_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def large_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64x64 grey previews: each of the 8x8 values as a block with some grain."""
+    small = pixel_frames(spark, sf_dir).select("video_id", "frame_index", "luma")
+
+    def one(luma: Column, i: Column) -> Column:
+        y, x = F.shiftright(i, 6), i % 64
+        grain = (x * 7 + y * 13 + x * y) % 11
+        return F.least(F.lit(255), F.get(luma, F.shiftright(y, 3) * 8 + F.shiftright(x, 3)) + grain)
+
+    cells = lambda luma: F.transform(F.sequence(F.lit(0), F.lit(4095)), lambda i: F.repeat(F.lpad(F.hex(one(luma, i)), 2, "0"), 3))
+    rgb = F.unhex(F.array_join(let(F.col("luma"), cells), ""))
+    return small.select("video_id", "frame_index", F.lit(64).alias("width"), F.lit(64).alias("height"), rgb.alias("rgb"))
+
+
 PIXELS_SQL = """px AS (
   SELECT label AS video_id, vec_id AS frame_index,
          list_transform(embedding, lambda x: least(255, greatest(0, CAST(floor((CAST(x AS DOUBLE) + 0.25::DOUBLE) * 510) AS INTEGER)))) AS luma

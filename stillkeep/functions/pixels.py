@@ -61,7 +61,7 @@ def _variance(values: Column) -> Column:
 
 def laplacian_variance(luma: Column, width: int, height: int) -> Column:
     """On grey in 0..255."""
-    return _variance(_filtered(luma, width, height, LAPLACE))
+    return let(luma, lambda g: _variance(_filtered(g, width, height, LAPLACE)))
 
 
 def technical_measures(luma: Column, width: int, height: int, s: TechnicalSettings) -> dict[str, Column]:
@@ -108,6 +108,10 @@ def cosine_matrix(n: int) -> list[list[float]]:
 
 def dct(luma: Column, n: int) -> Column:
     """Two-dimensional DCT-II of an n x n preview, row-major, as two passes with one matrix of literals."""
+    return let(luma, lambda g: _dct(g, n))
+
+
+def _dct(luma: Column, n: int) -> Column:
     m = F.array(*(F.lit(v) for row in cosine_matrix(n) for v in row))
     cells, steps = F.sequence(F.lit(0), F.lit(n * n - 1)), F.sequence(F.lit(0), F.lit(n - 1))
     zero = F.lit(0.0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -52,38 +53,67 @@ def duplicate_pairs(candidates: DataFrame, similarity: Similarity, window: float
             F.col("l.frame_index").alias("better"),
             F.col("r.frame_index").alias("worse"),
             F.col("l.rank").alias("better_rank"),
+            F.col("r.rank").alias("worse_rank"),
+            F.col("l.t").alias("better_t"),
+            F.col("r.t").alias("worse_t"),
             "similarity",
             F.abs(F.col("l.t") - F.col("r.t")).alias("time_delta_seconds"),
         )
     )
 
 
-def deduplicate(candidates: DataFrame, similarity: Similarity, window: float, threshold: float) -> DataFrame:
+def _decided(edges: pd.DataFrame) -> pd.DataFrame:
+    """Frames of a stretch that can be decided from its own edges, best first."""
+    better, worse = edges["better"].to_numpy(), edges["worse"].to_numpy()
+    rank: dict[int, int] = dict(zip(better[edges["better_here"]], edges["better_rank"][edges["better_here"]], strict=True))
+    rank |= dict(zip(worse[edges["worse_here"]], edges["worse_rank"][edges["worse_here"]], strict=True))
+    above: dict[int, list[int]] = {}
+    for b, w, here in zip(better.tolist(), worse.tolist(), edges["worse_here"], strict=True):
+        if here:
+            above.setdefault(w, []).append(b)
+    kept: dict[int, bool] = {}
+    for frame in sorted(rank, key=rank.__getitem__):
+        states = [kept.get(b) for b in above.get(frame, ())]
+        if any(states):
+            kept[frame] = False
+        elif all(x is False for x in states):
+            kept[frame] = True
+    return pd.DataFrame({"video_id": edges["video_id"].iloc[0], "frame_index": list(kept), "kept": list(kept.values())})
+
+
+def deduplicate(candidates: DataFrame, similarity: Similarity, window: float, threshold: float, stretch: int = 500) -> DataFrame:
     """Candidates with state kept or duplicate; duplicates with the best kept one that they repeat.
 
-    Frames without an undecided better neighbour are kept; what they dominate is duplicate and its edges go. Each round is
-    joins on slim rows, and rounds are as many as the longest chain of falling scores needs.
+    A round decides all frames that it can inside stretches of ``stretch`` windows of time, best first: kept, if every better
+    neighbour is a duplicate; duplicate, if one is kept; else open until a neighbour from another stretch is decided. Stretches
+    move by half from round to round, so rounds grow with the number of stretches that a chain of falling scores goes through.
+    A task holds the open edges of one stretch, nothing is collected beyond it.
     """
     rows = stored(ranked(candidates), "ranked")
     edges = stored(duplicate_pairs(rows, similarity, window, threshold), "edges")
-    live = edges.select("video_id", "better", "worse")
-    gone = None
+    live = edges.select("video_id", "better", "worse", "better_rank", "worse_rank", "better_t", "worse_t")
+    key = {"video_id": live.schema["video_id"].dataType.simpleString(), "frame_index": live.schema["better"].dataType.simpleString()}
+    gone, turn = None, 0
     while not live.isEmpty():
-        worse = live.select("video_id", F.col("worse").alias("frame_index")).distinct()
-        heads = live.select("video_id", F.col("better").alias("frame_index")).distinct().join(worse, ["video_id", "frame_index"], "left_anti")
-        heads = stored(heads, "heads")
-        better_is = lambda x: x.withColumnRenamed("frame_index", "better")
+        part = lambda t: F.floor(F.col(t) / F.lit(window * stretch) + F.lit(turn % 2 / 2)).alias("part")  # noqa: B023, E731
+        here = live.withColumn("part", F.explode(F.array_distinct(F.array(part("better_t"), part("worse_t")))))
+        ends = here.withColumns({"better_here": part("better_t") == F.col("part"), "worse_here": part("worse_t") == F.col("part")})
+        state = ends.groupBy("video_id", "part").applyInPandas(_decided, f"video_id {key['video_id']}, frame_index {key['frame_index']}, kept boolean")
+        state = stored(state, "decided")
+        is_ = lambda x, end: x.withColumnRenamed("frame_index", end).select("video_id", end)
+        kept = state.where("kept")
         new = stored(
-            live.join(better_is(heads), ["video_id", "better"], "left_semi").select("video_id", F.col("worse").alias("frame_index")).distinct(), "duplicates"
+            live.join(is_(kept, "better"), ["video_id", "better"], "left_semi")
+            .select("video_id", F.col("worse").alias("frame_index"))
+            .unionByName(state.where("NOT kept").select("video_id", "frame_index"))
+            .distinct(),
+            "duplicates",
         )
         gone = new if gone is None else gone.unionByName(new)
-        live = stored(
-            live.join(better_is(heads), ["video_id", "better"], "left_anti")
-            .join(better_is(new), ["video_id", "better"], "left_anti")
-            .join(new.withColumnRenamed("frame_index", "worse"), ["video_id", "worse"], "left_anti")
-            .select("video_id", "better", "worse"),
-            "live",
-        )
+        rest = live.join(is_(kept, "better"), ["video_id", "better"], "left_anti")
+        rest = rest.join(is_(new, "better"), ["video_id", "better"], "left_anti").join(is_(new, "worse"), ["video_id", "worse"], "left_anti")
+        live = stored(rest.select(live.columns), "live")
+        turn += 1
     if gone is None:
         gone = edges.select("video_id", F.col("worse").alias("frame_index")).where("false")
     kept = edges.join(gone.withColumnRenamed("frame_index", "better"), ["video_id", "better"], "left_anti")
@@ -104,17 +134,23 @@ def deduplicate(candidates: DataFrame, similarity: Similarity, window: float, th
 
 
 def deduplicate_by_group(candidates: DataFrame, window: float, threshold: float, bits: int = 64) -> DataFrame:
-    """The same as ``deduplicate`` on 64-bit hashes, one task per video: for many short videos. (video_id, frame_index, state)"""
+    """The same as ``deduplicate`` on 64-bit hashes, one task per video: for many short videos. (video_id, frame_index, state)
+
+    Kept frames lie in the order of time, so a frame is compared with those of its window only.
+    """
 
     def walk(video: pd.DataFrame) -> pd.DataFrame:
         kept: list[tuple[float, int]] = []
         states = []
+        time = lambda k: k[0]
         for row in video.sort_values(["final_score", "frame_index"], ascending=[False, True]).itertuples():
+            # a little wider than the window, whose exact bound is the difference below
+            a, b = bisect_left(kept, row.t - window * 1.001, key=time), bisect_right(kept, row.t + window * 1.001, key=time)
             again = any(
-                abs(row.t - t) <= window and 1 - ((row.hash ^ h) & (2**64 - 1)).bit_count() / bits >= threshold for t, h in kept
+                abs(row.t - t) <= window and 1 - ((row.hash ^ h) & (2**64 - 1)).bit_count() / bits >= threshold for t, h in kept[a:b]
             )
             if not again:
-                kept.append((row.t, row.hash))
+                insort(kept, (row.t, row.hash))
             states.append((row.video_id, row.frame_index, "duplicate" if again else "kept"))
         return pd.DataFrame(states, columns=["video_id", "frame_index", "state"])
 

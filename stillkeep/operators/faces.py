@@ -66,12 +66,12 @@ def measures(settings: FaceSettings) -> dict[str, Column]:
     }
 
 
-def group_face_score(faces: DataFrame, settings: FaceSettings) -> DataFrame:
+def group_face_score(faces: DataFrame, settings: FaceSettings, keys: tuple[str, ...] = ("frame_index",)) -> DataFrame:
     """Per frame the worst of each measure over its faces (nulls skipped) and their weighted mean, n_faces too."""
-    worst = faces.groupBy("frame_index").agg(*(F.min(e).alias(n) for n, e in measures(settings).items()), F.count(F.lit(1)).alias("n_faces"))
+    worst = faces.groupBy(*keys).agg(*(F.min(e).alias(n) for n, e in measures(settings).items()), F.count(F.lit(1)).alias("n_faces"))
     return worst.withColumn("global_score", weighted_average([(F.col(n), settings.weights[n]) for n in MEASURES]))
 
 
-def with_face_score(frames: DataFrame, scores: DataFrame) -> DataFrame:
+def with_face_score(frames: DataFrame, scores: DataFrame, keys: tuple[str, ...] = ("frame_index",)) -> DataFrame:
     """Every frame; one without faces has null scores and 0 faces."""
-    return frames.join(scores, "frame_index", "left").withColumn("n_faces", F.coalesce("n_faces", F.lit(0)))
+    return frames.join(scores, list(keys), "left").withColumn("n_faces", F.coalesce("n_faces", F.lit(0)))

@@ -57,16 +57,20 @@ def scene_lines(scenes: DataFrame) -> DataFrame:
 
 
 def video_lines(info: DataFrame) -> DataFrame:
-    """One text per video; what is null reads "unavailable"."""
+    """One text per video with all that is known of it; what is null reads "unavailable". Times are in UTC."""
     shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unavailable"))
+    created = F.date_format(F.to_utc_timestamp("creation_time", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     size = F.concat(F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"))
     parts = [
+        F.concat(F.lit("file: "), F.col("path").cast("string")),
         F.concat(F.lit("codec: "), shown("codec")),
         F.concat(F.lit("size: "), F.coalesce(size, F.lit("unavailable"))),
         F.concat(F.lit("fps: "), F.when(F.col("fps").isNull(), "unavailable").otherwise(F.format_string("%.3f", "fps"))),
         F.concat(F.lit("frames: "), shown("approximate_frame_count")),
+        F.concat(F.lit("duration: "), F.when(F.col("duration_seconds").isNull(), "unavailable").otherwise(F.format_string("%.3f", "duration_seconds"))),
         F.concat(F.lit("bitrate: "), shown("bitrate")),
         F.concat(F.lit("orientation: "), shown("orientation_degrees")),
+        F.concat(F.lit("created: "), F.coalesce(created, F.lit("unavailable"))),
     ]
     return info.select("path", F.concat_ws("; ", *parts).alias("line"))
 

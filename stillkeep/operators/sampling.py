@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 def assign_scene(frames: DataFrame, scenes: DataFrame) -> DataFrame:
     """Frames with the scene_id and start of the first scene by start with start <= t < end; other frames drop.
 
-    Where scenes overlap the earliest start wins. Spark broadcasts the scenes if it measures them as small.
+    Where scenes overlap the earliest start wins. One ordered pass for each video over frames and scene starts, the last start
+    running, so no frame meets more than one scene; frames should be slim. A null time drops.
     """
-    s = scenes.select("video_id", F.col("scene_id").alias("_id"), F.col("start_time").alias("_a"), F.col("end_time").alias("_b"))
-    inside = frames.join(s, "video_id").where((F.col("_a") <= F.col("t")) & (F.col("t") < F.col("_b")))
-    first = Window.partitionBy("video_id", "frame_index").orderBy("_a", "_id")
-    return (
-        inside.withColumn("_n", F.row_number().over(first))
-        .where("_n = 1")
-        .withColumnsRenamed({"_id": "scene_id", "_a": "scene_start", "_b": "scene_end"})
-        .drop("_n")
-    )
+    earlier = Window.partitionBy("video_id").orderBy("start_time", "scene_id").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.struct(F.col("scene_id").alias("id"), F.col("start_time").alias("a"), F.col("end_time").alias("b"))
+    # a scene is reached where all earlier ones have ended; from there to its end no other one counts
+    starts = scenes.select("video_id", own.alias("_s"), F.greatest("start_time", F.max("end_time").over(earlier)).alias("t")).where(F.col("t") < F.col("_s.b"))
+    both = frames.where("t IS NOT NULL").withColumn("_kind", F.lit(1)).unionByName(starts.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    run = Window.partitionBy("video_id").orderBy("t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    last = both.withColumn("_s", F.last("_s", ignorenulls=True).over(run)).where((F.col("_kind") == 1) & (F.col("t") < F.col("_s.b")))
+    return last.select(*frames.columns, F.col("_s.id").alias("scene_id"), F.col("_s.a").alias("scene_start"), F.col("_s.b").alias("scene_end"))
 
 
 def _first_of_cell(celled: DataFrame) -> DataFrame:

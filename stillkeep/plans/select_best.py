@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,10 +49,11 @@ def select_best(
 
 def resume(rows: DataFrame, path: str) -> None:
     """Write the videos that ``path`` does not hold yet, a partition for each; what an interrupted run finished stays."""
-    spark = rows.sparkSession
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = fs_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(fs_path)
-    if exists:
-        done = spark.read.parquet(path).select(F.col("video_id").cast(rows.schema["video_id"].dataType).alias("video_id")).distinct()
-        rows = rows.join(stored(done, "done"), "video_id", "left_anti")
+    try:
+        done = rows.sparkSession.read.parquet(path)
+    except AnalysisException:  # nothing is there yet
+        done = None
+    if done is not None:
+        ids = done.select(F.col("video_id").cast(rows.schema["video_id"].dataType).alias("video_id")).distinct()
+        rows = rows.join(stored(ids, "done"), "video_id", "left_anti")
     store_previews(rows, path)

@@ -15,6 +15,7 @@ from stillkeep.fixtures import EVENTS_SQL, FACES_SQL, PIXELS_SQL
 from stillkeep.functions import pixels, pixels_arrow
 from stillkeep.functions.expr import clamp01, linear_score, preview_dims, valid_preview, weighted_average
 from stillkeep.operators import composite, dedup, faces, reports, sampling, scenes, selection
+from stillkeep.plans.scoring import Providers, score_videos
 from stillkeep.plans.select_best import resume, select_best, select_candidates, with_known
 from stillkeep.settings import (
     CompositeSettings,
@@ -209,25 +210,29 @@ def order_probes(spark: SparkSession, d: str) -> DataFrame:
     )
     audio = F.to_json(F.struct(F.lit("audio").alias("codec_type")))
     streams_json = F.concat(F.lit('"streams":['), F.when(m == 7, "").otherwise(F.concat(audio, F.lit(","), F.to_json(video))), F.lit("],"))
-    form = F.concat(F.lit('"format":{"duration":"'), (k % 90).cast("string"), F.lit('.5","bit_rate":"128000"}'))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")  # a text, so that no time zone counts
+    created = F.when(k % 3 != 0, F.concat(F.lit(',"tags":{"creation_time":"'), day, F.lit('T12:30:00Z"}'))).otherwise("")
+    form = F.concat(F.lit('"format":{"duration":"'), (k % 90).cast("string"), F.lit('.5","bit_rate":"128000"'), created, F.lit("}"))
     return table(spark, d, "orders").select(
         k.alias("path"), F.concat(F.lit("{"), F.when(m == 8, "").otherwise(streams_json), form, F.lit("}")).alias("json")
     )
 
 
-@query(
-    "src2_probe",
-    """WITH o AS (SELECT o_orderkey AS path, o_orderkey % 10 AS m, ['h264','hevc',''][o_orderkey % 3 + 1] AS c, o_custkey FROM orders),
-e AS (SELECT *, CASE WHEN m = 8 THEN 'no_streams' WHEN m = 7 THEN 'no_video_stream' WHEN m = 6 THEN 'invalid:fps' WHEN c = '' THEN 'missing:codec_name' WHEN m = 9 THEN 'invalid:height' END AS probe_error FROM o)
-SELECT path, probe_error, CASE WHEN probe_error IS NULL THEN c END AS codec, CASE WHEN probe_error IS NULL THEN CAST(640 + o_custkey % 100 AS INTEGER) END AS width,
-  CASE WHEN probe_error IS NULL THEN 480 END AS height, CASE WHEN probe_error IS NULL THEN round(30000 / 1001.0::DOUBLE, 6) END AS fps,
+PROBE_SQL = """o AS (SELECT o_orderkey AS path, o_orderkey % 10 AS m, ['h264','hevc',''][o_orderkey % 3 + 1] AS c, o_custkey, CAST(o_orderdate AS DATE) AS day FROM orders),
+e AS (SELECT *, CASE WHEN m = 8 THEN 'no_streams' WHEN m = 7 THEN 'no_video_stream' WHEN m = 6 THEN 'invalid:fps' WHEN c = '' THEN 'missing:codec_name' WHEN m = 9 THEN 'invalid:height' END AS probe_error FROM o),
+vi AS (SELECT path, probe_error, CASE WHEN probe_error IS NULL THEN c END AS codec, CASE WHEN probe_error IS NULL THEN CAST(640 + o_custkey % 100 AS INTEGER) END AS width,
+  CASE WHEN probe_error IS NULL THEN 480 END AS height, CASE WHEN probe_error IS NULL THEN 30000 / 1001.0::DOUBLE END AS fps,
   CASE WHEN probe_error IS NULL THEN CASE WHEN path % 2 = 1 THEN path % 1000 ELSE CAST(round_even((path % 90 + 0.5::DOUBLE) * (30000 / 1001.0::DOUBLE), 0) AS BIGINT) END END AS approximate_frame_count,
   CASE WHEN probe_error IS NULL THEN path % 90 + 0.5::DOUBLE END AS duration_seconds,
   CASE WHEN probe_error IS NULL THEN CASE WHEN path % 4 = 1 THEN path * 10 ELSE 128000 END END AS bitrate,
-  CASE WHEN probe_error IS NULL THEN CASE WHEN path % 5 = 0 THEN 270 ELSE 90 END END AS orientation_degrees FROM e""",
-)
+  CASE WHEN probe_error IS NULL THEN CASE WHEN path % 5 = 0 THEN 270 ELSE 90 END END AS orientation_degrees,
+  CASE WHEN probe_error IS NULL AND path % 3 <> 0 THEN CAST(day AS TIMESTAMP) + INTERVAL 750 MINUTE END AS creation_time FROM e)"""
+
+
+@query("src2_probe", f"WITH {PROBE_SQL} SELECT * EXCLUDE (fps, creation_time), round(fps, 6) AS fps, CAST(epoch(creation_time) AS BIGINT) AS created FROM vi")
 def src2(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.probe_to_info(order_probes(spark, d)).drop("creation_time").withColumn("fps", F.round("fps", 6))
+    info = catalog.probe_to_info(order_probes(spark, d))
+    return info.withColumn("created", F.unix_timestamp("creation_time")).drop("creation_time").withColumn("fps", F.round("fps", 6))
 
 
 @query(
@@ -242,34 +247,38 @@ def src3(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "snk1_candidate_manifest",
-    f"WITH {SLICE_SQL} SELECT video_id, frame_index, scene_id, printf('scene_%03d_frame_%08d.jpg', scene_id, frame_index) AS file, round(t, 6) AS t FROM sl",
+    f"""WITH {SLICE_SQL} SELECT video_id, frame_index, scene_id, printf('scene_%03d_frame_%08d.jpg', scene_id, frame_index) AS file, round(t, 6) AS t,
+  CAST(1920 + frame_index % 3 AS INTEGER) AS source_width, 1080 AS source_height, 960 AS preview_width, CAST(540 - frame_index % 5 AS INTEGER) AS preview_height FROM sl""",
 )
 def snk1(spark: SparkSession, d: str) -> DataFrame:
     """The manifest's rows, read back out of the JSON."""
-    c = sliced(spark, d)
-    for name, v in (("source_width", 1920), ("source_height", 1080), ("preview_width", 960), ("preview_height", 540)):
-        c = c.withColumn(name, F.lit(v))
-    made = sinks.candidate_manifest(c)
-    schema = "source_video bigint, candidates array<struct<file:string,scene_id:int,timestamp:double,frame_index:bigint>>"
-    rows = made.select(F.from_json("manifest", schema).alias("m")).select("m.source_video", F.explode("m.candidates").alias("c"))
-    return rows.select(F.col("source_video").alias("video_id"), "c.frame_index", "c.scene_id", "c.file", F.round("c.timestamp", 6).alias("t"))
+    k, c = F.col("frame_index"), sliced(spark, d)
+    sizes = {"source_width": 1920 + k % 3, "source_height": F.lit(1080), "preview_width": F.lit(960), "preview_height": 540 - k % 5}
+    made = sinks.candidate_manifest(c.withColumns({n: v.cast("int") for n, v in sizes.items()}))
+    shape = "file:string,scene_id:int,timestamp:double,frame_index:bigint," + ",".join(f"{n}:int" for n in sizes)
+    rows = made.select(F.from_json("manifest", f"source_video bigint, candidates array<struct<{shape}>>").alias("m")).select("m.source_video", F.explode("m.candidates").alias("c"))
+    return rows.select(
+        F.col("source_video").alias("video_id"), "c.frame_index", "c.scene_id", "c.file", F.round("c.timestamp", 6).alias("t"), *(f"c.{n}" for n in sizes)
+    )
 
 
 FINAL_SQL = f"WITH {DECIDED_SQL} SELECT video_id, frame_index, scene_id, place AS selection_rank, printf('%s_%04d.jpg', CAST(video_id AS VARCHAR), place) AS file, round(t, 6) AS t"
 
 
-@query("snk2_selection_manifest", f"{FINAL_SQL}, round(final_score, 6) AS final_score FROM de WHERE reason IS NULL")
+@query("snk2_selection_manifest", f"{FINAL_SQL}, round(final_score, 6) AS final_score, video_id AS source_video, round(final_score / 2, 6) AS technical, 'people' AS profile FROM de WHERE reason IS NULL")
 def snk2(spark: SparkSession, d: str) -> DataFrame:
-    made = sinks.selection_manifest(selection.selected(decided_slice(spark, d)), EXPORT)
-    schema = "source_video bigint, images array<struct<file:string,timestamp:double,frame:bigint,score_final:double,scene_source:int>>"
+    scores = F.struct((F.col("final_score") / 2).alias("technical"), F.lit("people").alias("profile"))
+    made = sinks.selection_manifest(selection.selected(decided_slice(spark, d)), EXPORT, scores)
+    image = "file:string,source_video:bigint,timestamp:double,frame:bigint,score_final:double,scores:struct<technical:double,profile:string>,scene_source:int"
+    schema = f"source_video bigint, images array<struct<{image}>>"
     rows = made.select(F.from_json("manifest", schema).alias("m")).select("m.source_video", F.posexplode("m.images").alias("k", "i"))
     return rows.select(
         F.col("source_video").alias("video_id"), F.col("i.frame").alias("frame_index"), F.col("i.scene_source").alias("scene_id"), (F.col("k") + 1).alias("selection_rank"),
-        "i.file", F.round("i.timestamp", 6).alias("t"), F.round("i.score_final", 6).alias("final_score"),
+        "i.file", F.round("i.timestamp", 6).alias("t"), F.round("i.score_final", 6).alias("final_score"), "i.source_video", F.round("i.scores.technical", 6).alias("technical"), "i.scores.profile",
     )
 
 
-@query("snk3_export_plan", f"{FINAL_SQL}, 2 AS quality FROM de WHERE reason IS NULL")
+@query("snk3_export_plan", f"{FINAL_SQL}, 'jpg' AS format, 2 AS quality FROM de WHERE reason IS NULL")
 def snk3(spark: SparkSession, d: str) -> DataFrame:
     chosen = selection.selected(decided_slice(spark, d))
     return sinks.export_plan(chosen, EXPORT).join(chosen.select("video_id", "frame_index", "scene_id"), ["video_id", "frame_index"]).withColumn("t", F.round("t", 6))
@@ -531,6 +540,23 @@ def ph1_arrow(spark: SparkSession, d: str) -> DataFrame:
     return pixels_arrow.scored_frames(fx.pixel_frames(spark, d), TECHNICAL, 8, 1).select("frame_index", F.get("hash", F.lit(0)).alias("hash"))
 
 
+LARGE_SQL = f"""{PIXELS_SQL}, lg AS (
+  SELECT video_id, frame_index, list_transform(range(4096), lambda i: least(255, luma[(i // 512) * 8 + (i % 64) // 8 + 1] + ((i % 64) * 7 + (i // 64) * 13 + (i % 64) * (i // 64)) % 11)) AS g FROM px),
+sl32 AS (SELECT frame_index, list_transform(range(1024), lambda i: round_even((g[(i // 32) * 128 + (i % 32) * 2 + 1] + g[(i // 32) * 128 + (i % 32) * 2 + 2]
+    + g[(i // 32) * 128 + (i % 32) * 2 + 65] + g[(i // 32) * 128 + (i % 32) * 2 + 66]) / 4.0::DOUBLE, 0)) AS luma FROM lg),
+mt AS (SELECT [{", ".join(f"{v!r}::DOUBLE" for row in pixels.cosine_matrix(32)[:8] for v in row)}] AS m),
+rw AS (SELECT frame_index, m, list_transform(range(256), lambda i: list_sum(list_transform(range(32), lambda x: luma[(i // 8) * 32 + x + 1] * m[(i % 8) * 32 + x + 1]))) AS r FROM sl32, mt),
+cf AS (SELECT frame_index, list_transform(range(64), lambda i: list_sum(list_transform(range(32), lambda y: r[y * 8 + i % 8 + 1] * m[(i // 8) * 32 + y + 1]))) AS c FROM rw),
+md AS (SELECT frame_index, c, list_sort(c[2:])[32] AS med FROM cf),
+ph AS (SELECT frame_index, list_transform(c, lambda v: CASE WHEN v > med THEN 1 ELSE 0 END) AS bits FROM md)"""
+
+
+@query("ph1_phash_reduced", f"WITH {LARGE_SQL} {PHASH_OUT}")
+def ph1_reduced(spark: SparkSession, d: str) -> DataFrame:
+    """As used: 64x64 previews reduced to 32x32, the low 8x8 frequencies of their DCT."""
+    return pixels_arrow.scored_frames(fx.large_frames(spark, d), TECHNICAL, 8, 4).select("frame_index", F.get("hash", F.lit(0)).alias("hash"))
+
+
 @query(
     "ph2_similarity",
     f"WITH {HASH_SQL} SELECT a.frame_index AS a, b.frame_index AS b, round({alike_sql('a', 'b')}, 6) AS similarity FROM sg a JOIN sg b ON b.frame_index = a.frame_index + 1",
@@ -597,6 +623,34 @@ def fs3(spark: SparkSession, d: str) -> DataFrame:
     return fx.pixel_frames(spark, d).select("frame_index", F.round(pixels.laplacian_variance(F.col("luma"), 8, 8), 4).alias("sharpness_variance"))
 
 
+def boxes(frame: F.Column) -> F.Column:
+    """Two faces on every third frame, one on the others; some boxes lie on half pixels, some hold no pixel."""
+    sixteenth = lambda x: x / F.lit(16.0)
+    one = lambda n, x0, y0, w, h: F.struct(
+        F.lit(n).alias("face_no"), sixteenth(x0).alias("min_x"), sixteenth(y0).alias("min_y"), sixteenth(x0 + w).alias("max_x"), sixteenth(y0 + h).alias("max_y")
+    )
+    first, second = one(1, frame % 5, frame % 7, 3 + frame % 9, 2 + frame % 8), one(2, frame % 11, frame % 4, frame % 3, frame % 6)
+    return F.when(frame % 3 == 0, F.array(first, second)).otherwise(F.array(first))
+
+
+BOXES_SQL = f"""{PIXELS_SQL}, bx AS (
+  SELECT frame_index, luma, 1 AS face_no, frame_index % 5 AS x0, frame_index % 7 AS y0, frame_index % 5 + 3 + frame_index % 9 AS x1, frame_index % 7 + 2 + frame_index % 8 AS y1 FROM px
+  UNION ALL SELECT frame_index, luma, 2, frame_index % 11, frame_index % 4, frame_index % 11 + frame_index % 3, frame_index % 4 + frame_index % 6 FROM px WHERE frame_index % 3 = 0),
+ed AS (SELECT frame_index, luma, face_no, CAST(round_even(x0 / 2.0::DOUBLE, 0) AS INTEGER) AS l, CAST(round_even(y0 / 2.0::DOUBLE, 0) AS INTEGER) AS t,
+    least(8, CAST(round_even(x1 / 2.0::DOUBLE, 0) AS INTEGER)) AS r, least(8, CAST(round_even(y1 / 2.0::DOUBLE, 0) AS INTEGER)) AS b FROM bx),
+cl AS (SELECT *, i % 8 AS x, i // 8 AS y, r - l AS w, b - t AS h FROM ed, range(64) q(i) WHERE i % 8 >= l AND i % 8 < r AND i // 8 >= t AND i // 8 < b),
+lc AS (SELECT frame_index, face_no, luma[y * 8 + (CASE WHEN x > l THEN x - 1 WHEN w = 1 THEN x ELSE x + 1 END) + 1] + luma[y * 8 + (CASE WHEN x < r - 1 THEN x + 1 WHEN w = 1 THEN x ELSE x - 1 END) + 1]
+    + luma[(CASE WHEN y > t THEN y - 1 WHEN h = 1 THEN y ELSE y + 1 END) * 8 + x + 1] + luma[(CASE WHEN y < b - 1 THEN y + 1 WHEN h = 1 THEN y ELSE y - 1 END) * 8 + x + 1] - 4 * luma[y * 8 + x + 1] AS v FROM cl),
+sv AS (SELECT frame_index, face_no, (count(*) * sum(v * v) - sum(v) * sum(v)) / CAST(count(*) * count(*) AS DOUBLE) AS var FROM lc GROUP BY ALL)"""
+
+
+@query("fs3_face_crop", f"WITH {BOXES_SQL} SELECT frame_index, face_no, round(coalesce(var, 0), 4) AS sharpness_variance FROM ed LEFT JOIN sv USING (frame_index, face_no)")
+def fs3_crop(spark: SparkSession, d: str) -> DataFrame:
+    """Faces' boxes cut out of the preview, their edges rounded half to even; an empty box gives 0."""
+    rows = pixels_arrow.face_sharpness(fx.pixel_frames(spark, d).withColumn("faces", boxes(F.col("frame_index"))))
+    return rows.select("frame_index", "face_no", F.round("sharpness_variance", 4).alias("sharpness_variance"))
+
+
 @query("fs4_fs5_group_face_score", f"WITH {GROUP_SQL} SELECT frame_index, n_faces, {', '.join(f'round({m}, 6) AS {m}' for m in FACE_OUT)} FROM gs")
 def fs4(spark: SparkSession, d: str) -> DataFrame:
     return faces.group_face_score(fx.face_rows(spark, d), FACE).select("frame_index", "n_faces", *(r6(m) for m in FACE_OUT))
@@ -710,7 +764,7 @@ def se4(spark: SparkSession, d: str) -> DataFrame:
 
 
 BEST_SQL = f"""WITH RECURSIVE {GRID_SQL}, {HASHES_SQL},
-cand AS (SELECT s.*, h.lo, h.hi FROM sm s JOIN hs h ON h.vec_id = s.event_id % 500),
+cand AS (SELECT s.*, h.lo, h.hi FROM sm s JOIN hs h ON h.vec_id = s.{fx.VECTOR_SQL}),
 {dedup_sql('cand', DEDUP.window_seconds, DEDUP.similarity_threshold)},
 base AS (SELECT *, retained IS NOT NULL AS is_duplicate, true AS is_known FROM dd), {decide_sql('base')}"""
 
@@ -724,7 +778,7 @@ def se5(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "se5_select_all_events",
-    f"""WITH RECURSIVE {SLICE_SQL}, {HASHES_SQL}, cand AS (SELECT s.*, h.lo, h.hi FROM sl s JOIN hs h ON h.vec_id = s.event_id % 500),
+    f"""WITH RECURSIVE {SLICE_SQL}, {HASHES_SQL}, cand AS (SELECT s.*, h.lo, h.hi FROM sl s JOIN hs h ON h.vec_id = s.{fx.VECTOR_SQL}),
 {dedup_sql('cand', DEDUP.window_seconds, DEDUP.similarity_threshold)}, base AS (SELECT *, retained IS NOT NULL AS is_duplicate, scene_id <> 2 AS is_known FROM dd), {decide_sql('base')}
 SELECT video_id, frame_index, scene_id, reason, CASE WHEN reason IS NULL THEN place END AS selection_rank FROM de""",
 )
@@ -812,7 +866,13 @@ def rp1(spark: SparkSession, d: str) -> DataFrame:
     return reports.scene_lines(found_scenes(spark, d))
 
 
-@query("rp1_video_lines")
+@query(
+    "rp1_video_lines",
+    f"""WITH {PROBE_SQL} SELECT path, 'file: ' || path || '; codec: ' || coalesce(codec, 'unavailable') || '; size: ' || coalesce(width || 'x' || height, 'unavailable') || '; fps: ' || coalesce(printf('%.3f', fps), 'unavailable')
+  || '; frames: ' || coalesce(CAST(approximate_frame_count AS VARCHAR), 'unavailable') || '; duration: ' || coalesce(printf('%.3f', duration_seconds), 'unavailable')
+  || '; bitrate: ' || coalesce(CAST(bitrate AS VARCHAR), 'unavailable') || '; orientation: ' || coalesce(CAST(orientation_degrees AS VARCHAR), 'unavailable')
+  || '; created: ' || coalesce(strftime(creation_time, '%Y-%m-%dT%H:%M:%SZ'), 'unavailable') AS line FROM vi""",
+)
 def rp1_info(spark: SparkSession, d: str) -> DataFrame:
     return reports.video_lines(catalog.probe_to_info(order_probes(spark, d)))
 
@@ -823,7 +883,7 @@ def rp1_info(spark: SparkSession, d: str) -> DataFrame:
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
     def shape(s: DataFrame) -> DataFrame:
         at = F.col("ts").cast("timestamp")
-        return s.select(F.col("user_id").alias("video_id"), at.alias("ts"), ((F.unix_micros(at) - fx.START_US) / F.lit(1e6)).alias("t"), F.least(F.lit(1.0), F.col("value") / 100.0).alias("technical"), "event_type")
+        return s.select(F.col("user_id").alias("video_id"), at.alias("ts"), ((F.unix_micros(at) - fx.START_US) / F.lit(1e6)).alias("t"), F.least(F.lit(1.0), F.col("value") / 100.0).alias("technical"), "event_type", "event_id")
 
     return streams.read_stream(spark, f"{d}/events.parquet*", shape)
 
@@ -834,6 +894,14 @@ def st1(spark: SparkSession, d: str) -> DataFrame:
     return streams.run_available(spark, streams.sampled_keys(event_stream(spark, d), sc, FPS), "sampled")
 
 
+@query("st1_stream_frames", f"WITH RECURSIVE {GRID_SQL} SELECT video_id, scene_id, event_id, round(t, 6) AS t FROM sm")
+def st1_frames(spark: SparkSession, d: str) -> DataFrame:
+    """The sampled frames themselves, on the exact grid; an event is a frame."""
+    sc = stored(found_scenes(spark, d), "scenes")
+    taken = streams.sampled_frames(event_stream(spark, d).withColumnRenamed("event_id", "frame_index"), sc, FPS)
+    return streams.run_available(spark, taken, "sampled-frames").select("video_id", "scene_id", F.col("frame_index").alias("event_id"), r6("t"))
+
+
 @query("st2_stream_means", f"WITH {EVENTS_SQL} SELECT video_id, event_type AS scene_id, count(*) AS n_candidates, round(avg(final_score), 9) AS mean_technical FROM ev GROUP BY ALL")
 def st2(spark: SparkSession, d: str) -> DataFrame:
     means = streams.running_means(event_stream(spark, d).withColumnRenamed("event_type", "scene_id"))
@@ -889,3 +957,27 @@ def ud1(spark: SparkSession, d: str) -> DataFrame:
         "contrast": lambda f: pixels_arrow.scored_frames(f, TECHNICAL, 8, 1).select("video_id", "frame_index", F.col("contrast").alias("score")),
     }
     return pixels_arrow.apply_scorers(frames, scorers).select("frame_index", r6("contrast"), r6("light"))
+
+
+PROVIDERS_SQL = f"""{TECHNICAL_SQL}, fa AS (SELECT frame_index, greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((frame_index % 10) / 50.0::DOUBLE - 0.02::DOUBLE) / (0.12::DOUBLE - 0.02::DOUBLE))) AS size FROM px WHERE frame_index % 3 = 0),
+al AS (SELECT t.frame_index, t.global_score AS technical, (f.size + 1.5::DOUBLE) / 2.5::DOUBLE AS face, CASE WHEN t.frame_index % 4 <> 0 THEN (t.frame_index % 100) / 100.0::DOUBLE END AS aesthetic,
+    list_sum(luma) / 16320.0::DOUBLE AS light FROM tech t JOIN px p USING (frame_index) LEFT JOIN fa f USING (frame_index))"""
+
+
+@query(
+    "ud1_providers",
+    f"""WITH {PROVIDERS_SQL} SELECT frame_index, CASE WHEN face IS NULL THEN 'no_people' ELSE 'people' END AS profile, round(light, 6) AS light, CAST(CASE WHEN face IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_faces,
+  round(CASE WHEN face IS NULL THEN technical * 0.4 + coalesce(aesthetic, 0.5) * 0.35 + 0.5 * 0.25 ELSE technical * 0.3 + face * 0.4 + coalesce(aesthetic, 0.5) * 0.2 + 0.5 * 0.1 END, 6) AS final_score FROM al""",
+)
+def ud1_providers(spark: SparkSession, d: str) -> DataFrame:
+    """Frame, face and aesthetic providers and a further scorer of a user's own in the composed scoring plan."""
+    k, none = F.col("frame_index"), F.lit(None).cast("double")
+    given = {"relative_size": (k % 10) / F.lit(50.0), "yaw_degrees": none, "detection_confidence": none, "eyes_open": none, "positive_expression": none, "sharpness_variance": none}
+    own = Providers(
+        frames=lambda videos: fx.pixel_frames(spark, d).join(videos, "video_id", "left_semi"),
+        faces=lambda f: f.where(k % 3 == 0).select("video_id", "frame_index", *(v.alias(n) for n, v in given.items()), F.lit(False).alias("is_cut_off")),
+        aesthetic=lambda f: f.select("video_id", "frame_index", F.when(k % 4 != 0, (k % 100) / F.lit(100.0)).alias("score")),
+        scorers={"light": lambda f: f.select("video_id", "frame_index", (F.aggregate("luma", F.lit(0), lambda a, v: a + v) / F.lit(16320.0)).alias("score"))},
+    )
+    videos = table(spark, d, "embeddings").select(F.col("label").alias("video_id")).distinct()
+    return score_videos(videos, own, TECHNICAL, FACE, COMPOSITE, 8, 1).select("frame_index", "profile", "n_faces", r6("light"), r6("final_score"))

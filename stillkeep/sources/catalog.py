@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stillkeep.storage import stored
+
 # A fixed list: suffixes of video files.
 VIDEO_SUFFIXES = (".avi", ".m4v", ".mkv", ".mov", ".mp4")
 
@@ -18,14 +20,13 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
 def catalog(files: DataFrame) -> DataFrame:
     """Video files by name, case folded; name and position (from 1, in name order)."""
     low = F.lower("name")
-    videos = files.where(F.col("is_file") & F.regexp_extract(low, r"(\.[^./]+)$", 1).isin(*VIDEO_SUFFIXES))
-    # names are split by their first two characters, so no window holds the whole folder
-    lead = F.substring(low, 1, 2)
-    own = videos.select("name", low.alias("low"), lead.alias("lead"))
-    before = own.groupBy("lead").count()
-    offset = before.alias("a").join(before.alias("b"), F.col("b.lead") < F.col("a.lead"), "left").groupBy(F.col("a.lead").alias("lead")).agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("offset"))
-    order = Window.partitionBy("lead").orderBy("low", "name")
-    return own.withColumn("n", F.row_number().over(order)).join(offset, "lead").select("name", (F.col("n") + F.col("offset")).alias("position"))
+    videos = files.where(F.col("is_file") & F.regexp_extract(low, r"(\.[^./]+)$", 1).isin(*VIDEO_SUFFIXES)).select("name", low.alias("low"))
+    # ranges of names, each numbered by itself; what goes before a range is added up over one row for each range
+    ranged = stored(videos.repartitionByRange("low", "name").withColumn("part", F.spark_partition_id()), "names")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = ranged.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    order = Window.partitionBy("part").orderBy("low", "name")
+    return ranged.withColumn("n", F.row_number().over(order)).join(offset, "part").select("name", (F.col("n") + F.col("offset")).alias("position"))
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:

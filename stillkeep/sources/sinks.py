@@ -26,9 +26,9 @@ def candidate_manifest(candidates: DataFrame) -> DataFrame:
 
 
 def export_plan(selected: DataFrame, settings: ExportSettings) -> DataFrame:
-    """The native frames wanted: video_id, selection_rank, t, file, quality. The settings are checked when made."""
+    """The native frames wanted: video_id, selection_rank, t, file, format, quality. The settings are checked when made."""
     name = F.format_string("%s_%04d.%s", F.col("video_id").cast("string"), F.col("selection_rank").cast("int"), F.lit(settings.extension))
-    return selected.select("video_id", "selection_rank", "frame_index", "t", name.alias("file"), F.lit(settings.jpeg_quality).alias("quality"))
+    return selected.select("video_id", "selection_rank", "frame_index", "t", name.alias("file"), F.lit(settings.extension).alias("format"), F.lit(settings.jpeg_quality).alias("quality"))
 
 
 def selection_manifest(selected: DataFrame, settings: ExportSettings, scores: Column | None = None) -> DataFrame:
@@ -50,8 +50,11 @@ def selection_manifest(selected: DataFrame, settings: ExportSettings, scores: Co
 
 
 def store_previews(previews: DataFrame, path: str) -> None:
-    """Previews by video; a video that is written again replaces its own partition only."""
-    previews.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").parquet(path)
+    """Previews by video; a video that is written again replaces its own partition only.
+
+    Rows are dealt by video first, so that a video has few files; a large one is split, small ones share a task.
+    """
+    previews.hint("rebalance", "video_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").parquet(path)
 
 
 def preview_counts(previews: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +27,49 @@ def sampled_keys(frames: DataFrame, scenes: DataFrame, fps: float, delay: str =
     )
 
 
+def sampled_frames(frames: DataFrame, scenes: DataFrame, fps: float, delay: str = "1 day") -> DataFrame:
+    """The frames (video_id, scene_id, frame_index, t) of the exact grid, each as soon as it has arrived.
+
+    frames is a stream with ts (timestamp), video_id, frame_index and t; scenes is a static table without overlaps. A scene's state is
+    the next time of its grid: start, start + 1/fps, ..., summed up. Frames of a video are expected in the order of t from batch to
+    batch, inside a batch they are sorted; one that comes after a later frame of its cell is no longer taken. State that the
+    watermark has left by ``delay`` is dropped.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    interval, wait = 1.0 / fps, int(pd.Timedelta(delay).total_seconds() * 1000)
+
+    def take(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(["t", "frame_index"], kind="stable")
+        point = state.get[0] if state.exists else float(rows["start_time"].iloc[0])
+        taken = []
+        for k, t in enumerate(rows["t"].tolist()):
+            if t >= point:
+                taken.append(k)
+                while point <= t:
+                    point += interval
+        state.update((point,))
+        latest = int(rows["ts"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + wait)
+        out = rows.iloc[taken]
+        yield pd.DataFrame({"video_id": key[0], "scene_id": key[1], "frame_index": out["frame_index"], "t": out["t"]})
+
+    s = scenes.select("video_id", "scene_id", "start_time", "end_time")
+    inside = (
+        frames.withWatermark("ts", delay)
+        .join(s, "video_id")
+        .where((F.col("start_time") <= F.col("t")) & (F.col("t") < F.col("end_time")))
+        .select("video_id", "scene_id", "start_time", "ts", "frame_index", "t")
+    )
+    kinds = dict(inside.dtypes)
+    shape = f"video_id {kinds['video_id']}, scene_id {kinds['scene_id']}, frame_index {kinds['frame_index']}, t double"
+    return inside.groupBy("video_id", "scene_id").applyInPandasWithState(take, shape, "point double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def running_means(frames: DataFrame) -> DataFrame:
     """Count and mean technical score of each scene so far, without keeping frames."""
     return frames.groupBy("video_id", "scene_id").agg(F.count(F.lit(1)).alias("n_candidates"), F.avg("technical").alias("mean_technical"))
