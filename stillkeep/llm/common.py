@@ -20,11 +20,19 @@ MASK = (1 << 64) - 1
 _WORD = 1 << 15  # bits in a bitmap of Spark's bitmap_* functions
 
 
+def _as_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bitmaps as 64-bit integers, the first bit the lowest; Spark leaves out zero bytes at a bitmap's end."""
+    for batch in batches:
+        whole = [b.ljust(_WORD // 8, b"\0") for b in batch.column("_bitmap").to_pylist()]
+        words = pa.FixedSizeListArray.from_arrays(pa.array(np.frombuffer(b"".join(whole), "<i8")), _WORD // 64)
+        yield pa.RecordBatch.from_arrays([batch.column("_part"), words.cast(pa.list_(pa.int64()))], ["_part", "_words"])
+
+
 class KeyFilter:
     """A one-hash Bloom filter over a long column: 16 to 32 bits a key, so that some 5 % of other rows pass.
 
-    Spark builds it with its bitmap aggregates as a table of bitmaps of 4 KB, which is broadcast; ``max_bits``
-    (128 MB) bounds it. From 2**26 keys on more other rows pass. The filter only saves work, the exact steps after it decide.
+    Spark builds it with its bitmap aggregates as a table of bitmaps of 4 KB, as 512 integers each, which is broadcast;
+    ``max_bits`` (128 MB) bounds it. From 2**26 keys on more other rows pass. The filter only saves work, the exact steps after it decide.
     """
 
     def __init__(self, keys: DataFrame, column: str, max_bits: int = 1 << 30):
@@ -34,14 +42,13 @@ class KeyFilter:
         self.bits = bits
         at = keys.select(F.pmod(F.xxhash64(F.col(column)), F.lit(bits)).alias("at"))
         parts = at.groupBy(F.expr(f"at div {_WORD}").alias("_part")).agg(F.expr(f"bitmap_construct_agg(at % {_WORD})").alias("_bitmap"))
-        self.parts = stored(parts, "filter")
+        self.parts = stored(parts.mapInArrow(_as_words, "_part bigint, _words array<bigint>"), "filter")
 
     def marked(self, df: DataFrame, key: Column, name: str) -> DataFrame:
         """``df`` with a boolean column ``name``: false where ``key`` is certainly none of the keys."""
         at = df.select("*", F.pmod(F.xxhash64(key), F.lit(self.bits)).alias("_at"))
         place = (F.col("_at") % _WORD).cast("int")
-        byte = F.conv(F.hex(F.substring(F.col("_bitmap"), F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
-        hit = F.coalesce(F.getbit(byte, place % 8) == 1, F.lit(False))
+        hit = F.coalesce(F.getbit(F.get("_words", F.shiftright(place, 6)), place % 64) == 1, F.lit(False))
         return at.join(F.broadcast(self.parts), F.expr(f"_at div {_WORD}") == F.col("_part"), "left").select(*(F.col(f"`{c}`") for c in df.columns), hit.alias(name))
 
     def matching(self, df: DataFrame, key: Column) -> DataFrame:
@@ -187,13 +194,14 @@ def text_hash(text: Column) -> Column:
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, ...) less the rows whose doc_id and text are in ``gone`` (doc_id, text_hash).
+    """``docs`` (doc_id, text, ...) less the rows whose doc_id and text are in ``gone`` (doc_id, text_hash); null ids are equal here.
 
-    Another text under a repeated id stays, rows with a null id stay. Only rows that the filter lets through are joined.
+    Another text under a repeated id stays. Only rows that the filter lets through are joined.
     """
-    gone = stored(gone.select("doc_id", "text_hash").where("doc_id IS NOT NULL").distinct(), "gone")
+    key = lambda doc_id: F.xxhash64(doc_id.cast("bigint"))
+    gone = stored(gone.select("doc_id", "text_hash", key(F.col("doc_id")).alias("key")).distinct(), "gone")
     whole = docs.select(F.struct("*").alias("row"))  # so that no name of docs can clash
-    marked = KeyFilter(gone, "doc_id").marked(whole, F.col("row.doc_id"), "may")
+    marked = KeyFilter(gone, "key").marked(whole, key(F.col("row.doc_id")), "may")
     rest = marked.where("may").withColumn("hash", text_hash(F.col("row.text")))
-    same = (rest["row.doc_id"] == gone["doc_id"]) & (rest["hash"] == gone["text_hash"])
+    same = rest["row.doc_id"].eqNullSafe(gone["doc_id"]) & (rest["hash"] == gone["text_hash"])
     return marked.where("NOT may").select("row").unionByName(rest.join(gone, same, "left_anti").select("row")).select("row.*")

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,7 @@ _OFFSET = 400  # register value of a point at 1.0
 _SLACK = 10.0  # a register stays empty with probability e**-10 for a document
 BLOCK = 192  # members of a group in a block, about
 ELEMENTS = 8_000_000  # set elements in a block, about: its memory
+SALTS = 32  # parts of a group where it meets its size
 
 
 def shingle_sets(data: np.ndarray, starts: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,11 +184,12 @@ def _plain_sets(items: pd.Series) -> list[np.ndarray]:
     return [np.asarray(s, dtype=np.int64) for s in items]
 
 
-def _block_links(num: int, den: int, as_sets: Sets) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def links(block: pd.DataFrame) -> pd.DataFrame:
-        """A spanning forest of the links among the sets of a block, by exact intersection sizes."""
-        nodes, k = block["node"].to_numpy(), len(block)
-        sets = as_sets(block["items"])
+def _block_links(num: int, den: int, as_sets: Sets) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (block, node, items) in the order of blocks -> a spanning forest of the links among the sets of each block."""
+
+    def links(nodes: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """By exact intersection sizes."""
+        k = len(nodes)
         size = np.array([len(s) for s in sets], dtype=np.int64)
         owner = np.repeat(np.arange(k), size)
         _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -213,9 +216,29 @@ def _block_links(num: int, den: int, as_sets: Sets) -> Callable[[pd.DataFrame],
                 break
             label = new
         own = np.flatnonzero(label != np.arange(k))
-        return pd.DataFrame({"u": nodes[own], "v": nodes[label[own]]})
+        return nodes[own], nodes[label[own]]
+
+    def all_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the last block, which may go on
+        for batch in chain(batches, [None]):
+            if batch is not None and not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches(held + ([batch] if batch is not None else [])).combine_chunks() if held or batch is not None else None
+            if rows is None:
+                return
+            block = rows.column("block").to_numpy()
+            cuts = np.concatenate(([0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]))
+            last = len(cuts) - 1 if batch is None else len(cuts) - 2
+            held = rows.slice(int(cuts[last])).to_batches()
+            whole = rows.slice(0, int(cuts[last]))
+            if not whole.num_rows:
+                continue
+            nodes, sets = whole.column("node").to_numpy(), as_sets(whole.column("items").to_pandas())
+            found = [links(nodes[a:b], sets[a:b]) for a, b in zip(cuts[:last], cuts[1 : last + 1], strict=True) if b - a > 1]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["u", "v"])
 
-    return links
+    return all_blocks
 
 
 def _star(num: int, den: int, as_sets: Sets) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -253,8 +276,10 @@ def _compared(groups: DataFrame, sets: DataFrame, num: int, den: int, as_sets: S
     with a are one component already; the others are compared with each other and with the linked ones, but only between
     cells (see ``_star``) that a link can join, in blocks of bounded size.
     """
-    members = groups.join(sets.select("node", "n"), "node")
-    sized = stored(members.join(_blocks(members, ["a"], block, elements), "a"), "sized")
+    members = groups.join(sets.select("node", "n"), "node").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(SALTS)))
+    # a group may hold a third of all rows: it meets its size in parts
+    sizes = _blocks(members, ["a"], block, elements).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    sized = stored(members.join(sizes, ["a", "salt"]).drop("salt"), "sized")
     none = F.lit(0)
     whole = sized.where("blocks = 1").select("a", "node", *(none.alias(c) for c in ("d", "s", "e", "t", "i", "j")))
     chunks = sized.where("blocks > 1").select("a", "node", F.pmod(F.xxhash64("node", F.lit(3)), "blocks").cast("int").alias("chunk"))
@@ -277,7 +302,9 @@ def _compared(groups: DataFrame, sets: DataFrame, num: int, den: int, as_sets: S
     right = rest.withColumnsRenamed({"d": "e", "s": "t"}).join(near.where(~same), ["a", "e", "t"]).withColumn("j", own("l")).withColumn("i", upto("k"))
     keys = ["a", "d", "s", "e", "t", "i", "j"]
     placed = whole.unionByName(left.select("node", *keys)).unionByName(right.select("node", *keys))
-    found = placed.join(sets.select("node", "items"), "node").groupBy(*keys).applyInPandas(_block_links(num, den, as_sets), "u bigint, v bigint")
+    # two blocks under one hash are compared as one, which loses nothing; small blocks share a batch
+    rows = placed.select("node", F.xxhash64(*keys).alias("block")).join(sets.select("node", "items"), "node").select("block", "node", "items")
+    found = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_block_links(num, den, as_sets), "u bigint, v bigint")
     return found.unionByName(star.where("d = 0 AND node <> a").select(F.col("a").alias("u"), F.col("node").alias("v")))
 
 
