@@ -1,8 +1,10 @@
 """Toxicity by weak supervision.
 
-Voters are words of a small public lexicon, words and word beginnings mined from labelled rows, and a few
-patterns. A generative label model takes their accuracies and correlations from the second moments of their
-votes over all documents; a linear classifier is then trained on the posterior labels and scores every text.
+Voters are words of a small public lexicon, a few patterns, and words and word beginnings that occur, or occur in
+several words of one text, mostly where a labelled row is toxic. A generative label model takes the voters' accuracies
+and correlations from the second moments of their votes over all documents, without a label. A linear classifier is
+trained on the posterior labels that it gives to documents, labelled or not. Labels name the voters, set the class balance and, at
+the end, scale the classifier's scores to probabilities; no document is trained on with its own label.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stillkeep.llm.common import KeyFilter, stored, table
+from stillkeep.llm.common import KeyFilter, stored, table, text_hash
 
 # A fixed list: common English insults.
 LEXICON = ("idiot moron stupid dumb trash scum loser worthless pathetic disgusting clown jerk fool imbecile hate kill vermin filth").split()
@@ -40,25 +42,39 @@ def _begins(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in range(3, 9) if len(word) > k)]
 
 
+SEVERAL = (2, 3)  # words of one text with one beginning that count as features of their own: "abc*2", "abc*3"
+
+
+def _features(text: str) -> set[str]:
+    """All words and word beginnings of a text, and beginnings that several different words have."""
+    n = Counter(b for word in set(_WORD.findall(text.lower())) for b in _begins(word))
+    return set(n) | {f"{b}{k}" for b, m in n.items() if m >= SEVERAL[0] and b.endswith("*") for k in SEVERAL if m >= k}
+
+
 class Hits:
     """The features of a text: which of the given words, word beginnings and patterns occur in it."""
 
     def __init__(self, features: list[str]):
-        self.index = {f: k for k, f in enumerate(features)}
-        self.patterns = [(self.index[n], p) for n, p in PATTERNS.items() if n in self.index]
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.patterns = [(k, PATTERNS[f]) for k, f in enumerate(features) if f in PATTERNS]
+        self.levels: dict[str, list[tuple[int, int]]] = {}  # a word or beginning: (words that it takes, feature)
+        for k, f in enumerate(features):
+            if f not in PATTERNS:
+                base, _, level = f.partition("*")
+                self.levels.setdefault(f"{base}*" if "*" in f else f, []).append((int(level or 1), k))
+        self.cache: dict[str, tuple[str, ...]] = {}
 
     def __call__(self, text: str) -> list[int]:
-        found: set[int] = set()
-        cache, index = self.cache, self.index
+        cache, levels = self.cache, self.levels
         if len(cache) > _CACHE:
             cache.clear()
+        n: dict[str, int] = {}
         for word in set(_WORD.findall(text.lower())):
             own = cache.get(word)
             if own is None:
-                own = cache[word] = tuple(index[b] for b in _begins(word) if b in index)
-            if own:
-                found.update(own)
+                own = cache[word] = tuple(b for b in _begins(word) if b in levels)
+            for b in own:
+                n[b] = n.get(b, 0) + 1
+        found = {k for b, m in n.items() for least, k in levels[b] if m >= least}
         found.update(k for k, p in self.patterns if p.search(text))
         return sorted(found)
 
@@ -68,18 +84,10 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     toxic, other = Counter(), Counter()
     for batch in batches:
         for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
-            own = {b for word in set(_WORD.findall((text.as_py() or "").lower())) for b in _begins(word)}
-            (toxic if label else other).update(own)
-    # a feature that no toxic row has can never become a voter
-    names = list(toxic)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(names, pa.string()), pa.array([toxic[f] for f in names], pa.int64()), pa.array([other[f] for f in names], pa.int64())],
-        ["feature", "t", "o"],
-    )
-    if rest := [f for f in other if f not in toxic]:
+            (toxic if label else other).update(_features(text.as_py() or ""))
+    for names in (list(toxic), [f for f in other if f not in toxic]):
         yield pa.RecordBatch.from_arrays(
-            [pa.array(rest, pa.string()), pa.array([0] * len(rest), pa.int64()), pa.array([other[f] for f in rest], pa.int64())],
-            ["feature", "t", "o"],
+            [pa.array(names, pa.string()), pa.array([toxic[f] for f in names], pa.int64()), pa.array([other[f] for f in names], pa.int64())], ["feature", "t", "o"]
         )
 
 
@@ -109,32 +117,36 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(votes @ self.weight + self.bias, -30, 30)))
 
 
-def fit_label_model(n: int, second: np.ndarray, balance: float) -> LabelModel:
+def fit_label_model(n: int, second: np.ndarray, balance: float, dependent: float = 0.1) -> LabelModel:
     """The label model from n documents and their votes' second moments (counts of joint firing, single firing on the diagonal).
 
     Given the class, voters that are not dependent fire independently, so off the diagonal the covariance
     is d d' with d = sqrt(balance (1 - balance)) (toxic rate - other rate). d is fitted by alternating least
-    squares over pairs that agree; what is left of a pair's covariance is its correlation given the class, and
-    voters that are correlated share their weight.
+    squares over pairs that agree. What is left of a pair's covariance is its correlation given the class: pairs beyond ``dependent``
+    leave the fit, which is made anew, and voters that are correlated share their weight.
     """
     m = len(second)
     mean = np.diag(second) / max(n, 1)
     cov = second / max(n, 1) - np.outer(mean, mean)
-    used = (cov > 0) & ~np.eye(m, dtype=bool)
-    d = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
-    for _ in range(50):
-        with np.errstate(invalid="ignore", divide="ignore"):
-            new = np.where(used, cov * d[None, :], 0).sum(axis=1) / np.where(used, d[None, :] ** 2, 0).sum(axis=1)
-        new = np.where(np.isfinite(new), new, d)
-        d = np.clip(0.5 * d + 0.5 * new, 1e-6, np.sqrt(np.maximum(mean * (1 - mean), 1e-12)))
     spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
-    correlation = np.where(used, (cov - np.outer(d, d)) / np.outer(spread, spread), 0)
+    agree = (cov > 0) & ~np.eye(m, dtype=bool)
+    used = agree & (cov < 0.6 * np.outer(spread, spread))  # not one voter under two names
+    d = spread.copy()
+    for _ in range(4):
+        for _ in range(50):
+            with np.errstate(invalid="ignore", divide="ignore"):
+                new = np.where(used, cov * d[None, :], 0).sum(axis=1) / np.where(used, d[None, :] ** 2, 0).sum(axis=1)
+            new = np.where(np.isfinite(new), new, d)
+            d = np.clip(0.5 * d + 0.5 * new, 1e-6, spread)
+        rest = (cov - np.outer(d, d)) / np.outer(spread, spread)
+        used = agree & (np.abs(rest) < dependent)
+    correlation = np.where(agree, rest, 0)
     gain = d / math.sqrt(balance * (1 - balance))
     other = np.clip(mean - balance * gain, 1e-4, 1 - 1e-4)
     toxic = np.clip(other + gain, other * 1.0001, 1 - 1e-4)
-    fire, rest = np.log(toxic / other), np.log((1 - toxic) / (1 - other))
+    fire, still = np.log(toxic / other), np.log((1 - toxic) / (1 - other))
     share = 1 + np.clip(correlation, 0, 1).sum(axis=1)
-    return LabelModel(balance, toxic, other, correlation, (fire - rest) / share, math.log(balance / (1 - balance)) + float((rest / share).sum()))
+    return LabelModel(balance, toxic, other, correlation, (fire - still) / share, math.log(balance / (1 - balance)) + float((still / share).sum()))
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.02, rounds: int = 40) -> tuple[np.ndarray, float]:
@@ -153,6 +165,14 @@ def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float =
     return w[:-1], float(w[-1])
 
 
+def fit_scale(z: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
+    """(slope, shift) of the logistic curve from raw scores to the share of toxic labels; the slope stays positive."""
+    if len(z) < 20 or truth.all() or not truth.any():
+        return 1.0, 0.0
+    w, shift = fit_linear(np.clip(z, -30, 30)[:, None], truth.astype(float), np.ones(len(z)), ridge=1e-3)
+    return max(float(w[0]), 1e-3), shift
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     features: list[str]
@@ -161,8 +181,14 @@ class ToxicityModel:
     voters: list[str]
     label_model: LabelModel
 
+    def of_hits(self, hits: Column) -> Column:
+        """The score of a row whose feature numbers are known."""
+        weights = F.array(*(F.lit(float(w)) for w in self.weights))
+        z = F.aggregate(hits, F.lit(float(self.bias)), lambda s, k: s + F.get(weights, k))
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+
     def score(self) -> Callable[[Column], Column]:
-        """A column function from text to score."""
+        """A column function from text to score, for documents that the model was not fitted on."""
         features, weights, bias = self.features, self.weights, self.bias
 
         @F.pandas_udf("double")
@@ -175,15 +201,21 @@ class ToxicityModel:
         return scored
 
 
+def _part(column: Column, share: float | Column, salt: str) -> Column:
+    """Whether a hash of the column falls in a share of its range."""
+    return F.pmod(F.xxhash64(column, F.lit(salt)), F.lit(1 << 20)) < share * (1 << 20)
+
+
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_features: int = 400, max_voters: int = 40
-) -> ToxicityModel:
-    """The model for ``docs``, from labelled rows that are not held out.
-
-    max_rows bounds the labelled rows that are used (half of them toxic where there are as many; chosen by a hash of
-    the id), max_features and max_voters the model. The votes' moments are taken over all documents. Labels of a
-    doc_id that occurs more than once count as toxic if any is; null labels and ids are left out. Without
-    any usable label, the lexicon and the patterns vote alone and the balance is 5 %.
+    docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_features: int = 400, max_voters: int = 60
+) -> tuple[ToxicityModel, DataFrame]:
+    """The model for ``docs``, and (doc_id, text_hash, hits) of every document, from which ``of_hits`` scores it.
+
+    max_rows bounds the labelled rows that are used (half of them toxic where there are as many) and, apart from those, the documents
+    that the classifier is trained on; both are chosen by a hash of the id, held-out rows are in neither. max_features and
+    max_voters bound the model. The votes' moments are taken over all documents. Labels of a doc_id that occurs more than once count
+    as toxic if any is; null labels and ids are left out. Without any usable label, the lexicon and the patterns vote alone, the balance
+    is 5 % and scores are not scaled.
     """
     known = (
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
@@ -193,14 +225,10 @@ def fit_toxicity(
     )
     counts = {int(r[0] > 0): r[1] for r in known.groupBy("toxic").count().collect()}
     share = {k: min(1.0, max_rows / 2 / max(1, counts.get(k, 0))) for k in (0, 1)}
-    pick = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) < F.when(
-        F.col("toxic") > 0, int(share[1] * (1 << 20))
-    ).otherwise(int(share[0] * (1 << 20)))
+    pick = _part(F.col("doc_id"), F.when(F.col("toxic") > 0, share[1]).otherwise(share[0]), "toxicity")
     chosen = stored(known.where(pick), "chosen")
-    may = KeyFilter(chosen, "doc_id").may_contain(F.col("doc_id"))
-    rows = stored(
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(may).join(chosen, "doc_id").select("toxic", "text"), "labelled"
-    )
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"), F.col("text").cast("string").alias("text"))
+    rows = stored(KeyFilter(chosen, "doc_id").matching(texts, F.col("doc_id")).join(chosen, "doc_id").select("toxic", "text"), "labelled")
     total = {int(r[0] > 0): r[1] for r in rows.groupBy("toxic").count().collect()}
     nt, no = total.get(1, 0), total.get(0, 0)
     balance = min(0.5, max(0.005, counts.get(1, 0) / max(1, sum(counts.values())))) if nt and no else 0.05
@@ -217,16 +245,13 @@ def fit_toxicity(
         .collect()
     )
     features = list(dict.fromkeys([*LEXICON, *PATTERNS, *(r["feature"] for r in mined)]))
-    sample = rows.mapInArrow(_hits_of(features), "toxic int, hits array<int>").collect()
-    votes = np.zeros((len(sample), len(features)), dtype=np.float32)
-    for k, r in enumerate(sample):
-        votes[k, r["hits"]] = 1
-    truth = np.array([r["toxic"] > 0 for r in sample], dtype=bool)
+    example = rows.mapInArrow(_hits_of(features), "toxic int, hits array<int>").collect()
+    votes, truth = _votes([r["hits"] for r in example], len(features)), np.array([r["toxic"] > 0 for r in example], dtype=bool)
     voters = _chosen_voters(votes, truth, features, max_voters)
 
+    hits = stored(texts.mapInArrow(_hits_of(features), "doc_id bigint, text_hash bigint, hits array<int>"), "hits")
     at = F.array(*(F.lit(v) for v in voters))
-    fired = docs.select("text").mapInArrow(_hits_of(features), "hits array<int>").select(F.array_intersect("hits", at).alias("hits"))
-    fired = stored(fired.groupBy("hits").count(), "votes")
+    fired = stored(hits.select(F.array_intersect("hits", at).alias("hits")).groupBy("hits").count(), "votes")
     pairs = (
         fired.select("count", F.explode("hits").alias("i"), "hits").select("count", "i", F.explode("hits").alias("j")).groupBy("i", "j").agg(F.sum("count").alias("n"))
     )
@@ -236,16 +261,26 @@ def fit_toxicity(
         second[place[r["i"]], place[r["j"]]] = r["n"]
     n = fired.agg(F.sum("count")).first()[0] or 0
     model = fit_label_model(n, second, balance)
-    # a row's own label is one more voter, of accuracy 0.97
-    prior = votes[:, voters] @ model.weight + model.bias + np.where(truth, 1, -1) * math.log(0.97 / 0.03)
-    soft = 1 / (1 + np.exp(-np.clip(prior, -30, 30)))
-    weight = np.where(truth, 1 / share[1], 1 / share[0])
-    if len(sample):
-        w, bias = fit_linear(votes.astype(np.float64), soft, weight)
+    # the classifier learns the label model's posterior on documents of all kinds
+    free = F.coalesce(~held_out(F.col("doc_id")), F.lit(True))
+    taken = hits.where(free & _part(F.struct("doc_id", "text_hash"), min(1.0, max_rows / max(1, n)), "training")).select("hits").collect()
+    seen = _votes([r["hits"] for r in taken], len(features))
+    if len(seen):
+        w, bias = fit_linear(seen.astype(np.float64), model.posterior(seen[:, voters]), np.ones(len(seen)))
     else:
         w, bias = np.zeros(len(features)), model.bias
         w[voters] = model.weight
-    return ToxicityModel(features, w, bias, [features[v] for v in voters], model)
+    slope, shift = fit_scale(votes @ w + bias, truth)
+    if nt and no:  # the examples hold another share of toxic rows than the labels do
+        shift += math.log(share[0] / share[1])
+    return ToxicityModel(features, w * slope, bias * slope + shift, [features[v] for v in voters], model), hits
+
+
+def _votes(hits: list[list[int]], n: int) -> np.ndarray:
+    out = np.zeros((len(hits), n), dtype=np.float32)
+    for k, own in enumerate(hits):
+        out[k, own] = 1
+    return out
 
 
 def _chosen_voters(votes: np.ndarray, truth: np.ndarray, features: list[str], most: int) -> list[int]:
@@ -266,15 +301,15 @@ def _chosen_voters(votes: np.ndarray, truth: np.ndarray, features: list[str], mo
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Per document: doc_id, held_out, score (0 to 1, higher is likelier toxic), predicted (1 from ``threshold`` on).
+    """Per document: doc_id, held_out, score (0 to 1, higher is likelier toxic), predicted (1 from ``threshold`` on), text_hash.
 
     The whole text is scored. A null or empty text has the score of a text without any feature; a null doc_id is
-    never used for training and is not held out; repeated rows are scored each; other columns are not read. An empty table gives no rows.
+    not held out; repeated rows are scored each; other columns are not read. An empty table gives no rows.
     """
-    model = fit_toxicity(docs, labels)
-    scored = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), model.score()(F.col("text")).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    model, hits = fit_toxicity(docs, labels)
+    scored = hits.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), model.of_hits(F.col("hits")).alias("score"), "text_hash")
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_hash")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")

@@ -395,22 +395,3 @@ def test_licenses_over_lines_and_inside_paragraphs(spark):
     out = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
     assert [out[k]["own_license"] for k in (1, 2, 3, 4)] == ["MPL-2.0", "MIT", "Apache-2.0", None]
     assert not any(out[k]["is_license_file"] for k in (1, 2, 3, 4))
-
-
-def test_toxicity(spark):
-    rng = random.Random(3)
-    bad = ["idiot", "scum", "trash", "loser", "grobnik", "grobnal", "grobner"]
-    rows, labels = [], []
-    for k in range(400):
-        toxic = k % 5 == 0
-        words = rng.choices(WORDS, k=40) + (rng.choices(bad, k=3) if toxic else [])
-        rng.shuffle(words)
-        rows.append((k, " ".join(words)))
-        labels.append((k, 1, int(toxic)))
-    rows += [(400, None), (None, "idiot scum trash")]
-    docs, truth = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    out = toxicity.toxicity(docs, truth).collect()
-    held = [r for r in out if r["held_out"]]
-    assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in out)
-    assert len(held) > 50 and sum(r["predicted"] == (r["doc_id"] < 400 and r["doc_id"] % 5 == 0) for r in held) >= 0.97 * len(held)
-    assert {r["predicted"] for r in toxicity.toxicity(docs, truth.where("false")).collect()} <= {0, 1}
