@@ -12,7 +12,7 @@ from stillkeep.llm.decontaminate import decontaminate
 from stillkeep.llm.exact_dedup import exact_dedup
 from stillkeep.llm.near_dedup import near_dedup
 from stillkeep.llm.packing import packed_documents
-from stillkeep.llm.toxicity import fit_toxicity
+from stillkeep.llm.toxicity import toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -22,14 +22,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text has the score of a text without any sign and stays; repeated rows are judged alike.
     """
-    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return docs.where(model.score()(F.col("text")) < 0.3)
+    return without(docs, toxicity(docs, table(spark, sf_dir, "labels"), 0.3).where("predicted = 1"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays, the one with the largest doc_id; null counts as empty.
 
-    Rows that repeat that doc_id and text stay together, and so do rows without an id.
+    Rows that repeat that doc_id and text stay together; a null id is the smallest.
     """
     return without(docs, exact_dedup(docs).where(~F.col("kept")))
 
@@ -37,7 +36,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest doc_id; sets of five words, similarity of 0.8 or more.
 
-    Texts without words and rows without an id stay; another text under a repeated doc_id is judged by itself.
+    Texts without words stay; a row without an id goes where its set has one; another text under a repeated doc_id is judged by itself.
     """
     return without(docs, near_dedup(docs, words=5, num=80, den=100).where(~F.col("kept")))
 
@@ -45,7 +44,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, up to a fifth of its words edited, go.
 
-    Null and empty texts and rows without an id stay; another text under a repeated doc_id is judged by itself.
+    Null and empty texts stay; another text under a repeated doc_id is judged by itself, and so are rows without an id.
     """
     return without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
