@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 import zstandard
 
-from stillkeep.llm import common, decontaminate, exact_dedup, html_text, licenses, line_dedup, near_dedup, packing, secrets, token_counts, toxicity
+from stillkeep.llm import common, decontaminate, exact_dedup, licenses, line_dedup, near_dedup, packing, secrets, token_counts, toxicity
 
 WORDS = [f"w{k}" for k in range(400)]
 SCHEMA = "doc_id long, text string, keep_id string, n long, sha string"  # the last three clash with inner names
@@ -269,17 +269,6 @@ def test_base_spans():
     assert secrets.all_spans("") == ([], [])
 
 
-def test_html(spark):
-    page = (
-        "<body><nav><a href=/>Menu</a></nav><article class=with-sidebar><h1>T &amp; U</h1><p>Ti.</p><p>a\n b <b>c</b>&nbsp;d<p>two"
-        "<div class='comments'><p>reader</p></div></article><aside>side</aside><script>var t='</p>'</script><footer>f</footer>"
-    )
-    rows = [(1, "u", page), (2, None, None), (3, "v", ""), (4, "w", "<p>cut <b"), (None, "x", "plain")]
-    out = {r["page_id"]: r for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert out[1]["text"] == "T & U\nTi.\na b c d\ntwo" and out[1]["n_chars"] == len(out[1]["text"])
-    assert (out[2]["text"], out[3]["text"], out[4]["text"], out[None]["text"]) == ("", "", "cut", "plain")
-
-
 def test_decontaminate(spark):
     rng = random.Random(6)
     items = [" ".join(rng.choices(WORDS, k=n)) for n in (15, 22, 40, 70)]
