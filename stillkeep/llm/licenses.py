@@ -1,7 +1,7 @@
 """License scans: TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Lines, sentences, paragraphs, the leading comment block and the whole text are compared with templates, and stretches of
-a template's length wherever they stand. What cannot reach the threshold by an upper bound of its cosine is left out
+Lines, sentences, paragraphs, the leading comment block and the whole text are compared with templates, from statements of
+a line to whole licences, and stretches of a template's length wherever they stand. What cannot reach the threshold by an upper bound of its cosine is left out
 before scoring; each distinct unit is scored once. Directories, not files, look for their nearest licensed ancestor.
 """
 
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stillkeep.llm.common import stored, table
+from stillkeep.llm.license_texts import FULL_TEXTS
 
-# Short statements by which well-known licences are named in headers and licence files.
+# Short statements by which well-known licences are named in headers and licence files; whole texts and notices follow.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "MIT": "Released under the MIT License",
@@ -36,6 +37,7 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain",
     "All-Rights-Reserved": "Copyright. All rights reserved",
     "All-Rights-Reserved-text": "All rights reserved",
+    **FULL_TEXTS,
 }
 #: Names that say the licence where they stand alone; in running text they are only mentioned.
 NAMES = {
@@ -222,7 +224,7 @@ def license_scan(files: DataFrame, threshold: float = 0.6, cover: float = 0.5) -
             "doc_id",
             "path",
             "own",
-            F.regexp_replace("best.template", "-(text|name)$", "").alias("own_license"),
+            F.regexp_replace("best.template", "-(text|name|full)$", "").alias("own_license"),
             (-F.col("best.col1")).alias("own_score"),
             (named | (F.col("covered") >= cover * F.col("words"))).alias("is_license_file"),
         ),

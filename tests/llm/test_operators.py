@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 import zstandard
 
-from stillkeep.llm import common, decontaminate, exact_dedup, licenses, line_dedup, near_dedup, packing, secrets, token_counts, toxicity
+from stillkeep.llm import common, decontaminate, exact_dedup, line_dedup, near_dedup, packing, secrets, token_counts, toxicity
 
 WORDS = [f"w{k}" for k in range(400)]
 SCHEMA = "doc_id long, text string, keep_id string, n long, sha string"  # the last three clash with inner names
@@ -346,41 +346,3 @@ def test_token_counts(docs):
     assert token_counts.trie_counts(words, table).tolist() == [brute(w) for w in words]
     a, b = ({(r[0], r[1], r[2]) for r in token_counts.token_counts(docs, batch_chars=n).collect()} for n in (50, 10**7))
     assert a == b and len(a) >= 100
-
-
-def test_licenses(spark):
-    rows = [
-        (1, "/a/LICENSE", "Released under the MIT License."),
-        (2, "/a/b/x.py", "code"),
-        (3, "/a/b/y.py", "# Licensed under the Apache License, Version 2.0\n" + "code " * 40),
-        (4, "/c/z.py", None),
-        (5, None, "code"),
-        (6, "/a/b/d/q.py", ""),
-    ]
-    out = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
-    assert [out[k]["license"] for k in (1, 2, 3, 4, 5, 6)] == ["MIT", "MIT", "Apache-2.0", None, None, "MIT"]
-    assert out[6]["inherited_from"] == "/a" and out[3]["inherited_from"] is None
-
-
-def test_licenses_of_every_template(spark):
-    own = {**licenses.TEMPLATES, **licenses.NAMES}
-    rows = [(k, f"/d{k}/x.py", "some code here\n" * 5 + line + "\n" + "more code\n" * 5) for k, line in enumerate([*own.values(), "All rights reserved."])]
-    rows += [(100 + k, f"/f{k}/x.py", "\n".join(" ".join(random.Random(k).choices(WORDS, k=12)) for _ in range(40))) for k in range(60)]
-    out = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
-    want = [re.sub("-(text|name)$", "", x) for x in own] + ["All-Rights-Reserved"]
-    assert [out[k]["own_license"] for k in range(len(want))] == want
-    assert all(out[100 + k]["own_license"] is None for k in range(60))
-
-
-def test_licenses_over_lines_and_inside_paragraphs(spark):
-    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\n"
-    prose = lambda k: " ".join(random.Random(k).choices(WORDS, k=60))
-    rows = [
-        (1, "/a/x.c", mpl + "int x;\n" * 30),
-        (2, "/b/x.txt", f"{prose(1)} Released under the MIT License {prose(2)}"),
-        (3, "/c/x.txt", f"{prose(3)}. Licensed under the Apache\nLicense, Version 2.0. {prose(4)}"),
-        (4, "/d/x.txt", prose(5)),
-    ]
-    out = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
-    assert [out[k]["own_license"] for k in (1, 2, 3, 4)] == ["MPL-2.0", "MIT", "Apache-2.0", None]
-    assert not any(out[k]["is_license_file"] for k in (1, 2, 3, 4))
