@@ -31,7 +31,8 @@ PATTERNS = {
     "!shouting": re.compile(r"!!!"),
 }
 _WORD = re.compile(r"\w+")
-_CACHE = 400_000
+_CACHE = 100_000  # words
+_COUNTED = 200_000  # features that are counted before the sums go out
 
 
 def held_out(doc_id: Column) -> Column:
@@ -56,39 +57,52 @@ class Hits:
 
     def __init__(self, features: list[str]):
         self.patterns = [(k, PATTERNS[f]) for k, f in enumerate(features) if f in PATTERNS]
-        self.levels: dict[str, list[tuple[int, int]]] = {}  # a word or beginning: (words that it takes, feature)
+        self.bases: dict[str, int] = {}  # words and beginnings by number
+        self.levels: list[list[tuple[int, int]]] = []  # of each: (words that it takes, feature)
         for k, f in enumerate(features):
             if f not in PATTERNS:
                 base, _, level = f.partition("*")
-                self.levels.setdefault(f"{base}*" if "*" in f else f, []).append((int(level or 1), k))
-        self.cache: dict[str, tuple[str, ...]] = {}
+                at = self.bases.setdefault(f"{base}*" if "*" in f else f, len(self.levels))
+                if at == len(self.levels):
+                    self.levels.append([])
+                self.levels[at].append((int(level or 1), k))
+        self.cache: dict[str, tuple[int, ...]] = {}
 
     def __call__(self, text: str) -> list[int]:
-        cache, levels = self.cache, self.levels
+        cache, bases = self.cache, self.bases
         if len(cache) > _CACHE:
             cache.clear()
-        n: dict[str, int] = {}
+        n: dict[int, int] = {}
         for word in set(_WORD.findall(text.lower())):
             own = cache.get(word)
             if own is None:
-                own = cache[word] = tuple(b for b in _begins(word) if b in levels)
+                own = cache[word] = tuple(bases[b] for b in _begins(word) if b in bases)
             for b in own:
                 n[b] = n.get(b, 0) + 1
-        found = {k for b, m in n.items() for least, k in levels[b] if m >= least}
+        found = {k for b, m in n.items() for least, k in self.levels[b] if m >= least}
         found.update(k for k, p in self.patterns if p.search(text))
         return sorted(found)
 
 
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of labelled texts: (feature, toxic rows, other rows), summed for the partition."""
+    """Of labelled texts: (feature, toxic rows, other rows), summed over some rows; Spark sums the rest."""
     toxic, other = Counter(), Counter()
+
+    def sums() -> Iterator[pa.RecordBatch]:
+        names = list(toxic.keys() | other.keys())
+        for a in range(0, len(names), 20_000):
+            some = names[a : a + 20_000]
+            columns = [pa.array(some, pa.string()), *(pa.array([n[f] for f in some], pa.int64()) for n in (toxic, other))]
+            yield pa.RecordBatch.from_arrays(columns, ["feature", "t", "o"])
+        toxic.clear()
+        other.clear()
+
     for batch in batches:
         for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
             (toxic if label else other).update(_features(text.as_py() or ""))
-    for names in (list(toxic), [f for f in other if f not in toxic]):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array([toxic[f] for f in names], pa.int64()), pa.array([other[f] for f in names], pa.int64())], ["feature", "t", "o"]
-        )
+            if len(toxic) + len(other) > _COUNTED:
+                yield from sums()
+    yield from sums()
 
 
 def _hits_of(features: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
