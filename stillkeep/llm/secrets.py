@@ -1,9 +1,9 @@
 """Secret scans with a recursive decoding worklist.
 
 The text itself is the first layer. A layer is scanned for secrets, then unwrapped: URL escapes,
-Unicode escapes, base64 runs and compressed bytes inside it become layers of their own, until no layer is
-left. A layer that was seen at the same place is not taken again, which ends cycles. Spans of a deeper layer
-are mapped back, step by step, to the characters of the text they came from.
+Unicode escapes, base64 runs and compressed bytes inside it, which may begin anywhere in a run, become layers of
+their own, until no layer is left. A layer that was seen at the same place is not taken again, which ends cycles. Spans
+of a deeper layer are mapped back, step by step, to the characters of the text they came from.
 """
 
 from __future__ import annotations
@@ -296,12 +296,13 @@ def _base64s(text: str, most: int) -> Iterator[tuple[str, Mapping]]:
     for start, run in chain(runs, _wrapped(text)) if "\n" in text else runs:
         broken = "\n" in run
         body = ("".join(run.split()) if broken else run).rstrip("=")
-        if len(body) % 4 == 1 or _plain(body) or broken and start == whole:
+        if _plain(body) or broken and start == whole:
             continue
-        try:
-            raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
-        except ValueError:
+        if not broken:
+            yield from _shifted(body, start, most)
+        if len(body) % 4 == 1:
             continue
+        raw = _decoded(body)
         at = [start + k for k, c in enumerate(run) if not c.isspace() and c != "="] if broken else range(start, start + len(body))
         end = start + len(run)
         if broken and _sound(raw):
@@ -313,6 +314,34 @@ def _base64s(text: str, most: int) -> Iterator[tuple[str, Mapping]]:
                 yield layer, lambda a, b, s=start, e=end: (s, e)
 
 
+#: What bytes hold that may be or hide a secret; every encoding here is written in ASCII.
+_HINT = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uUx]|[A-Za-z0-9+/_-]{16}")
+
+
+def _decoded(body: str) -> bytes:
+    return base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
+
+
+def _shifted(body: str, start: int, most: int) -> Iterator[tuple[str, Mapping]]:
+    """The layers of base64 that begins inside a run, after a path or a name, or is not UTF-8 for what stands around it.
+
+    A byte is a character here, which keeps ASCII; compressed bytes may begin at any byte.
+    """
+    for off in range(4):
+        own = body[off : len(body) - ((len(body) - off) % 4 == 1)]
+        raw = _decoded(own)
+        if off == 0 and _sound(raw):
+            continue  # read from the run's start as it is
+        at, end = range(start + off, start + off + len(own)), start + len(body)
+        if _HINT.search(raw):
+            yield raw.decode("latin-1"), lambda a, b, at=at: (at[a // 3 * 4 + a % 3], at[min(len(at), (b - 1) // 3 * 4 + (b - 1) % 3 + 2) - 1] + 1)
+        for m in _MAGIC.finditer(raw):
+            pieces = _unpacked(raw[m.start() :], rest=False)
+            for chunk in _chunks(pieces, most) if pieces else ():
+                for layer, _ in _texts(chunk, True):
+                    yield layer, lambda a, b, s=at[m.start() // 3 * 4], e=end: (s, e)
+
+
 def _url_bytes(text: str) -> Iterator[tuple[bytes, list[int], int]]:
     for m in _URL_RUN.finditer(text):
         if "%" not in m[0]:
