@@ -190,15 +190,16 @@ def best_fit_packing(pieces: DataFrame, capacity: int = CAPACITY, salt_rows: int
     """Pieces with 1 <= length <= capacity get sequence_id and offset; the other columns stay.
 
     Sequences are gapless from offset 0 and hold at most ``capacity``. Rows that are equal in all columns
-    are separate pieces. An empty table gives no rows. A length that a third of all rows share is ranked in
+    are separate pieces and spread like others. An empty table gives no rows. A length that a third of all rows share is ranked in
     groups of about ``salt_rows`` rows. The plan holds a few patterns for each length; its size is bounded
     by the capacity, not by the corpus.
     """
-    spark = pieces.sparkSession
-    pieces = stored(pieces, "pieces")
+    spark, columns = pieces.sparkSession, pieces.columns
+    numbered = stored(pieces.withColumn("_at", F.monotonically_increasing_id()), "pieces")  # written, so that every scan sees the same numbers
+    pieces = numbered.select(columns)
     counts = {int(r[0]): r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     salts = max(1, sum(counts.values()) // salt_rows)
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*pieces.columns), F.lit(salts)))
+    salted = numbered.withColumn("_salt", F.pmod(F.xxhash64("_at"), F.lit(salts)))
     before = (
         salted.groupBy("length", "_salt")
         .count()
@@ -208,7 +209,7 @@ def best_fit_packing(pieces: DataFrame, capacity: int = CAPACITY, salt_rows: int
         )
         .select("length", "_salt", F.coalesce("_before", F.lit(0)).alias("_before"))
     )
-    own = Window.partitionBy("length", "_salt").orderBy(*pieces.columns)
+    own = Window.partitionBy("length", "_salt").orderBy("_at")
     ranked = salted.withColumn("_own", F.row_number().over(own) - 1).join(before, ["length", "_salt"])
     ranked = ranked.select(*pieces.columns, (F.col("_before") + F.col("_own")).alias("_rank"))
     slots = spark.sparkContext.broadcast(_segments(pack_plan(counts, capacity), capacity))
