@@ -166,11 +166,24 @@ def _finder(idf: dict[str, float], threshold: float) -> Callable[[Iterator[pa.Re
     return find
 
 
+SALTS = 16  # parts of a token or a unit that a large share of rows has
+
+
+def salted(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The small side of a join with ``salted`` rows."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def scored_units(distinct: DataFrame, df: DataFrame, total: int, template: DataFrame) -> DataFrame:
     """The best template of each unit. distinct: (unit), its tokens with a space between. Returns unit, template, score."""
     idf = lambda df: F.log((1.0 + total) / (1.0 + df)) + 1.0
     words = distinct.select("unit", F.explode(F.split("unit", " ")).alias("token")).groupBy("unit", "token").agg(F.count(F.lit(1)).alias("tf"))
-    weighted = words.join(df, "token").select("unit", "token", (F.col("tf") * idf(F.col("df"))).alias("w"))
+    wanted = spread(df.join(words.select("token").distinct(), "token", "left_semi"))
+    weighted = salted(words, "unit").join(wanted, ["token", "salt"]).select("unit", "token", (F.col("tf") * idf(F.col("df"))).alias("w"))
     norm = weighted.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = (
         weighted.join(F.broadcast(template), "token")  # a fixed table of a few hundred rows
@@ -214,7 +227,7 @@ def license_scan(files: DataFrame, threshold: float = 0.6, cover: float = 0.5) -
     shape = T.StructType([*base.schema.fields[:2], *(T.StructField(c, t) for c, t in FOUND)])
     heads = stored(base.select("doc_id", "path", F.xxhash64("text").alias("own"), "text").mapInArrow(_finder(idf, threshold), shape), "headers")
     scores = stored(scored_units(heads.select("unit").distinct(), df, total, template).where(F.col("score") >= threshold), "scores")
-    hits = heads.join(scores, "unit").where(F.col("score") >= F.col("need"))
+    hits = salted(heads, "doc_id", "path").join(spread(scores), ["unit", "salt"]).drop("salt").where(F.col("score") >= F.col("need"))
     named = F.coalesce(F.upper(F.regexp_extract("path", r"([^/]*)$", 1)).rlike(r"^(LICEN[CS]E|COPYING)([.-].*)?$"), F.lit(False))
     covered = F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", F.col("end") - 1)))))  # hits may overlap
     own = stored(
