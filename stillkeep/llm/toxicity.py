@@ -66,14 +66,17 @@ class Hits:
                 if at == len(self.levels):
                     self.levels.append([])
                 self.levels[at].append((int(level or 1), k))
+        self.starts = {b.removesuffix("*")[:3] for b in self.bases}  # most words begin like none of them
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def __call__(self, text: str) -> list[int]:
-        cache, bases = self.cache, self.bases
+        cache, bases, starts = self.cache, self.bases, self.starts
         if len(cache) > _CACHE:
             cache.clear()
         n: dict[int, int] = {}
         for word in set(_WORD.findall(text.lower())):
+            if word[:3] not in starts:
+                continue
             own = cache.get(word)
             if own is None:
                 own = cache[word] = tuple(bases[b] for b in _begins(word) if b in bases)
