@@ -31,7 +31,7 @@ _OFFSET = 400  # register value of a point at 1.0
 _SLACK = 10.0  # a register stays empty with probability e**-10 for a document
 BLOCK = 192  # members of a group in a block, about
 ELEMENTS = 8_000_000  # set elements in a block, about: its memory
-SALTS = 32  # parts of a group where it meets its size
+SALTS = 8  # parts of a group where it meets its size
 
 
 def shingle_sets(data: np.ndarray, starts: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
