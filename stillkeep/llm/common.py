@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stillkeep.storage import dropped, stored, table
 
-__all__ = ["KeyFilter", "components", "dropped", "hashed_words", "mixed", "stored", "table", "text_slices", "without"]
+__all__ = ["KeyFilter", "components", "dropped", "hashed_words", "lowered", "mixed", "stored", "table", "text_slices", "without", "word_ids"]
 
 MASK = (1 << 64) - 1
 
@@ -120,6 +120,31 @@ def hashed_words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     return hashes, np.searchsorted(starts, first, side="right") - 1, first, end
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lower-cased."""
+    return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+
+
+def word_ids(data: np.ndarray, word: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Maximal runs of the bytes that ``word`` marks, within texts: no hash decides which are equal.
+
+    Returns each run's number in the dictionary, its text's number, its first byte and its end, and the dictionary (binary).
+    """
+    n = len(data)
+    none = np.zeros(0, dtype=np.int64)
+    if not n:
+        return none, none, none, none, pa.array([], pa.binary())
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[starts] = True
+    first = np.flatnonzero(word & (~np.concatenate(([False], word[:-1])) | edge[:n]))
+    end = np.flatnonzero(word & (~np.concatenate((word[1:], [False])) | edge[1:])) + 1
+    offsets = np.concatenate(([0], np.cumsum(end - first))).astype(np.int32)
+    runs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data[word])])
+    coded = runs.dictionary_encode()
+    texts = np.searchsorted(starts, first, side="right") - 1
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), texts, first, end, coded.dictionary
+
+
 def text_slices(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """A string array as (first row, end row, bytes, starts), about ``most`` bytes or one text at a time; null is empty."""
     texts = texts.cast(pa.large_string())
