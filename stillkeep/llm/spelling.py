@@ -213,7 +213,7 @@ def near_words(vocabulary: DataFrame, least: int = 1, most: int = 4000) -> DataF
     for more in done[1:]:
         parts = parts.unionByName(more)
     return (
-        parts.select("state", "word", "n", "longer", "before", "after", "at_end")
+        parts.select("state", "word", "n", "longer", "before", "after", (F.col("hi") > F.col("m")).alias("at_end"))
         .repartition("state")
         .sortWithinPartitions("state")
         .mapInArrow(_composed, "word string, n long, near string, near_n long")
