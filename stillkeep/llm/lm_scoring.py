@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stillkeep.llm.common import lowered, mixed, stored, table, text_slices, word_ids
+from stillkeep.llm.spelling import CRC_TABLE, crc32_sql
 
 END = np.uint64(xxhash.xxh64_intdigest(b"end of text", 1))  # words are hashed with seed 0
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -283,14 +284,14 @@ def _scorer(order: int, priors: tuple[float, ...], tokens: int, types: int) -> C
     return score
 
 
-def lm_scores(docs: DataFrame, order: int = 3, priors: tuple[float, ...] = (4.0, 1.0), batch_chars: int = 1 << 23, per_owner: int = 1 << 22) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = 3, priors: tuple[float, ...] = (1000.0, 2.0), batch_chars: int = 1 << 23, per_owner: int = 1 << 22) -> DataFrame:
     """Scores of all texts by a model of up to ``order`` words, learnt from those that are not held out.
 
     Per row: doc_id, held_out (crc32 of the id as text is 2 modulo 7), n_tokens (words and one end), n_known (tokens seen in training), train_tokens,
     base_score (log10 by single words, add one), score (log10 by the model). Words are split at blanks and 0x09-0x0D, A-Z lower-cased.
     A null or empty text is an end token alone; a row without an id is not held out; repeated rows are learnt from and scored each;
     an empty table gives no rows; other columns are not read. Without training texts every token has probability 1.
-    priors: k for n-grams of 2, 3, ... words. batch_chars and per_owner bound a task's memory, results do not depend on them
+    priors: k for n-grams of 2, 3, ... words (on held-out texts, large ones do best for pairs and small ones for longer n-grams). batch_chars and per_owner bound a task's memory, results do not depend on them
     (but for the order in which scores are added up).
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -305,3 +306,28 @@ def lm_scores(docs: DataFrame, order: int = 3, priors: tuple[float, ...] = (4.0,
 
 def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = rf"""
+WITH {CRC_TABLE},
+docs AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce({crc32_sql("doc_id::VARCHAR")} % 7 = 2, FALSE) AS held_out,
+    list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS words
+  FROM documents, crc),
+places AS (SELECT row_no, doc_id, held_out, unnest(words) AS w1, generate_subscripts(words, 1) AS i FROM docs),
+asked AS (SELECT *, h1 || ' ' || w1 AS w2, h0 || ' ' || h1 || ' ' || w1 AS w3, h0 || ' ' || h1 AS h2
+  FROM (SELECT *, lag(w1) OVER w AS h1, lag(w1, 2) OVER w AS h0 FROM places WINDOW w AS (PARTITION BY row_no ORDER BY i))),
+c1 AS (SELECT w1, count(*) AS n FROM asked WHERE NOT held_out GROUP BY w1),
+c2 AS (SELECT w2, count(*) AS n FROM asked WHERE NOT held_out AND w2 IS NOT NULL GROUP BY w2),
+c3 AS (SELECT w3, count(*) AS n FROM asked WHERE NOT held_out AND w3 IS NOT NULL GROUP BY w3),
+totals AS (SELECT coalesce(sum(n), 0)::BIGINT AS tokens, count(*) AS types FROM c1),
+single AS (
+  SELECT a.*, tokens, a1.n IS NOT NULL AS known, (coalesce(a1.n, 0) + 1)::DOUBLE / (tokens + types + 1) AS p1, coalesce(a2.n, 0) AS n2, coalesce(a3.n, 0) AS n3,
+    coalesce(b1.n, 0) AS m1, coalesce(b2.n, 0) AS m2
+  FROM asked a LEFT JOIN c1 a1 USING (w1) LEFT JOIN c2 a2 USING (w2) LEFT JOIN c3 a3 USING (w3)
+  LEFT JOIN c1 b1 ON a.h1 = b1.w1 LEFT JOIN c2 b2 ON a.h2 = b2.w2, totals),
+pairs AS (SELECT *, CASE WHEN i > 1 THEN (n2 + 1000 * p1) / (m1 + 1000) ELSE p1 END AS p2 FROM single),
+triples AS (SELECT *, CASE WHEN i > 2 THEN (n3 + 2 * p2) / (m2 + 2) ELSE p2 END AS p3 FROM pairs)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(*) FILTER (WHERE known) AS n_known, any_value(tokens) AS train_tokens,
+  sum(log10(p1)) AS base_score, sum(log10(p3)) AS score
+FROM triples GROUP BY row_no, doc_id
+"""

@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_lm_scoring": lm_scoring.ORACLE_SQL,
     "op12_spelling_variants": spelling.ORACLE_SQL,
     "op13_collocations": phrases.ORACLE_SQL,
 }
