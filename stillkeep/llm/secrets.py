@@ -74,7 +74,8 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 _UNICODE_ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+={0,2}(?!\S))+")
+_BREAK = re.compile(r"\r?\n[ \t]*")
+_BROKEN = re.compile(r"[A-Za-z0-9+/_-]{16}\r?\n[ \t]*[A-Za-z0-9+/_-]")  # what runs over lines begin with
 _RUN = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 _URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~+/-])+")
 _URL_ONE = re.compile(r"%([0-9A-Fa-f]{2})|.", re.S)
@@ -260,13 +261,33 @@ def _layers(raw: bytes, most: int) -> Iterator[tuple[str, bool]]:
                 yield text, False
 
 
+def _broken_runs(text: str) -> Iterator[list[re.Match[str]]]:
+    """Runs of base64 letters with nothing but a line break between each and the next, the first of 16 letters or more.
+
+    Each run is found once and its neighbours joined by their places, so the time grows with the text.
+    """
+    lines: list[re.Match[str]] = []
+    first = _BROKEN.search(text)
+    if not first:
+        return
+    for m in _RUN.finditer(text):
+        follows = lines and (len(lines) > 1 or "=" not in lines[0][0]) and _BREAK.fullmatch(text, lines[-1].end(), m.start())
+        if follows and (m.end() == len(text) or text[m.end()].isspace()):
+            lines.append(m)
+            continue
+        if len(lines) > 1:
+            yield lines
+        lines = [m] if len(m[0].rstrip("=")) >= 16 else []
+    if len(lines) > 1:
+        yield lines
+
+
 def _wrapped(text: str) -> Iterator[tuple[int, str]]:
     """Base64 over several lines, as (start, the lines with their breaks): equal lines and a last one that may be shorter.
 
     Whether the last line belongs to it is not known, so it comes with and, after that, without.
     """
-    for m in _WRAPPED.finditer(text):
-        lines = list(_RUN.finditer(text, m.start(), m.end()))
+    for lines in _broken_runs(text):
         k = 0
         while k < len(lines) - 1:
             size = len(lines[k + 1][0])

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,3 +131,27 @@ def test_base64_after_a_name_or_path():
         for before in ("path/", "data_", "x-y/z_", "k", "kk", "kkk/"):
             text = f"see {before}{base64.b64encode(packed).decode()} end"
             assert [k for k, *_ in secrets.all_spans(text)[1]] == ["assign"], (before, packed[:2])
+
+
+def test_a_long_unbroken_run_takes_time_in_proportion():
+    """Whatever stands after a run of a megabyte, and a secret behind it is found."""
+    rng = random.Random(8)
+    run = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000))
+    for end in ("==", ")", '"', "]", "\n", " ", "%", "\\", "=\n", "\r\n  x"):
+        text = run + end + "\nAKIA" + "A1B2" * 5
+        began = time.process_time()
+        assert not list(secrets._broken_runs(text)) or end in ("\n", "\r\n  x") or end.startswith("=")
+        assert time.process_time() - began < 2
+    assert ("access", 1_000_002, 1_000_026) in secrets.all_spans(run + ")\nAKIA" + "A1B2" * 5)[1]
+
+
+def test_runs_over_lines():
+    for text, want in [
+        ("x" * 16 + "\nabc", [["x" * 16, "abc"]]),
+        ("x" * 15 + "\nabc", []),
+        ("x" * 16 + "=\nabc", []),
+        ("x" * 16 + "\nabc)", []),
+        ("y " + "x" * 20 + "\r\n \tab==\nc\n\nd", [["x" * 20, "ab==", "c"]]),
+        ("x" * 16 + "\nab)\n" + "z" * 16 + "\nq", [["z" * 16, "q"]]),
+    ]:
+        assert [[m[0] for m in lines] for lines in secrets._broken_runs(text)] == want
