@@ -31,6 +31,7 @@ from stillkeep.llm.spelling import CRC_TABLE, crc32_sql
 
 END = np.uint64(xxhash.xxh64_intdigest(b"end of text", 1))  # words are hashed with seed 0
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+GRAM_BITS = 60  # n-grams of two words and more are told apart by so many bits, words by 64
 
 
 def packed(values: np.ndarray, width: int) -> bytes:
@@ -72,7 +73,11 @@ def _coder(batch_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             word, text, _, _, words = word_ids(low, ~((low == 32) | ((low >= 9) & (low <= 13))), starts)
             hashes = np.array([*map(xxhash.xxh64_intdigest, words.to_pylist()), int(END)], dtype=np.uint64)
             n = np.bincount(text, minlength=len(texts))
-            codes = np.insert(word, np.cumsum(n), len(words)).astype(np.uint32)
+            codes = np.insert(word, np.cumsum(n), len(words))
+            by = np.argsort(-np.bincount(codes, minlength=len(hashes)), kind="stable")  # frequent words have small numbers
+            rank = np.empty(len(by), dtype=np.uint32)
+            rank[by] = np.arange(len(by))
+            hashes, codes = hashes[by], rank[codes]
             row = ([number], [ids], [(n + 1).tolist()], [hashes.tobytes()], [packed(codes, 4)], [len(codes)])
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, _CODED.types, strict=True)], schema=_CODED)
 
@@ -114,7 +119,7 @@ class Grams:
             if size > 1:
                 before = np.concatenate((np.zeros(1, np.uint64), hashes[:-1]))
                 with np.errstate(over="ignore"):
-                    hashes = mixed(before * _STEP + own, size)
+                    hashes = mixed(before * _STEP + own, size) >> np.uint64(64 - GRAM_BITS)
             there = np.flatnonzero(into >= size - 1)
             keys, first, inverse = np.unique(hashes[there], return_index=True, return_inverse=True)
             at = np.full(len(codes), -1, dtype=np.int64)
@@ -132,12 +137,15 @@ _SENT = pa.schema([("batch", pa.int64()), ("owner", pa.int32()), ("keys", pa.lis
 
 
 def _sender(owners: int, order: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    cuts = np.array([(k << 64) // owners for k in range(1, owners)], dtype=np.uint64)
+    cuts = [np.array([(k << bits) // owners for k in range(1, owners)], dtype=np.uint64) for bits in (64, *[GRAM_BITS] * (order - 1))]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for r in b.to_pylist()):
             grams = Grams(row, order)
-            split = [(np.split(k, at), np.split(c, at)) for k, c in zip(grams.keys, grams.training_counts(), strict=True) for at in [np.searchsorted(k, cuts)]]
+            split = []
+            for keys, counts, cut in zip(grams.keys, grams.training_counts(), cuts, strict=True):
+                at = np.searchsorted(keys, cut)
+                split.append((np.split(keys, at), np.split(counts, at)))
             for owner in range(owners):
                 own = [(k[owner], c[owner]) for k, c in split]
                 if any(len(k) for k, _ in own):
