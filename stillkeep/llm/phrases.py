@@ -41,6 +41,7 @@ class Shard:
         low, end = lowered(data), _PIECE_END[data]
         word, text, first, _, self.words = word_ids(low, ~(end | (low == 32) | (low == 9)), starts)
         pieces = np.cumsum(end, dtype=np.int32)[first] if len(first) else np.zeros(0, np.int32)
+        del data, low, end, first  # a shard's numbers take several times the bytes of its texts
         self.joined = np.zeros(len(word), dtype=bool)  # with the word before, in one piece
         if len(word):
             self.joined[1:] = (text[1:] == text[:-1]) & (pieces[1:] == pieces[:-1])
@@ -163,7 +164,7 @@ def _filter_bits(hashes: DataFrame, max_bits: int) -> np.ndarray:
     return out
 
 
-def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = 5, shard_chars: int = 1 << 25, max_bits: int = 1 << 28) -> DataFrame:
+def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = 5, shard_chars: int = 1 << 24, max_bits: int = 1 << 28) -> DataFrame:
     """All phrases of up to ``longest`` words that occur ``support`` times or more in a language: lang, size, phrase, n.
 
     Rows of size 0 have the count of all words of a language. Texts are lower-cased (A-Z), split into pieces at . , ; : ! ? and line
@@ -179,7 +180,7 @@ def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = 5, shar
     return counts.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where((F.col("size") == 0) | (F.col("n") >= support))
 
 
-def collocations(docs: DataFrame, support: int = 100, longest: int = 5, top: int = 2000, shard_chars: int = 1 << 25, salts: int = 64) -> DataFrame:
+def collocations(docs: DataFrame, support: int = 100, longest: int = 5, top: int = 2000, shard_chars: int = 1 << 24, salts: int = 64) -> DataFrame:
     """Each language's best phrases: lang, rank, phrase, a, l, r, n, score.
 
     Candidates are the frequent phrases of two words and more; a is a phrase's count, n that of all words of its language, and l and r those of its parts at
