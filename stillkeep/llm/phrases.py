@@ -29,26 +29,54 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BITMAP = 1 << 15  # bits in a bitmap of Spark's bitmap_* functions
 
 
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of distinct keys in order: a place of each, each place's number, and the counts; 32 bits wherever they do."""
+    by = np.argsort(keys).astype(np.int32)
+    keys = keys[by]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    del keys
+    heads = np.flatnonzero(new)
+    number = np.empty(len(by), dtype=np.int32)
+    number[by] = np.cumsum(new, dtype=np.int32) - 1
+    return by[heads], number, np.diff(heads, append=len(by))
+
+
 class Shard:
     """The words of some texts as numbers, and their phrases level by level."""
 
     def __init__(self, langs: list[str], texts: pa.Array):
-        self.bytes = 0
         self.lang_names = sorted(set(langs))
         place = {name: k for k, name in enumerate(self.lang_names)}
-        ((_, _, data, starts),) = text_slices(texts, 1 << 62)
-        self.bytes = len(data)
-        low, end = lowered(data), _PIECE_END[data]
-        word, text, first, _, self.words = word_ids(low, ~(end | (low == 32) | (low == 9)), starts)
-        pieces = np.cumsum(end, dtype=np.int32)[first] if len(first) else np.zeros(0, np.int32)
-        del data, low, end, first  # a shard's numbers take several times the bytes of its texts
-        self.joined = np.zeros(len(word), dtype=bool)  # with the word before, in one piece
-        if len(word):
-            self.joined[1:] = (text[1:] == text[:-1]) & (pieces[1:] == pieces[:-1])
-        lang = np.array([place[x] for x in langs], dtype=np.int64)[text] if len(word) else np.zeros(0, np.int64)
+        lang_of = np.array([place[x] for x in langs], dtype=np.int32)
+        known: dict[bytes, int] = {}
+        self.bytes = 0
+        codes, joined, spoken = [np.zeros(0, np.int32)], [np.zeros(0, bool)], [np.zeros(0, np.int32)]
+        for row, stop, data, starts in text_slices(texts, 1 << 22):  # what is held at once is a few bytes for each word, not for each byte
+            self.bytes += len(data)
+            end, low = _PIECE_END[data], lowered(data)
+            word, text, first, _, words = word_ids(low, ~(end | (low == 32) | (low == 9)), starts)
+            if len(word):
+                pieces = np.cumsum(end, dtype=np.int32)[first]
+                codes.append(np.array([known.setdefault(w, len(known)) for w in words.to_pylist()], dtype=np.int32)[word])
+                joined.append(np.concatenate(([False], (text[1:] == text[:-1]) & (pieces[1:] == pieces[:-1]))))
+                spoken.append(lang_of[row:stop][text])
+        self.words = pa.array(list(known), pa.binary())
+        del known
+        self.joined = np.concatenate(joined)  # with the word before, in one piece
+        lang, word = np.concatenate(spoken), np.concatenate(codes)
+        del codes, joined, spoken
         self.n_words = np.bincount(lang, minlength=len(self.lang_names))
-        own, at, self.ids, self.n = np.unique(lang * max(1, len(self.words)) + word, return_index=True, return_inverse=True, return_counts=True)
-        self.ids = self.ids.astype(np.int32)
+        # a word of a language is a number; those that occur are counted and renumbered without a sort
+        word = word + lang * np.int64(max(1, len(self.words)))
+        del lang
+        all_n = np.bincount(word, minlength=len(self.lang_names) * max(1, len(self.words)))
+        own = np.flatnonzero(all_n)
+        self.n = all_n[own]
+        number = np.zeros(len(all_n), dtype=np.int32)
+        number[own] = np.arange(len(own), dtype=np.int32)
+        self.ids = number[word]
+        del word, number, all_n
         self.lang_of, self.word_of = np.divmod(own, max(1, len(self.words)))
         seeds = [xxhash.xxh64_intdigest(x.encode()) for x in self.lang_names]
         spelt = self.words.to_pylist()
@@ -72,11 +100,13 @@ class Shard:
             pair = pair[self.joined[where[pair] + size - 1]]
             if not len(pair):
                 return
-            last = self.ids[where[pair] + size - 1]
-            _, at, new, n = np.unique(ids[pair].astype(np.int64) * len(self.n) + last, return_index=True, return_inverse=True, return_counts=True)
+            where, before = where[pair], ids[pair]
+            del pair, good, ids
+            last = self.ids[where + size - 1]
+            at, ids, n = _numbered(before * np.int64(len(self.n)) + last)
             with np.errstate(over="ignore"):
-                hashes = mixed(hashes[ids[pair[at]]] * _STEP + self.hashes[last[at]])
-            where, ids = where[pair], new.astype(np.int32)
+                hashes = mixed(hashes[before[at]] * _STEP + self.hashes[last[at]])
+            del before, last
             keep = kept(hashes, n)
             yield size, where[at][keep], n[keep], hashes[keep]
 
@@ -103,17 +133,23 @@ def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Shard]:
     langs: list[str] = []
     texts: list[str] = []
     held = 0
+
+    def shard() -> Shard:
+        nonlocal langs, texts, held
+        own, whole = langs, pa.array(texts, pa.large_string())
+        langs, texts, held = [], [], 0
+        return Shard(own, whole)
+
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for part in _cut(text, most):
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for part in _cut(text.as_py(), most):
                 langs.append("und" if lang is None else lang)
                 texts.append(part)
                 held += len(part)
                 if held >= most:
-                    yield Shard(langs, pa.array(texts, pa.large_string()))
-                    langs, texts, held = [], [], 0
+                    yield shard()
     if texts:
-        yield Shard(langs, pa.array(texts, pa.large_string()))
+        yield shard()
 
 
 def _mined(total: int, support: int, longest: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -164,7 +200,7 @@ def _filter_bits(hashes: DataFrame, max_bits: int) -> np.ndarray:
     return out
 
 
-def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = 5, shard_chars: int = 1 << 24, max_bits: int = 1 << 28) -> DataFrame:
+def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = 5, shard_chars: int = 1 << 25, max_bits: int = 1 << 28) -> DataFrame:
     """All phrases of up to ``longest`` words that occur ``support`` times or more in a language: lang, size, phrase, n.
 
     Rows of size 0 have the count of all words of a language. Texts are lower-cased (A-Z), split into pieces at . , ; : ! ? and line
@@ -180,7 +216,7 @@ def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = 5, shar
     return counts.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where((F.col("size") == 0) | (F.col("n") >= support))
 
 
-def collocations(docs: DataFrame, support: int = 100, longest: int = 5, top: int = 2000, shard_chars: int = 1 << 24, salts: int = 64) -> DataFrame:
+def collocations(docs: DataFrame, support: int = 100, longest: int = 5, top: int = 2000, shard_chars: int = 1 << 25, salts: int = 64) -> DataFrame:
     """Each language's best phrases: lang, rank, phrase, a, l, r, n, score.
 
     Candidates are the frequent phrases of two words and more; a is a phrase's count, n that of all words of its language, and l and r those of its parts at
