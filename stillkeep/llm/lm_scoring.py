@@ -292,7 +292,7 @@ def _scorer(order: int, priors: tuple[float, ...], tokens: int, types: int) -> C
     return score
 
 
-def lm_scores(docs: DataFrame, order: int = 3, priors: tuple[float, ...] = (1000.0, 2.0), batch_chars: int = 1 << 23, per_owner: int = 1 << 22) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = 3, priors: tuple[float, ...] = (1000.0, 2.0), batch_chars: int = 6_000_000, per_owner: int = 3_000_000) -> DataFrame:
     """Scores of all texts by a model of up to ``order`` words, learnt from those that are not held out.
 
     Per row: doc_id, held_out (crc32 of the id as text is 2 modulo 7), n_tokens (words and one end), n_known (tokens seen in training), train_tokens,
