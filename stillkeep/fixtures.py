@@ -91,6 +91,25 @@ def large_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return small.select("video_id", "frame_index", F.lit(64).alias("width"), F.lit(64).alias("height"), rgb.alias("rgb"))
 
 
+def event_previews(spark: SparkSession, sf_dir: str, wanted: DataFrame) -> DataFrame:
+    """The 8x8 previews of the wanted events (video_id, frame_index, event_id): every vector is some event's, and only theirs are made into pixels."""
+    vectors = pixel_frames(spark, sf_dir).select(F.col("frame_index").alias("_vec"), "width", "height", "rgb")
+    n = F.lit(max(1, table(spark, sf_dir, "embeddings").count()))
+    return wanted.select("video_id", "frame_index", (F.col("event_id") % n).alias("_vec")).join(vectors, "_vec").drop("_vec")
+
+
+#: Thresholds of the 256-bit hashes of ``sign_words``, a word of 64 bits for each.
+LEVELS = (0.1, 0.15, 0.2, 0.25)
+
+
+def sign_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slim rows for dedup with hashes of 256 bits: bit i of word k is set where element i is above level k."""
+    word = lambda level: sign_hash(F.transform("embedding", lambda x: x.cast("double") - F.lit(level)))
+    slim = sign_frames(spark, sf_dir).drop("hash")
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_index"), F.array(*map(word, LEVELS)).alias("hash"))
+    return slim.join(own, "frame_index")
+
+
 PIXELS_SQL = """px AS (
   SELECT label AS video_id, vec_id AS frame_index,
          list_transform(embedding, lambda x: least(255, greatest(0, CAST(floor((CAST(x AS DOUBLE) + 0.25::DOUBLE) * 510) AS INTEGER)))) AS luma

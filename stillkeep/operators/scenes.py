@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,16 +38,23 @@ def adaptive_cuts(series: DataFrame, value: str, threshold: float, window: int,
 def min_scene_length(cuts: DataFrame, frames: int) -> DataFrame:
     """(video_id, frame_index) of the accepted cuts: greedily, each at least ``frames`` after the last accepted; frame 0 counts as one.
 
-    A video's cuts are folded in one array of frame numbers; they are a small part of its frames.
+    One ordered pass: a task reads its videos' cuts in frame order and holds the last accepted number and nothing else.
     """
-    fold = F.aggregate(
-        F.array_sort("c"),
-        F.struct(F.lit(0).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept")),
-        lambda s, x: F.when(x - s["last"] >= frames, F.struct(x.alias("last"), F.array_append(s["kept"], x).alias("kept"))).otherwise(s),
-        lambda s: s["kept"],
-    )
-    lists = cuts.groupBy("video_id").agg(F.collect_list(F.col("frame_index").cast("bigint")).alias("c"))
-    return lists.select("video_id", F.explode(fold).alias("frame_index"))
+
+    def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video, last = object(), 0
+        for batch in batches:
+            keep = []
+            for own, frame in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if own != video:
+                    video, last = own, 0
+                keep.append(frame is not None and frame - last >= frames)
+                if keep[-1]:
+                    last = frame
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    slim = cuts.select("video_id", F.col("frame_index").cast("bigint").alias("frame_index"))
+    return slim.repartition("video_id").sortWithinPartitions("video_id", "frame_index").mapInArrow(accepted, slim.schema)
 
 
 def boundaries_to_scenes(videos: DataFrame, boundaries: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ KEYS = ("video_id", "frame_index")
 class Providers:
     """What a user may replace.
 
-    frames: videos -> video_id, frame_index, width, height, rgb and what the other providers read. faces: frames -> a row per
+    frames: videos, or the frames wanted of them -> video_id, frame_index, width, height, rgb and what the other providers read. faces: frames -> a row per
     face with the keys and the face measures. aesthetic, composition: frames -> keys, score, and status where there is
     one; a null score is neutral. scorers: further columns by name. What is left out has no faces or is neutral.
     """

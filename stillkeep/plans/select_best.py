@@ -6,11 +6,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stillkeep.operators.dedup import Similarity, deduplicate
+from stillkeep.operators.dedup import Similarity, deduplicate, hamming
 from stillkeep.operators.sampling import assign_scene, sample_exact
 from stillkeep.operators.scenes import detect_scenes
 from stillkeep.operators.selection import decide
-from stillkeep.settings import DedupSettings, SamplingSettings, SceneSettings, SelectionSettings
+from stillkeep.plans.scoring import Providers, score_videos
+from stillkeep.settings import CompositeSettings, DedupSettings, FaceSettings, SamplingSettings, SceneSettings, SelectionSettings, TechnicalSettings
 from stillkeep.sources.sinks import store_previews
 from stillkeep.storage import stored
 
@@ -47,6 +48,35 @@ def select_best(
     return select_candidates(candidates, scenes, similarity, dedup, selection)
 
 
+def select_from_previews(
+    frames: DataFrame,
+    content: str,
+    providers: Providers,
+    scene: SceneSettings,
+    sampling: SamplingSettings,
+    technical: TechnicalSettings,
+    face: FaceSettings,
+    composite: CompositeSettings,
+    dedup: DedupSettings,
+    selection: SelectionSettings,
+    reduce_factor: int = 4,
+) -> DataFrame:
+    """The whole way from frames to selection: scenes and sampling on slim rows, then pixels of the sampled frames alone.
+
+    frames: video_id, frame_index, t, the content value and what the providers need to find a frame, but no pixels.
+    ``providers.frames`` gets the sampled rows and returns their previews, so what was not sampled is neither read, decoded nor scored. Hashes of
+    ``dedup.hash_size`` squared bits go from scoring to dedup as they are. A frame whose preview is not whole is no candidate.
+    Columns: those of the candidates, technical, face, aesthetic, composition, profile, reasons, final_score, state, reason, selection_rank and the rest of ``decide``.
+    """
+    found = detect_scenes(frames, content, scene.adaptive_threshold, scene.window_width, scene.min_content_val, scene.min_scene_len_frames)
+    scenes = stored(found, "scenes")
+    sampled = sample_exact(assign_scene(frames.drop(content), scenes), scenes, sampling.fps)
+    wanted = stored(sampled.drop("scene_start", "scene_end", "cell"), "sampled")
+    scored = score_videos(wanted, providers, technical, face, composite, dedup.hash_size, reduce_factor).where("error IS NULL").drop("error", "n_faces")
+    candidates = wanted.join(stored(scored, "scored"), ["video_id", "frame_index"])
+    return select_candidates(candidates, scenes, hamming(dedup.hash_size**2, words=True), dedup, selection)
+
+
 def resume(rows: DataFrame, path: str) -> None:
     """Write the videos that ``path`` does not hold yet, a partition for each; what an interrupted run finished stays."""
     try:

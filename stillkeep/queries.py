@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,8 @@ from stillkeep.functions import pixels, pixels_arrow
 from stillkeep.functions.expr import clamp01, linear_score, preview_dims, valid_preview, weighted_average
 from stillkeep.operators import composite, dedup, faces, reports, sampling, scenes, selection
 from stillkeep.plans.scoring import Providers, score_videos
-from stillkeep.plans.select_best import resume, select_best, select_candidates, with_known
+from stillkeep.plans.batches import finished, results, run_in_chunks
+from stillkeep.plans.select_best import resume, select_best, select_candidates, select_from_previews, with_known
 from stillkeep.settings import (
     CompositeSettings,
     DedupSettings,
@@ -447,6 +449,38 @@ def j4(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("video_id", "better", "worse", r6("similarity"), r6("time_delta_seconds"))
 
 
+WORDS_SQL = f"""wd AS (SELECT label AS video_id, vec_id AS frame_index, vec_id * 0.1::DOUBLE AS t,
+  flatten(list_transform({list(fx.LEVELS)!r}::DOUBLE[], lambda l: list_transform(embedding, lambda x: x::DOUBLE - l > 0))) AS bits,
+  (SELECT sum(CASE WHEN x > 0 THEN 1 ELSE 0 END) FROM (SELECT unnest(embedding) AS x)) / 64.0::DOUBLE AS final_score FROM embeddings)"""
+
+
+def alike_words_sql(a: str, b: str) -> str:
+    return f"(1 - len(list_filter(list_zip({a}.bits, {b}.bits), lambda z: z[1] <> z[2])) / 256.0::DOUBLE)"
+
+
+@query(
+    "ph2_similarity_256",
+    f"WITH {WORDS_SQL} SELECT a.frame_index AS a, b.frame_index AS b, round({alike_words_sql('a', 'b')}, 6) AS similarity FROM wd a JOIN wd b ON b.frame_index = a.frame_index + 1",
+)
+def ph2_words(spark: SparkSession, d: str) -> DataFrame:
+    """Hashes of 16 times 16 bits, in words as scoring gives them."""
+    s = fx.sign_words(spark, d)
+    left, right = s.select(F.col("frame_index").alias("a"), F.col("hash").alias("ha")), s.select(F.col("frame_index").alias("b"), F.col("hash").alias("hb"))
+    return left.join(right, F.col("b") == F.col("a") + 1).select("a", "b", r6("similarity", dedup.hamming(256).of(F.col("ha"), F.col("hb"))))
+
+
+@query(
+    "j4_duplicate_pairs_256",
+    f"""WITH {WORDS_SQL}, rk AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY final_score DESC, frame_index) AS rank FROM wd)
+SELECT a.video_id, a.frame_index AS better, b.frame_index AS worse, round({alike_words_sql('a', 'b')}, 6) AS similarity
+FROM rk a JOIN rk b ON a.video_id = b.video_id AND a.rank < b.rank AND abs(a.t - b.t) <= 40.0::DOUBLE AND {alike_words_sql('a', 'b')} >= 0.86::DOUBLE""",
+)
+def j4_words(spark: SparkSession, d: str) -> DataFrame:
+    """In a window that holds many frames: pairs are made where a band of bits is equal."""
+    rows = dedup.ranked(fx.sign_words(spark, d))
+    return dedup.duplicate_pairs(rows, dedup.hamming(256), 40.0, 0.86, dense=8).select("video_id", "better", "worse", r6("similarity"))
+
+
 @query("j5_known_scenes", f"WITH {SLICE_SQL} SELECT video_id, frame_index, scene_id FROM sl WHERE scene_id <> 2")
 def j5(spark: SparkSession, d: str) -> DataFrame:
     c = sliced(spark, d)
@@ -521,11 +555,12 @@ def _matrix_sql() -> str:
     return "[" + ", ".join(f"{v!r}::DOUBLE" for row in pixels.cosine_matrix(8) for v in row) + "]"
 
 
-PHASH_SQL = f"""{PIXELS_SQL}, mt AS (SELECT {_matrix_sql()} AS m),
+PHASH_STEPS = f"""mt AS (SELECT {_matrix_sql()} AS m),
 rw AS (SELECT frame_index, m, list_transform(range(64), lambda i: list_sum(list_transform(range(8), lambda x: luma[(i // 8) * 8 + x + 1] * m[(i % 8) * 8 + x + 1]))) AS r FROM px, mt),
 cf AS (SELECT frame_index, list_transform(range(64), lambda i: list_sum(list_transform(range(8), lambda y: r[y * 8 + i % 8 + 1] * m[(i // 8) * 8 + y + 1]))) AS c FROM rw),
 md AS (SELECT frame_index, c, list_sort(c[2:])[32] AS med FROM cf),
 ph AS (SELECT frame_index, list_transform(c, lambda v: CASE WHEN v > med THEN 1 ELSE 0 END) AS bits FROM md)"""
+PHASH_SQL = f"{PIXELS_SQL}, {PHASH_STEPS}"
 PHASH_OUT = "SELECT frame_index, CAST(list_sum(list_transform(range(63), lambda i: CASE WHEN bits[i + 1] = 1 THEN (1::BIGINT << i) ELSE 0 END)) - bits[64] * 9223372036854775808::HUGEINT AS BIGINT) AS hash FROM ph"
 
 
@@ -789,6 +824,35 @@ def se5_all(spark: SparkSession, d: str) -> DataFrame:
     return out.select("video_id", "frame_index", "scene_id", "reason", "selection_rank")
 
 
+def word_sql(bits: str, at: int) -> str:
+    return f"CAST(list_sum(list_transform(range(32), lambda i: CASE WHEN {bits}[i + {at + 1}] = 1 THEN (1::BIGINT << i) ELSE 0 END)) AS BIGINT)"
+
+
+PREVIEW_SQL = f"""WITH RECURSIVE {GRID_SQL}, {TECHNICAL_SQL}, {PHASH_STEPS},
+cand AS (SELECT s.* EXCLUDE (final_score), t.global_score AS technical, t.global_score * 0.4::DOUBLE + 0.5::DOUBLE * 0.35::DOUBLE + 0.5::DOUBLE * 0.25::DOUBLE AS final_score,
+  {word_sql('p.bits', 0)} AS lo, {word_sql('p.bits', 32)} AS hi
+  FROM sm s JOIN tech t ON t.frame_index = s.{fx.VECTOR_SQL} JOIN ph p ON p.frame_index = t.frame_index),
+{dedup_sql('cand', DEDUP.window_seconds, 0.7)},
+base AS (SELECT *, retained IS NOT NULL AS is_duplicate, true AS is_known FROM dd), {decide_sql('base')}"""
+
+
+def from_previews(spark: SparkSession, d: str) -> DataFrame:
+    frames = fx.event_frames(spark, d).select("video_id", "frame_index", "t", "content_cents", "event_id")
+    own = Providers(frames=lambda wanted: fx.event_previews(spark, d, wanted))
+    dedup_settings = DedupSettings(0.7, DEDUP.window_seconds)
+    return select_from_previews(frames, "content_cents", own, SCENE, SamplingSettings(FPS), TECHNICAL, FACE, COMPOSITE, dedup_settings, SELECT, reduce_factor=1)
+
+
+@query(
+    "se5_from_previews",
+    f"{PREVIEW_SQL} SELECT video_id, frame_index, scene_id, reason, CASE WHEN reason IS NULL THEN place END AS selection_rank, round(technical, 6) AS technical, round(final_score, 6) AS final_score, retained AS retained_frame_index FROM de",
+)
+def se5_previews(spark: SparkSession, d: str) -> DataFrame:
+    """From frames without scores to selection; pixels are made, scored and hashed for sampled frames only."""
+    out = from_previews(spark, d)
+    return out.select("video_id", "frame_index", "scene_id", "reason", "selection_rank", r6("technical"), r6("final_score"), "retained_frame_index")
+
+
 @query("set1_completeness", f"WITH {DECIDED_SQL} SELECT video_id, count(*) AS n_candidates, count(*) FILTER (reason IS NULL) AS n_selected, count(*) FILTER (reason IS NOT NULL) AS n_rejected, CAST(0 AS BIGINT) AS n_missing FROM de GROUP BY 1")
 def set1(spark: SparkSession, d: str) -> DataFrame:
     """Selected and rejected are disjoint and together all candidates; one in neither would be counted as missing."""
@@ -947,6 +1011,28 @@ def bt2(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("video_id", "run").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("bt2_chunks", f"WITH {EVENTS_SQL} SELECT video_id, count(*) AS n, CAST(1 AS BIGINT) AS times FROM ev GROUP BY ALL")
+def bt2_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """A run that breaks in the middle, and a second one that does the rest: each video is there once."""
+    path, rows = shared_path(spark, "chunks"), events(spark, d).select("video_id", "frame_index")
+    videos = stored(rows.select("video_id").distinct(), "videos")
+    per_chunk = max(1, videos.count() // 3)
+    ran = iter(range(1, 100))
+
+    def work(own: DataFrame, last: int | None = None) -> DataFrame:
+        made = rows.join(own, "video_id", "left_semi").withColumn("run", F.expr("uuid()"))
+        return made.withColumn("run", F.raise_error(F.lit("stopped"))) if last and next(ran) > last else made
+
+    try:
+        run_in_chunks(videos, lambda own: work(own, 1), path, per_chunk)
+    except PySparkException as stopped:
+        if "stopped" not in str(stopped):
+            raise
+    run_in_chunks(videos, work, path, per_chunk)
+    done = finished(spark, path).groupBy("video_id").agg(F.count(F.lit(1)).alias("times"))
+    return results(spark, path).groupBy("video_id").agg(F.count(F.lit(1)).alias("n")).join(done, "video_id")
+
+
 @query("ud1_scorers", f"WITH {TECHNICAL_SQL} SELECT frame_index, round(contrast, 6) AS contrast, round(list_sum(luma) / 16320.0::DOUBLE, 6) AS light FROM tech JOIN px USING (frame_index)")
 def ud1(spark: SparkSession, d: str) -> DataFrame:
     """Two user scorers on the extension point, one by columns and one by Arrow."""
