@@ -63,3 +63,21 @@ def neutral_provider(score: float = 0.5, status: str = "model not available") ->
         F.lit(None).cast("double").alias("inference_ms"),
         F.lit(status).alias("status"),
     )
+
+
+def score_object(neutral_score: float = 0.5) -> Column:
+    """The full scores of a frame of ``score_videos`` as one object: technical, face, aesthetic, composition, profile and reasons."""
+
+    def optional(name: str, *more: Column) -> Column:
+        return F.struct(F.coalesce(name, F.lit(neutral_score)).alias("global_score"), F.col(name).isNull().alias("is_neutral"), *more)
+
+    none = F.lit(None)
+    model = (none.cast("string").alias("model_name"), none.cast("double").alias("inference_ms"), F.coalesce("aesthetic_status", F.lit("model not available")).alias("status"))
+    return F.struct(
+        F.col("technical_scores").alias("technical"),
+        F.col("face_scores").alias("face"),
+        optional("aesthetic", *model).alias("aesthetic"),
+        optional("composition").alias("composition"),
+        "profile",
+        "reasons",
+    )

@@ -66,9 +66,16 @@ def measures(settings: FaceSettings) -> dict[str, Column]:
     }
 
 
-def group_face_score(faces: DataFrame, settings: FaceSettings, keys: tuple[str, ...] = ("frame_index",)) -> DataFrame:
-    """Per frame the worst of each measure over its faces (nulls skipped) and their weighted mean, n_faces too."""
-    worst = faces.groupBy(*keys).agg(*(F.min(e).alias(n) for n, e in measures(settings).items()), F.count(F.lit(1)).alias("n_faces"))
+ANALYSIS = ("detection_confidence", "relative_size", "yaw_degrees", "eyes_open", "positive_expression", "sharpness_variance", "is_cut_off")
+
+
+def group_face_score(faces: DataFrame, settings: FaceSettings, keys: tuple[str, ...] = ("frame_index",), analyses: bool = False) -> DataFrame:
+    """Per frame the worst of each measure over its faces (nulls skipped) and their weighted mean, n_faces too.
+
+    analyses: also the faces themselves, an array as long as a frame has faces.
+    """
+    more = [F.sort_array(F.collect_list(F.struct(*ANALYSIS))).alias("analyses")] if analyses else []
+    worst = faces.groupBy(*keys).agg(*(F.min(e).alias(n) for n, e in measures(settings).items()), F.count(F.lit(1)).alias("n_faces"), *more)
     return worst.withColumn("global_score", weighted_average([(F.col(n), settings.weights[n]) for n in MEASURES]))
 
 

@@ -256,9 +256,11 @@ def snk1(spark: SparkSession, d: str) -> DataFrame:
     """The manifest's rows, read back out of the JSON."""
     k, c = F.col("frame_index"), sliced(spark, d)
     sizes = {"source_width": 1920 + k % 3, "source_height": F.lit(1080), "preview_width": F.lit(960), "preview_height": 540 - k % 5}
-    made = sinks.candidate_manifest(c.withColumns({n: v.cast("int") for n, v in sizes.items()}))
+    path = shared_path(spark, "candidate-manifests")
+    sinks.write_manifests(sinks.candidate_items(c.withColumns({n: v.cast("int") for n, v in sizes.items()})), path, "candidates")
     shape = "file:string,scene_id:int,timestamp:double,frame_index:bigint," + ",".join(f"{n}:int" for n in sizes)
-    rows = made.select(F.from_json("manifest", f"source_video bigint, candidates array<struct<{shape}>>").alias("m")).select("m.source_video", F.explode("m.candidates").alias("c"))
+    rows = sinks.read_manifests(spark, path).select(F.from_json("value", f"source_video bigint, candidates array<struct<{shape}>>").alias("m"))
+    rows = rows.select("m.source_video", F.explode("m.candidates").alias("c"))
     return rows.select(
         F.col("source_video").alias("video_id"), "c.frame_index", "c.scene_id", "c.file", F.round("c.timestamp", 6).alias("t"), *(f"c.{n}" for n in sizes)
     )
@@ -270,10 +272,11 @@ FINAL_SQL = f"WITH {DECIDED_SQL} SELECT video_id, frame_index, scene_id, place A
 @query("snk2_selection_manifest", f"{FINAL_SQL}, round(final_score, 6) AS final_score, video_id AS source_video, round(final_score / 2, 6) AS technical, 'people' AS profile FROM de WHERE reason IS NULL")
 def snk2(spark: SparkSession, d: str) -> DataFrame:
     scores = F.struct((F.col("final_score") / 2).alias("technical"), F.lit("people").alias("profile"))
-    made = sinks.selection_manifest(selection.selected(decided_slice(spark, d)), EXPORT, scores)
+    path = shared_path(spark, "selection-manifests")
+    sinks.write_manifests(sinks.selection_items(selection.selected(decided_slice(spark, d)), EXPORT, scores), path, "images")
     image = "file:string,source_video:bigint,timestamp:double,frame:bigint,score_final:double,scores:struct<technical:double,profile:string>,scene_source:int"
     schema = f"source_video bigint, images array<struct<{image}>>"
-    rows = made.select(F.from_json("manifest", schema).alias("m")).select("m.source_video", F.posexplode("m.images").alias("k", "i"))
+    rows = sinks.read_manifests(spark, path).select(F.from_json("value", schema).alias("m")).select("m.source_video", F.posexplode("m.images").alias("k", "i"))
     return rows.select(
         F.col("source_video").alias("video_id"), F.col("i.frame").alias("frame_index"), F.col("i.scene_source").alias("scene_id"), (F.col("k") + 1).alias("selection_rank"),
         "i.file", F.round("i.timestamp", 6).alias("t"), F.round("i.score_final", 6).alias("final_score"), "i.source_video", F.round("i.scores.technical", 6).alias("technical"), "i.scores.profile",
@@ -853,6 +856,36 @@ def se5_previews(spark: SparkSession, d: str) -> DataFrame:
     return out.select("video_id", "frame_index", "scene_id", "reason", "selection_rank", r6("technical"), r6("final_score"), "retained_frame_index")
 
 
+SCORES_SHAPE = (
+    f"technical:struct<{','.join(f'{m}:double' for m in pixels_arrow.MEASURES)}>,face:struct<global_score:double>,"
+    "aesthetic:struct<global_score:double,is_neutral:boolean,model_name:string,inference_ms:double,status:string>,composition:struct<global_score:double,is_neutral:boolean>,"
+    "profile:string,reasons:array<struct<criterion:string,score:double,weight:double,contribution:double,detail:string>>"
+)
+
+
+@query(
+    "snk2_scores_from_previews",
+    f"""{PREVIEW_SQL} SELECT d.video_id, d.frame_index, printf('%s_%04d.jpg', CAST(d.video_id AS VARCHAR), place) AS file, {', '.join(f'round(t.{m}, 6) AS {m}' for m in pixels_arrow.MEASURES)},
+  true AS no_face, 0.5::DOUBLE AS aesthetic, true AS aesthetic_neutral, 'model not available' AS status, 0.5::DOUBLE AS composition, 'no_people' AS profile,
+  CAST(3 AS BIGINT) AS n_reasons, 'technical' AS first_reason, round(t.global_score * 0.4, 6) AS first_contribution, 'computed score' AS first_detail
+FROM de d JOIN tech t ON t.frame_index = d.{fx.VECTOR_SQL} WHERE reason IS NULL""",
+)
+def snk2_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every field of the score object, read back out of the manifests of a selection from previews."""
+    path = shared_path(spark, "selection-scores")
+    chosen = selection.selected(from_previews(spark, d))
+    sinks.write_manifests(sinks.selection_items(chosen, EXPORT, composite.score_object()), path, "images")
+    schema = f"source_video bigint, images array<struct<file:string,frame:bigint,scores:struct<{SCORES_SHAPE}>>>"
+    rows = sinks.read_manifests(spark, path).select(F.from_json("value", schema).alias("m")).select("m.source_video", F.explode("m.images").alias("i"))
+    s, first = F.col("i.scores"), F.get(F.col("i.scores.reasons"), F.lit(0))
+    return rows.select(
+        F.col("source_video").alias("video_id"), F.col("i.frame").alias("frame_index"), "i.file", *(r6(m, s["technical"][m]) for m in pixels_arrow.MEASURES),
+        s["face"].isNull().alias("no_face"), s["aesthetic"]["global_score"].alias("aesthetic"), s["aesthetic"]["is_neutral"].alias("aesthetic_neutral"), s["aesthetic"]["status"].alias("status"),
+        s["composition"]["global_score"].alias("composition"), s["profile"].alias("profile"), F.size(s["reasons"]).cast("bigint").alias("n_reasons"),
+        first["criterion"].alias("first_reason"), r6("first_contribution", first["contribution"]), first["detail"].alias("first_detail"),
+    )
+
+
 @query("set1_completeness", f"WITH {DECIDED_SQL} SELECT video_id, count(*) AS n_candidates, count(*) FILTER (reason IS NULL) AS n_selected, count(*) FILTER (reason IS NOT NULL) AS n_rejected, CAST(0 AS BIGINT) AS n_missing FROM de GROUP BY 1")
 def set1(spark: SparkSession, d: str) -> DataFrame:
     """Selected and rejected are disjoint and together all candidates; one in neither would be counted as missing."""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stillkeep.settings import ExportSettings
 
+_NULLS = {"ignoreNullFields": "false"}  # an unknown value is written as null
+
 
 def candidate_file(scene_id: Column, frame_index: Column) -> Column:
     return F.format_string("scene_%03d_frame_%08d.jpg", scene_id, frame_index)
@@ -16,26 +18,25 @@ def candidate_rows(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("file", candidate_file(F.col("scene_id"), F.col("frame_index")))
 
 
-def candidate_manifest(candidates: DataFrame) -> DataFrame:
-    """(video_id, manifest JSON), the candidates in frame order."""
+def candidate_items(candidates: DataFrame) -> DataFrame:
+    """video_id, position (the frame) and item, the JSON of each candidate, for ``write_manifests``."""
     fields = ("file", "scene_id", F.col("t").alias("timestamp"), "frame_index", "source_width", "source_height", "preview_width", "preview_height")
-    one = F.struct("frame_index", F.struct(*fields).alias("c"))
-    lists = candidate_rows(candidates).groupBy("video_id").agg(F.array_sort(F.collect_list(one)).alias("l"))
-    manifest = F.struct(F.col("video_id").alias("source_video"), F.transform("l", lambda x: x["c"]).alias("candidates"))
-    return lists.select("video_id", F.to_json(manifest).alias("manifest"))
+    return candidate_rows(candidates).select("video_id", F.col("frame_index").alias("position"), F.to_json(F.struct(*fields), _NULLS).alias("item"))
+
+
+def _image_file(settings: ExportSettings) -> Column:
+    return F.format_string("%s_%04d.%s", F.col("video_id").cast("string"), F.col("selection_rank").cast("int"), F.lit(settings.extension))
 
 
 def export_plan(selected: DataFrame, settings: ExportSettings) -> DataFrame:
     """The native frames wanted: video_id, selection_rank, t, file, format, quality. The settings are checked when made."""
-    name = F.format_string("%s_%04d.%s", F.col("video_id").cast("string"), F.col("selection_rank").cast("int"), F.lit(settings.extension))
-    return selected.select("video_id", "selection_rank", "frame_index", "t", name.alias("file"), F.lit(settings.extension).alias("format"), F.lit(settings.jpeg_quality).alias("quality"))
+    return selected.select("video_id", "selection_rank", "frame_index", "t", _image_file(settings).alias("file"), F.lit(settings.extension).alias("format"), F.lit(settings.jpeg_quality).alias("quality"))
 
 
-def selection_manifest(selected: DataFrame, settings: ExportSettings, scores: Column | None = None) -> DataFrame:
-    """(video_id, manifest JSON), the images in selection order."""
-    plan = export_plan(selected, settings).select("video_id", "frame_index", "file")
+def selection_items(selected: DataFrame, settings: ExportSettings, scores: Column | None = None) -> DataFrame:
+    """video_id, position (the rank) and item, the JSON of each selected image, for ``write_manifests``. scores: see ``composite.score_object``."""
     image = F.struct(
-        "file",
+        _image_file(settings).alias("file"),
         F.col("video_id").alias("source_video"),
         F.col("t").alias("timestamp"),
         F.col("frame_index").alias("frame"),
@@ -43,10 +44,33 @@ def selection_manifest(selected: DataFrame, settings: ExportSettings, scores: Co
         (scores if scores is not None else F.lit(None).cast("string")).alias("scores"),
         F.col("scene_id").alias("scene_source"),
     )
-    rows = selected.join(plan, ["video_id", "frame_index"])
-    lists = rows.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("selection_rank", image.alias("i")))).alias("l"))
-    manifest = F.struct(F.col("video_id").alias("source_video"), F.transform("l", lambda x: x["i"]).alias("images"))
-    return lists.select("video_id", F.to_json(manifest).alias("manifest"))
+    return selected.select("video_id", F.col("selection_rank").alias("position"), F.to_json(image, _NULLS).alias("item"))
+
+
+def write_manifests(items: DataFrame, path: str, name: str, videos: DataFrame | None = None) -> None:
+    """One JSON file for each video, ``{"source_video": ..., name: [the items by position]}``, in the folder of the video.
+
+    A task writes its videos' items line by line in order and holds none of them, however many a video has. The job's commit publishes all
+    files at once; a job that fails leaves none, and a video that is written again replaces its own file only. Videos of ``videos``
+    (video_id) without items get an empty list, null ids are left out.
+    """
+    rows = items.select("video_id", "position", "item")
+    if videos is not None:
+        rows = rows.unionByName(videos.select("video_id").distinct().join(rows.select("video_id"), "video_id", "left_anti"), allowMissingColumns=True)
+    source = F.expr("substring(to_json(array(video_id)), 2, length(to_json(array(video_id))) - 2)")
+    # a text that is never null, so that the sorted rows are written as they come
+    rows = rows.where("video_id IS NOT NULL").select("*", source.alias("source"), F.coalesce(F.col("video_id").cast("string"), F.lit("")).alias("key"))
+    order = Window.partitionBy("key").orderBy("position")
+    first, last = F.lag("key").over(order).isNull(), F.lead("key").over(order).isNull()
+    head = F.concat(F.lit('{"source_video": '), "source", F.lit(f', "{name}": [\n'))
+    line = F.concat(F.when(first, head).otherwise(""), F.coalesce("item", F.lit("")), F.when(last, "\n]}").otherwise(","))
+    lines = rows.select(F.col("key").alias("video_id"), line.alias("value"))
+    lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").text(path)
+
+
+def read_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """(value, video_id): each video's manifest as one text."""
+    return spark.read.text(path, wholetext=True)
 
 
 def store_previews(previews: DataFrame, path: str) -> None:

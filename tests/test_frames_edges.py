@@ -81,14 +81,23 @@ def test_positions_over_many_ranges(spark):
     assert {r["name"]: r["position"] for r in catalog.catalog(files).collect()} == {n: k + 1 for k, n in enumerate(sorted(names))}
 
 
-def test_manifests(spark):
-    rows = [(5, 2, 1, 0.5, 0.9, 2, 1920, 1080, 960, 540), (5, 1, 1, 0.25, 0.8, 1, 1920, 1080, 960, 540)]
-    df = spark.createDataFrame(rows, "video_id int, frame_index long, scene_id int, t double, final_score double, selection_rank int, source_width int, source_height int, preview_width int, preview_height int")
-    made = json.loads(sinks.candidate_manifest(df).first()["manifest"])
-    assert made["source_video"] == 5 and [c["frame_index"] for c in made["candidates"]] == [1, 2]
-    assert made["candidates"][0]["file"] == "scene_001_frame_00000001.jpg" and made["candidates"][0]["preview_height"] == 540
-    best = json.loads(sinks.selection_manifest(df, ExportSettings("png", 5), F.struct(F.col("final_score").alias("technical"))).first()["manifest"])
-    assert [(i["frame"], i["file"], i["scores"]["technical"]) for i in best["images"]] == [(1, "5_0001.png", 0.8), (2, "5_0002.png", 0.9)]
+def test_manifests(spark, tmp_path):
+    rows = [(v, f, 1 + f % 2, f / 4, 0.9 - f / 10_000, 3000 - f, 1920, 1080, 960, 540) for v in ("a", 'b "c"', "d=e") for f in range(2 if v != "a" else 2500)]
+    df = spark.createDataFrame(rows, "video_id string, frame_index long, scene_id int, t double, final_score double, selection_rank int, source_width int, source_height int, preview_width int, preview_height int")
+    df = df.withColumn("source_height", F.when(F.col("frame_index") != 1, F.col("source_height"))).repartition(7)
+    path, videos = str(tmp_path / "c"), spark.createDataFrame([("a",), ("empty",), ("empty",), (None,)], "video_id string")
+    sinks.write_manifests(sinks.candidate_items(df), path, "candidates", videos)
+    made = {m["source_video"]: m["candidates"] for m in (json.loads(r["value"]) for r in sinks.read_manifests(spark, path).collect())}
+    assert {v: [c["frame_index"] for c in m] for v, m in made.items()} == {"a": list(range(2500)), 'b "c"': [0, 1], "d=e": [0, 1], "empty": []}
+    assert made["a"][1]["file"] == "scene_002_frame_00000001.jpg" and made["a"][1]["source_height"] is None and made["a"][0]["preview_height"] == 540
+    path = str(tmp_path / "s")
+    items = sinks.selection_items(df, ExportSettings("png", 5), F.struct(F.col("final_score").alias("technical")))
+    sinks.write_manifests(items, path, "images")
+    sinks.write_manifests(items.where("video_id = 'a' AND position > 2990"), path, "images")  # replaces that video only
+    best = {m["source_video"]: m["images"] for m in (json.loads(r["value"]) for r in sinks.read_manifests(spark, path).collect())}
+    assert [(i["frame"], i["file"]) for i in best["a"]] == [(f, f"a_{3000 - f:04d}.png") for f in range(9, -1, -1)]
+    assert [(i["frame"], i["scores"]["technical"]) for i in best['b "c"']] == [(1, 0.9 - 1 / 10_000), (0, 0.9)]
+    sinks.write_manifests(items.where("false"), str(tmp_path / "none"), "images")
     assert {r["format"] for r in sinks.export_plan(df, ExportSettings("png")).collect()} == {"png"}
 
 
