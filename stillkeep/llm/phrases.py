@@ -5,14 +5,20 @@ at least, in proportion to the shard's share of all bytes or more often (else th
 completely at that lowered support, level by level, and sends what is frequent there; the union, as a filter of bounded size, goes back
 to the shards, and what passes is counted in all of them and summed exactly. The filter may let
 more pass, which the sums then drop; it never holds a candidate back.
+
+The more shards, the lower the local support, until every phrase is frequent in its shard. So words and pairs, of which everything
+longer is made, are summed before: shards send them as sorted compressed hashes with counts to owners of hash ranges, and
+shards are mined for phrases of frequent words and pairs alone, which keeps the union small at any number of shards.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -21,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stillkeep.llm.common import lowered, mixed, stored, table, text_slices, word_ids
+from stillkeep.llm.lm_scoring import packed, packed_keys, unpacked, unpacked_keys
 
 _PIECE_END = np.zeros(256, dtype=bool)
 _PIECE_END[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -152,26 +159,74 @@ def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Shard]:
         yield shard()
 
 
-def _mined(total: int, support: int, longest: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The hashes of the phrases that are locally frequent: count * total >= support * bytes of the shard."""
+def _sender(owners: int, longest: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each shard's words and pairs: sorted hashes and counts, packed for the owner of each hash range."""
+    cuts = np.array([(k << 64) // owners for k in range(1, owners)], dtype=np.uint64)
 
-    def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches, most):
-            least = -(-support * shard.bytes // max(1, total))
-            for _, _, _, hashes in shard.levels(longest, lambda _, n, least=least: n >= least):
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], ["hash"])
+            found = [(hashes, n) for _, _, n, hashes in shard.levels(min(2, longest), lambda _, n: np.ones(len(n), dtype=bool))]
+            hashes, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            by = np.argsort(hashes)
+            hashes, n = hashes[by], n[by]
+            at = np.searchsorted(hashes, cuts)
+            own = [(k, packed_keys(h), packed(c, 4)) for k, (h, c) in enumerate(zip(np.split(hashes, at), np.split(n, at), strict=True)) if len(h)]
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*own, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["owner", "keys", "counts"])
 
-    return mine
+    return send
 
 
-def _counted(bits: np.ndarray, longest: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The counts in each shard of the phrases that pass the filter; of length 0, all words of a language."""
+def _summed(support: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """An owner: the hashes that reach the support. Two phrases of one hash are summed together, which may let more pass, never less."""
+
+    def add(own: pd.DataFrame) -> pd.DataFrame:
+        keys = np.concatenate([unpacked_keys(x) for x in own["keys"]])
+        n = np.concatenate([unpacked(x, 4) for x in own["counts"]]).astype(np.int64)
+        by = np.argsort(keys)
+        keys, n = keys[by], n[by]
+        heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        return pd.DataFrame({"hash": keys[heads][np.add.reduceat(n, heads) >= support].view(np.int64)})
+
+    return add
+
+
+Kept = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _passes(bits: np.ndarray) -> Kept:
     mask = np.uint64(len(bits) * 8 - 1)
 
     def passes(hashes: np.ndarray, _: np.ndarray) -> np.ndarray:
         at = hashes & mask
         return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
+    return passes
+
+
+def _mined(bits: np.ndarray, total: int, support: int, longest: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The hashes of the phrases of three words and more that are locally frequent: count * total >= support * bytes of the shard."""
+    passes = _passes(bits)
+
+    def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in _shards(batches, most):
+            least = -(-support * shard.bytes // max(1, total))
+            level = iter(range(1, longest + 1))
+
+            def kept(hashes: np.ndarray, n: np.ndarray, level: Iterator[int] = level, least: int = least) -> np.ndarray:
+                return passes(hashes, n) if next(level) <= 2 else n >= least
+
+            for size, _, _, hashes in shard.levels(longest, kept):
+                if size > 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], ["hash"])
+
+    return mine
+
+
+def _counted(bits: np.ndarray, longest: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The counts in each shard of the phrases that pass the filter; of length 0, all words of a language."""
+    passes = _passes(bits)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["lang", "size", "phrase", "n"]
         for shard in _shards(batches, most):
@@ -187,7 +242,7 @@ def _counted(bits: np.ndarray, longest: int, most: int) -> Callable[[Iterator[pa
 
 def _filter_bits(hashes: DataFrame, max_bits: int) -> np.ndarray:
     """A one-hash filter of 16 to 32 bits a key, at most ``max_bits``, as bytes: it is small whatever the number of keys."""
-    keys = stored(hashes.distinct(), "candidates")
+    keys = hashes.distinct()
     bits, wanted = _BITMAP, 16 * keys.count()
     while bits < min(max_bits, wanted):
         bits *= 2
@@ -210,8 +265,10 @@ def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = 5, shar
     """
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    local = rows.mapInArrow(_mined(total, support, longest, shard_chars), "hash long")
-    bits = _filter_bits(local, max_bits)
+    sent = rows.mapInArrow(_sender(max(1, math.ceil(total / shard_chars)), longest, shard_chars), "owner int, keys binary, counts binary")
+    short = stored(sent.groupBy("owner").applyInPandas(_summed(support), "hash long"), "frequent-pairs")
+    local = stored(rows.mapInArrow(_mined(_filter_bits(short, max_bits), total, support, longest, shard_chars), "hash long"), "locally-frequent")
+    bits = _filter_bits(short.unionByName(local), max_bits)
     counts = rows.mapInArrow(_counted(bits, longest, shard_chars), "lang string, size int, phrase string, n long")
     return counts.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where((F.col("size") == 0) | (F.col("n") >= support))
 
