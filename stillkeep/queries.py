@@ -988,14 +988,14 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
 @query("st1_stream_sampler", f"WITH RECURSIVE {SCENES_SQL} SELECT DISTINCT video_id, scene_id, CAST(floor((t - scene_start) * {FPS!r}::DOUBLE) AS BIGINT) AS cell FROM ins")
 def st1(spark: SparkSession, d: str) -> DataFrame:
     sc = stored(found_scenes(spark, d), "scenes")
-    return streams.run_available(spark, streams.sampled_keys(event_stream(spark, d), sc, FPS), "sampled")
+    return streams.run_available(spark, streams.sampled_keys(event_stream(spark, d), sc, FPS, bucket=DAY), "sampled")
 
 
 @query("st1_stream_frames", f"WITH RECURSIVE {GRID_SQL} SELECT video_id, scene_id, event_id, round(t, 6) AS t FROM sm")
 def st1_frames(spark: SparkSession, d: str) -> DataFrame:
     """The sampled frames themselves, on the exact grid; an event is a frame."""
     sc = stored(found_scenes(spark, d), "scenes")
-    taken = streams.sampled_frames(event_stream(spark, d).withColumnRenamed("event_id", "frame_index"), sc, FPS)
+    taken = streams.sampled_frames(event_stream(spark, d).withColumnRenamed("event_id", "frame_index"), sc, FPS, bucket=DAY)
     return streams.run_available(spark, taken, "sampled-frames").select("video_id", "scene_id", F.col("frame_index").alias("event_id"), r6("t"))
 
 

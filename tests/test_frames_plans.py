@@ -16,6 +16,7 @@ from stillkeep.plans.select_best import select_from_previews
 from stillkeep.settings import CompositeSettings, DedupSettings, FaceSettings, SamplingSettings, SceneSettings, SelectionSettings, TechnicalSettings
 from stillkeep.sources.previews import fetch_previews, write_previews
 from stillkeep.storage import stored
+from stillkeep.streaming import frames as streams
 
 
 def plain_dedup(rows, similarity, window, threshold):
@@ -186,3 +187,43 @@ def test_an_interrupted_run_keeps_its_finished_videos(spark, tmp_path):
     assert sorted(map(tuple, results(spark, path).collect())) == sorted(map(tuple, frames.collect()))
     assert {r["video_id"] for r in finished(spark, path).collect()} == {*range(20), 99}
     assert run_in_chunks(videos, work, path, per_chunk=5) == 0
+
+
+def test_grid_points_are_those_of_repeated_addition():
+    rng = random.Random(7)
+    for _ in range(300):
+        interval, point = rng.choice([1 / 3, 0.1, 1 / 24, 1.0, 2.5]), round(rng.uniform(0, 50), 2)
+        t = point + rng.choice([-1, 0, 0.05, 1, 17.3, 900, interval, 3 * interval])
+        slow = point
+        while slow <= t:
+            slow += interval
+        assert streams.next_point(point, t, interval) == slow
+    assert streams.next_point(0.0, 365 * 86_400.0, 1 / 3) > 365 * 86_400.0  # a camera that comes back after a year
+
+
+def test_stream_of_many_scenes_with_late_frames(spark, tmp_path):
+    """A scene for every half second of a video; frames come in two batches, some of them after a later frame of their cell."""
+    sc = spark.createDataFrame([(v, k, k / 2, (k + 1) / 2) for v in range(3) for k in range(200)], "video_id int, scene_id int, start_time double, end_time double")
+    order = [k for k in range(900) if k % 7] + [k for k in range(900) if k % 7 == 0]  # every seventh frame is late
+    rows = [(v, k, k / 10) for v in range(3) for k in order]
+    late = {k for k in range(900) if k % 7 == 0}
+    for name, own in (("a", [r for r in rows if r[1] not in late]), ("b", [r for r in rows if r[1] in late])):
+        part = spark.createDataFrame(own, "video_id int, frame_index long, t double").withColumn("ts", F.timestamp_seconds(F.col("t") + 1_700_000_000))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    schema = spark.read.parquet(str(tmp_path / "a")).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "*"))
+    got = {(r["video_id"], r["scene_id"], r["frame_index"]) for r in streams.run_available(spark, streams.sampled_frames(stream, sc, 5.0, bucket=4.0), "late").collect()}
+    want, point = set(), {}
+    for batch in (sorted(r for r in rows if r[1] not in late), sorted(r for r in rows if r[1] in late)):
+        for v, k, t in batch:
+            scene = int(t * 2)
+            at = point.get((v, scene), scene / 2)
+            if t >= at:
+                want.add((v, scene, k))
+                while at <= t:
+                    at += 0.2
+                point[v, scene] = at
+    assert got == want and len({s for _, s, _ in got}) == 180
+    plan = streams.in_scenes(spark.read.parquet(str(tmp_path / "*")), sc, 4.0)._jdf.queryExecution().sparkPlan().toString()
+    join = next(line for line in plan.split("\n") if "Join" in line)
+    assert join.count("_b#") >= 2 and join.count("video_id#") >= 2 and "NestedLoop" not in plan  # by video and bucket, not by time alone
