@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+RANGE = 86_400.0  # seconds of a video that one task passes over at least
+
 
-def assign_scene(frames: DataFrame, scenes: DataFrame) -> DataFrame:
-    """Frames with the scene_id and start of the first scene by start with start <= t < end; other frames drop.
+def assign_scene(frames: DataFrame, scenes: DataFrame, width: float = RANGE) -> DataFrame:
+    """Frames with the scene_id, start and end of the first scene by start with start <= t < end; other frames drop.
 
-    Where scenes overlap the earliest start wins. One ordered pass for each video over frames and scene starts, the last start
-    running, so no frame meets more than one scene; frames should be slim. A null time drops.
+    Where scenes overlap the earliest start wins. One ordered pass over the frames and scene starts of each ``width`` seconds of a video, the
+    last start running, so no frame meets more than one scene; frames should be slim. A scene that goes on into a range stands at
+    the range's begin, so ranges need nothing from each other and one long video spreads over all tasks. A null time drops.
     """
     earlier = Window.partitionBy("video_id").orderBy("start_time", "scene_id").rowsBetween(Window.unboundedPreceding, -1)
     own = F.struct(F.col("scene_id").alias("id"), F.col("start_time").alias("a"), F.col("end_time").alias("b"))
     # a scene is reached where all earlier ones have ended; from there to its end no other one counts
-    starts = scenes.select("video_id", own.alias("_s"), F.greatest("start_time", F.max("end_time").over(earlier)).alias("t")).where(F.col("t") < F.col("_s.b"))
-    both = frames.where("t IS NOT NULL").withColumn("_kind", F.lit(1)).unionByName(starts.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
-    run = Window.partitionBy("video_id").orderBy("t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    reached = scenes.select("video_id", own.alias("_s"), F.greatest("start_time", F.max("end_time").over(earlier)).alias("t")).where(F.col("t") < F.col("_s.b"))
+    at = lambda t: F.floor(t / F.lit(width))
+    starts = reached.withColumn("_part", F.explode(F.sequence(at(F.col("t")), at(F.col("_s.b"))))).withColumn("t", F.greatest("t", F.col("_part") * F.lit(width)))
+    both = frames.where("t IS NOT NULL").withColumns({"_kind": F.lit(1), "_part": at(F.col("t"))}).unionByName(starts.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    run = Window.partitionBy("video_id", "_part").orderBy("t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     last = both.withColumn("_s", F.last("_s", ignorenulls=True).over(run)).where((F.col("_kind") == 1) & (F.col("t") < F.col("_s.b")))
     return last.select(*frames.columns, F.col("_s.id").alias("scene_id"), F.col("_s.a").alias("scene_start"), F.col("_s.b").alias("scene_end"))
 
@@ -32,24 +42,49 @@ def sample_fast(frames_in_scene: DataFrame, fps: float) -> DataFrame:
     return _first_of_cell(frames_in_scene.withColumn("cell", F.floor((F.col("t") - F.col("scene_start")) * F.lit(fps))))
 
 
-def sample_exact(frames_in_scene: DataFrame, scenes: DataFrame, fps: float) -> DataFrame:
+def _grid_points(interval: float, width: float, block: int = 1 << 16) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The points of each scene's grid with the range that each is in; the last point before a range stands in that range too."""
+
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [batch.column(c) for c in ("video_id", "scene_id")]
+            for k, (start, end) in enumerate(zip(batch.column("start_time").to_pylist(), batch.column("end_time").to_pylist(), strict=True)):
+                point, cell = start, 0
+                while point is not None:
+                    # summed up one after the other, as a sequential sampler does
+                    t = np.cumsum(np.concatenate(([point], np.full(min(block, max(1, int((end - point) / interval) + 2)), interval))))
+                    own = int(np.searchsorted(t[:-1], end))
+                    part = np.floor(t / width).astype(np.int64)
+                    # a point is asked for in all ranges up to that of the next one, or of the scene's end
+                    until = np.minimum(part[1 : own + 1], math.floor(end / width))
+                    n = np.maximum(until - part[:own], 0) + 1
+                    which = np.repeat(np.arange(own), n)
+                    parts = part[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                    take = pa.array(np.full(len(which), k))
+                    columns = [*(c.take(take) for c in keys), pa.array(which + cell), pa.array(t[which]), pa.array(parts)]
+                    yield pa.RecordBatch.from_arrays(columns, ["video_id", "scene_id", "cell", "t", "_part"])
+                    cell += own
+                    point = float(t[own]) if own == len(t) - 1 and t[own] < end else None
+
+    return points
+
+
+def sample_exact(frames_in_scene: DataFrame, scenes: DataFrame, fps: float, width: float = RANGE) -> DataFrame:
     """The first frame at or after each point of the grid start, start + 1/fps, ... summed up as a sequential sampler does.
 
-    The running sum adds the interval step by step, so the points are bit-equal to repeated addition. Frames find
-    their cell by an as-of pass: grid points and frames of a scene in one order, the last grid point running.
+    The points are bit-equal to repeated addition: a task sums up its scenes' grids in blocks. Frames find their cell by an as-of pass over
+    each ``width`` seconds of a scene, the last point running, so a long scene spreads over all tasks; the first frames of cells of
+    two ranges meet in a second, small step.
     """
-    interval = 1.0 / fps
-    steps = F.ceil((F.col("end_time") - F.col("start_time")) * F.lit(fps)).cast("int") + 1
-    grid = scenes.where("end_time > start_time").select(
-        "video_id", "scene_id", "start_time", F.explode(F.sequence(F.lit(0), steps)).alias("cell")
-    )
-    run = Window.partitionBy("video_id", "scene_id").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    point = F.sum(F.when(F.col("cell") == 0, F.col("start_time")).otherwise(F.lit(interval))).over(run)
-    points = grid.select("video_id", "scene_id", "cell", point.alias("t")).withColumn("_kind", F.lit(0))
-    both = frames_in_scene.withColumn("_kind", F.lit(1)).unionByName(points, allowMissingColumns=True)
-    order = Window.partitionBy("video_id", "scene_id").orderBy("t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    celled = both.withColumn("cell", F.last("cell", ignorenulls=True).over(order)).where("_kind = 1").drop("_kind")
-    return _first_of_cell(celled)
+    kinds = dict(scenes.dtypes)
+    shape = f"video_id {kinds['video_id']}, scene_id {kinds['scene_id']}, cell bigint, t double, _part bigint"
+    points = scenes.where("end_time > start_time").select("video_id", "scene_id", "start_time", "end_time").mapInArrow(_grid_points(1.0 / fps, width), shape)
+    both = frames_in_scene.withColumns({"_kind": F.lit(1), "_part": F.floor(F.col("t") / F.lit(width))}).unionByName(points.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    order = Window.partitionBy("video_id", "scene_id", "_part").orderBy("t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    celled = both.withColumn("cell", F.last("cell", ignorenulls=True).over(order)).where("_kind = 1")
+    inside = Window.partitionBy("video_id", "scene_id", "_part", "cell").orderBy("t", "frame_index")
+    first = celled.withColumn("_n", F.row_number().over(inside)).where("_n = 1").drop("_n", "_kind", "_part")
+    return _first_of_cell(first)
 
 
 def known_scenes(candidates: DataFrame, scenes: DataFrame) -> DataFrame:

@@ -227,3 +227,30 @@ def test_stream_of_many_scenes_with_late_frames(spark, tmp_path):
     plan = streams.in_scenes(spark.read.parquet(str(tmp_path / "*")), sc, 4.0)._jdf.queryExecution().sparkPlan().toString()
     join = next(line for line in plan.split("\n") if "Join" in line)
     assert join.count("_b#") >= 2 and join.count("video_id#") >= 2 and "NestedLoop" not in plan  # by video and bucket, not by time alone
+
+
+def test_one_long_video_in_ranges(spark):
+    """Scenes, gaps and grids over many ranges of time: the same as in one range, and as a loop."""
+    rng = random.Random(8)
+    sc, t = [], 0.3
+    for k in range(12):
+        length = rng.choice([0.2, 3.7, 11.0, 25.5])
+        sc.append((1, k, t, t + length))
+        t += length + rng.choice([0.0, 0.0, 6.4])
+    sc.append((1, 99, 20.0, 60.0))  # over others
+    times = sorted({round(rng.uniform(0, t + 5), 1) for _ in range(600)})
+    frames = spark.createDataFrame([(1, k, x) for k, x in enumerate(times)], "video_id int, frame_index long, t double")
+    scene_rows = spark.createDataFrame(sc, "video_id int, scene_id int, start_time double, end_time double")
+    own = {k: min((s for s in sc if s[2] <= x < s[3]), key=lambda s: s[2], default=None) for k, x in enumerate(times)}
+    for fps in (3.0, 0.13):
+        want, point = set(), {s[1]: s[2] for s in sc}
+        for k, x in enumerate(times):
+            if own[k] and x >= point[own[k][1]]:
+                want.add((own[k][1], k))
+                while point[own[k][1]] <= x:
+                    point[own[k][1]] += 1.0 / fps
+        for width in (1.0, 7.0, 1e6):
+            assigned = sampling.assign_scene(frames, scene_rows, width)
+            assert {(r["frame_index"], r["scene_id"]) for r in assigned.collect()} == {(k, s[1]) for k, s in own.items() if s}
+            got = sampling.sample_exact(assigned, scene_rows, fps, width)
+            assert sorted((r["scene_id"], r["frame_index"]) for r in got.collect()) == sorted(want)
