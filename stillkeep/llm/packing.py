@@ -95,8 +95,9 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
 def pack_plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths that share a sequence) and how often each is used; every length is used exactly as often as it occurs.
 
-    Combinations of up to three lengths are consumed first; where stopping at two, one or none (plain best fit) needs
-    fewer sequences, that plan is taken.
+    Exact complements of one length are consumed first, then those of two and of three, even ones before uneven ones, so that small pieces
+    are left for gaps that nothing else fills. Where stopping at two, one or none (plain best fit) needs fewer sequences, as few
+    pieces of many lengths may, that plan is taken.
     """
     plans = (_plan(histogram, capacity, most) for most in (3, 2, 1, 0))
     return min(plans, key=lambda plan: sum(times for _, times in plan))
@@ -121,32 +122,29 @@ def _plan(histogram: dict[int, int], capacity: int, most: int) -> list[tuple[tup
         return times > 0
 
     def pairs(gap: int) -> list[tuple[int, int]]:
-        """Available a >= b with a + b = gap: the index of pair sums, read at one sum."""
-        b = np.arange(1, gap // 2 + 1)
+        """Available a >= b with a + b = gap, the most even first: the index of pair sums, read at one sum."""
+        b = np.arange(gap // 2, 0, -1)
         b = b[(left[b] > 0) & (left[gap - b] > 0)] if len(b) else b
         return [(gap - int(x), int(x)) for x in b]
 
     for size in range(capacity, 0, -1):
-        if not left[size]:
-            continue
-        gap = capacity - size
-        if gap == 0:
+        if left[size] and size == capacity:
             use((size,))
-            continue
-        if most > 0:
-            use((size, gap))
-        for a, b in pairs(gap) if most > 1 else ():
+        elif left[size] and most > 0:
+            use((size, capacity - size))
+    for size in range(capacity - 1, 0, -1) if most > 1 else ():
+        for a, b in pairs(capacity - size) if left[size] else ():
             if not left[size]:
                 break
             use((size, a, b))
-        if left[size] and most > 2:
-            for a in range(min(size, gap - 2), 0, -1):
-                if not left[size]:
-                    break
-                if left[a]:
-                    for b, c in pairs(gap - a):
-                        if b <= a and left[a] and left[size]:
-                            use((size, a, b, c))
+    for size in range(capacity - 1, 0, -1) if most > 2 else ():
+        gap = capacity - size
+        for a in sorted(range(1, min(size, gap - 2) + 1), key=lambda x: (abs(3 * x - gap), x)) if left[size] else ():
+            if not left[size]:
+                break
+            for b, c in pairs(gap - a) if left[a] else ():
+                if b <= a and left[a] and left[size]:
+                    use((size, a, b, c))
     # best fit on what remains: longest first into the open sequences of smallest sufficient gap
     open_by_gap: dict[int, list[list]] = {}
     for size in range(capacity, 0, -1):

@@ -143,6 +143,25 @@ def test_line_shingles_are_of_characters():
             assert len(got[a] & got[b]) == len(sets[a] & sets[b])
 
 
+
+def test_combinations_of_three_win_where_lengths_are_many():
+    """Many pieces of all lengths: the plan that is taken fills gaps by pairs and triples too, and needs no more sequences than best fit."""
+    rng = random.Random(21)
+    lengths = [1024] * 500 + [min(1024, max(1, int(rng.lognormvariate(5.2, 1.1)))) for _ in range(12_000)]
+    histogram = dict(Counter(lengths))
+    plan = packing.pack_plan(histogram, 1024)
+    used = Counter()
+    for pattern, times in plan:
+        assert sum(pattern) <= 1024
+        for x in pattern:
+            used[x] += times
+    assert used == Counter(lengths)
+    total = lambda p: sum(n for _, n in p)
+    assert total(plan) <= total(packing._plan(histogram, 1024, 0)) and total(plan) <= -(-sum(lengths) // 1024) + 2
+    full = packing._plan(histogram, 1024, 3)
+    assert total(plan) == total(full) and any(len(p) == 4 and sum(p) == 1024 for p, _ in full)
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
