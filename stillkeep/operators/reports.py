@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 
 def _thousandths(name: str) -> Column:
@@ -29,14 +30,40 @@ def aesthetic_summary(scored: DataFrame) -> DataFrame:
     )
 
 
-def batch_totals(results: DataFrame) -> DataFrame:
-    """Of per-video results (error, selected_count, exported_count): successes, failures and sums, null counts as 0."""
-    return results.agg(
+def _totals() -> list[Column]:
+    return [
         F.count_if(F.col("error").isNull()).alias("successes"),
         F.count_if(F.col("error").isNotNull()).alias("failures"),
         F.coalesce(F.sum(F.coalesce("selected_count", F.lit(0))), F.lit(0)).alias("selected"),
         F.coalesce(F.sum(F.coalesce("exported_count", F.lit(0))), F.lit(0)).alias("exported"),
-    )
+    ]
+
+
+def batch_totals(results: DataFrame) -> DataFrame:
+    """Of per-video results (error, selected_count, exported_count): successes, failures and sums, null counts as 0."""
+    return results.agg(*_totals())
+
+
+def write_with_totals(results: DataFrame, path: str) -> dict[str, int]:
+    """Write per-video results and return their totals, observed by the writing job itself: nothing is read a second time."""
+    seen = Observation("totals")
+    results.observe(seen, *_totals()).write.mode("overwrite").parquet(path)
+    return {k: int(v or 0) for k, v in seen.get.items()}
+
+
+def observed(results: DataFrame) -> DataFrame:
+    """A stream of per-video results whose progress reports carry the totals of each batch; ``progress_so_far`` adds them up."""
+    return results.observe("totals", *_totals())
+
+
+def progress_so_far(query: StreamingQuery) -> dict[str, int]:
+    """The totals of an ``observed`` stream over the batches that its progress reports hold."""
+    out = dict.fromkeys(("successes", "failures", "selected", "exported"), 0)
+    for report in query.recentProgress:
+        row = report.observedMetrics.get("totals")
+        for name in out if row is not None else ():
+            out[name] += int(row[name] or 0)
+    return out
 
 
 def selection_summary(decided: DataFrame, requested: int | None) -> DataFrame:

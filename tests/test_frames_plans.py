@@ -9,7 +9,7 @@ from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from stillkeep.functions import pixels_arrow
-from stillkeep.operators import dedup, sampling, scenes
+from stillkeep.operators import dedup, reports, sampling, scenes
 from stillkeep.plans.batches import finished, results, run_in_chunks
 from stillkeep.plans.scoring import Providers
 from stillkeep.plans.select_best import select_from_previews
@@ -254,3 +254,18 @@ def test_one_long_video_in_ranges(spark):
             assert {(r["frame_index"], r["scene_id"]) for r in assigned.collect()} == {(k, s[1]) for k, s in own.items() if s}
             got = sampling.sample_exact(assigned, scene_rows, fps, width)
             assert sorted((r["scene_id"], r["frame_index"]) for r in got.collect()) == sorted(want)
+
+
+def test_totals_are_observed_while_results_are_written(spark, tmp_path):
+    rows = [(1, None, 3, 2), (2, "broken", None, None), (3, None, None, 5), (4, None, 1, None)]
+    df = spark.createDataFrame(rows, "video_id int, error string, selected_count int, exported_count int")
+    want = reports.batch_totals(df).first().asDict()
+    assert reports.write_with_totals(df, str(tmp_path / "r")) == want == {"successes": 3, "failures": 1, "selected": 4, "exported": 7}
+    assert spark.read.parquet(str(tmp_path / "r")).count() == 4
+    assert reports.write_with_totals(df.where("false"), str(tmp_path / "e")) == dict.fromkeys(want, 0)
+    for k in range(3):
+        df.where(f"video_id % 3 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "s"))
+    query = reports.observed(stream).writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert reports.progress_so_far(query) == want
