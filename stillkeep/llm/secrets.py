@@ -71,8 +71,8 @@ class _Pieces:
 
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
-_UNICODE_ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
+_UNICODE_ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|%u([0-9A-Fa-f]{4})|\\([0-3][0-7]{2})")
+_UNICODE = re.compile(rf"(?:{re.sub(r'(?<!\\)\((?!\?)', '(?:', _UNICODE_ONE.pattern)})+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _BREAK = re.compile(r"\r?\n[ \t]*")
 _BROKEN = re.compile(r"[A-Za-z0-9+/_-]{16}\r?\n[ \t]*[A-Za-z0-9+/_-]")  # what runs over lines begin with
@@ -108,13 +108,13 @@ def _url(text: str) -> tuple[str, Mapping] | None:
 
 
 def _unicode(text: str) -> tuple[str, Mapping] | None:
-    r"""The layer with \uXXXX, \UXXXXXXXX and \xXX decoded; surrogate pairs join, lone surrogates stay as they are."""
+    r"""The layer with \uXXXX, \u{X}, %uXXXX, \UXXXXXXXX, \xXX and octal \OOO decoded; surrogate pairs join, lone surrogates stay as they are."""
     made, last = _Pieces(), 0
     for run in _UNICODE.finditer(text):
         made.add(text[last : run.start()], last, run.start(), True)
         high = None
         for m in _UNICODE_ONE.finditer(text, run.start(), run.end()):
-            code = int(m[1] or m[2] or m[3], 16)
+            code = int(m[6], 8) if m[6] else int(m[1] or m[2] or m[3] or m[4] or m[5], 16)
             if high is not None:
                 if 0xDC00 <= code < 0xE000:
                     made.add(chr(0x10000 + (high[0] - 0xD800) * 1024 + code - 0xDC00), high[1], m.end(), False)
@@ -153,8 +153,8 @@ def _decoder(head: bytes):  # noqa: ANN202
         import zstandard
 
         return zstandard.ZstdDecompressor().decompressobj()
-    if head[:1] == b"\x78" and len(head) > 1 and (head[0] * 256 + head[1]) % 31 == 0:
-        return zlib.decompressobj()
+    if len(head) > 1 and head[0] % 16 == 8 and head[0] < 0x80 and not head[1] & 32 and (head[0] * 256 + head[1]) % 31 == 0:
+        return zlib.decompressobj()  # of any window
     return None
 
 
@@ -217,21 +217,50 @@ def _unpacked(raw: bytes, rest: bool = True) -> Iterator[bytes] | None:
     return chain([buf], src) if seen and buf is not raw else None
 
 
+_OPEN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-%\\"
+_ALIKE = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"0123456789abcdef")
+
+
+def _open_run(whole: bytes) -> int:
+    """Where the encoded run begins that goes on at the end of a stretch; the end, if none does. Letters or digits of one kind encode nothing.
+
+    Lines of one length, as encoders write them, are one run.
+    """
+    lines = whole[-4096:].split(b"\n")
+    wrapped = len(lines) > 3 and len(lines[-2]) == len(lines[-3]) >= 16
+    start = len(whole.rstrip(_OPEN + b"\r\n" if wrapped else _OPEN))
+    run = whole[start:]
+    return len(whole) if any(not run.translate(None, kind) for kind in _ALIKE) else start
+
+
 def _chunks(pieces: Iterator[bytes], most: int) -> Iterator[bytes]:
-    """Stretches of about ``most`` bytes, each of which repeats the end of the one before, from a blank where there is one."""
+    """Stretches of about ``most`` bytes, each of which repeats the end of the one before, from a blank where there is one.
+
+    An encoded run that is open at a stretch's end is repeated as a whole, however long it is, so that none is cut: what is held grows with
+    the longest run, not with what is unpacked.
+    """
     held: list[bytes] = []
-    n = 0
+    n, limit = 0, most
     for piece in pieces:
         held.append(piece)
         n += len(piece)
-        if n >= most:
+        if n >= limit:
             whole = b"".join(held)
+            start = _open_run(whole)
+            at = len(whole) - min(PIECE, most // 2)
+            if start == 0:  # nothing but one run so far
+                held, limit = [whole], 2 * n
+                continue
             yield whole
-            near = whole[-min(PIECE, most // 2) :]
-            near = near[1 + near.find(b"\n") :] if b"\n" in near[: len(near) // 2] else near
-            while near and near[0] >> 6 == 2:  # not from the middle of a UTF-8 character
-                near = near[1:]
+            if start < at:
+                near = whole[start:]
+            else:
+                near = whole[at:]
+                near = near[1 + near.find(b"\n") :] if b"\n" in near[: len(near) // 2] else near
+                while near and near[0] >> 6 == 2:  # not from the middle of a UTF-8 character
+                    near = near[1:]
             held, n = [near], len(near)
+            limit = max(most, 2 * n)
     if n:
         yield b"".join(held)
 
@@ -403,30 +432,36 @@ def all_spans(text: str, most: int = 1 << 26) -> tuple[list[Span], list[Span]]:
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = sorted(base_spans(text), key=order)
     found = set(base)
-    whole: list[Mapping] = []
-    work: list[tuple[str, list[Mapping]]] = [(text, whole)]
     seen: set[tuple[int, int, bytes]] = set()
-    while work:
-        layer, back = work.pop()
+
+    def inner_layers(layer: str, back: list[Mapping]) -> Iterator[tuple[str, list[Mapping]]]:
         made: list[tuple[str, Mapping]] = []
         if "%" in layer and (x := _url(layer)):
             made.append(x)
-        if "\\" in layer and (x := _unicode(layer)):
+        if ("\\" in layer or "%u" in layer) and (x := _unicode(layer)):
             made.append(x)
         for inner, step in chain(made, _packed_escapes(layer, most), _base64s(layer, most)):
-            way = [step, *back]
+            yield inner, [step, *back]
 
-            def to_text(a: int, b: int, way: list[Mapping] = way) -> tuple[int, int]:
-                for f in way:
-                    a, b = f(a, b)
-                return a, b
+    # depth first: a layer, or a stretch of one, is done with before the next is unpacked, so only one way down is held
+    work = [inner_layers(text, [])]
+    while work:
+        inner, way = next(work[-1], (None, None))
+        if inner is None:
+            work.pop()
+            continue
 
-            key = (*to_text(0, len(inner)), hashlib.sha256(inner.encode("utf-8", "surrogatepass")).digest()) if inner else None
-            if key is None or key in seen:
-                continue
-            seen.add(key)
-            found.update((kind, *to_text(a, b)) for kind, a, b in base_spans(inner))
-            work.append((inner, way))
+        def to_text(a: int, b: int, way: list[Mapping] = way) -> tuple[int, int]:
+            for f in way:
+                a, b = f(a, b)
+            return a, b
+
+        key = (*to_text(0, len(inner)), hashlib.sha256(inner.encode("utf-8", "surrogatepass")).digest()) if inner else None
+        if key is None or key in seen:
+            continue
+        seen.add(key)
+        found.update((kind, *to_text(a, b)) for kind, a, b in base_spans(inner))
+        work.append(inner_layers(inner, way))
     return base, sorted(found, key=order)
 
 

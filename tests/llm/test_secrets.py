@@ -1,8 +1,12 @@
 """Base spans against a scan letter by letter, and the query's own columns."""
 
+import base64
+import gzip
 import hashlib
 import random
 import time
+import tracemalloc
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,3 +159,39 @@ def test_runs_over_lines():
         ("x" * 16 + "\nab)\n" + "z" * 16 + "\nq", [["z" * 16, "q"]]),
     ]:
         assert [[m[0] for m in lines] for lines in secrets._broken_runs(text)] == want
+
+
+def _kinds(text, most=1 << 26):
+    base, spans = secrets.all_spans(text, most)
+    return sorted({k for k, _, _ in set(spans) - set(base)})
+
+
+def test_more_escapes_and_windows():
+    secret = "password: hunter22"
+    for written in ("".join(f"\\u{{{ord(c):x}}}" for c in secret), "".join(f"%u{ord(c):04x}" for c in secret), "".join(f"\\{ord(c):03o}" for c in secret)):
+        assert _kinds(f"see {written} here") == ["assign"]
+    for bits in range(9, 16):
+        packer = zlib.compressobj(9, zlib.DEFLATED, bits)
+        assert _kinds(base64.b64encode(packer.compress(secret.encode()) + packer.flush()).decode()) == ["assign"]
+
+
+def test_a_run_across_a_border_is_not_cut():
+    """Bytes that hardly compress, with a secret among them, in base64 of 1 MB inside a packed layer that is read in stretches of 256 KB."""
+    noise = random.Random(9).randbytes(400_000)
+    inner = gzip.compress(noise + b"\n password: hunter22 \n" + noise, mtime=0)
+    for run in (base64.b64encode(inner), base64.encodebytes(inner)):
+        layer = b"some words, " * 20_000 + b"\n" + run + b"\n" + b"more words; " * 30_000
+        assert "assign" in _kinds(base64.b64encode(gzip.compress(layer, 1, mtime=0)).decode(), 1 << 18)
+
+
+def test_memory_does_not_grow_with_a_layer():
+    peaks = []
+    for size in (6, 30):
+        layer = (b"words of a line, one of many;\n" * 34_000) * size + b"password: hunter22"
+        text = base64.b64encode(gzip.compress(layer, 9, mtime=0)).decode()
+        del layer
+        tracemalloc.start()
+        assert _kinds(text, 1 << 20) == ["assign"]
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0]
