@@ -31,7 +31,7 @@ from stillkeep.llm.spelling import CRC_TABLE, crc32_sql
 
 END = np.uint64(xxhash.xxh64_intdigest(b"end of text", 1))  # words are hashed with seed 0
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-GRAM_BITS = 60  # n-grams of two words and more are told apart by so many bits, words by 64
+GRAM_BITS = 56  # n-grams of two words and more are told apart by so many bits, words by 64
 
 
 def packed(values: np.ndarray, width: int) -> bytes:
