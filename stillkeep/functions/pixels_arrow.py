@@ -99,11 +99,20 @@ def resized(g: np.ndarray, width: int, height: int) -> np.ndarray:
 
 
 def phash(g: np.ndarray, size: int, factor: int) -> np.ndarray:
-    """size x size bits, row-major: reduce to factor * size, DCT, low frequencies against their median without the first."""
+    """size x size bits, row-major: reduce to factor * size, DCT, low frequencies against their median without the first.
+
+    The sums run in order, along the rows and then down the columns, as in ``pixels.dct`` and in SQL: of frequencies that are equal but for
+    rounding, a matrix product would put others above the median, and others again on another machine.
+    """
     n = size * factor
-    m = np.array(cosine_matrix(n))
+    m = np.array(cosine_matrix(n))[:size]
     small = np.rint(resized(g, n, n)) if g.shape != (n, n) else g
-    low = (m @ small @ m.T)[:size, :size].ravel()
+    rows, low = np.zeros((n, size)), np.zeros((size, size))
+    for x in range(n):
+        rows += small[:, x, None] * m[:, x]
+    for y in range(n):
+        low += m[:, y, None] * rows[y]
+    low = low.ravel()
     return low > (np.median(low[1:]) if len(low) > 1 else 0.0)
 
 

@@ -3,6 +3,7 @@
 import json
 import random
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from stillkeep.functions import pixels_arrow
 from stillkeep.operators import dedup, reports, sampling
 from stillkeep.plans.scoring import Providers, score_videos
 from stillkeep.plans.select_best import resume
+from stillkeep.queries import ORACLES, QUERIES
 from stillkeep.settings import CompositeSettings, ExportSettings, FaceSettings, TechnicalSettings
 from stillkeep.sources import catalog, sinks
 from stillkeep.streaming import frames as streams
@@ -149,3 +151,17 @@ def test_providers(spark):
     half = lambda f: f.select("video_id", "frame_index", F.lit(0.9).alias("score"))
     full = score_videos(videos, Providers(lambda v: frames.join(v, "video_id", "left_semi"), face, half, half, {"mine": half}), *args).where("frame_index = 1").first()
     assert full["profile"] == "people" and full["n_faces"] == 1 and full["mine"] == 0.9 and full["aesthetic"] == 0.9 and full["face"] == 1.0
+
+
+def test_hashes_of_flat_and_symmetric_pictures_are_those_of_the_sql(spark, tmp_path):
+    """Frequencies that are equal but for rounding: all sums must run in one order."""
+    rng = np.random.default_rng(1)
+    half = [rng.integers(0, 128, (8, 8)) for _ in range(60)]
+    pictures = [*(h + h.T for h in half), *(np.full((8, 8), v) for v in range(0, 256, 5)), *(np.repeat(h[:, :1], 8, 1) for h in half)]
+    rows = [(k, [float(v + 0.5) / 510 - 0.25 for v in p.ravel()], k % 7) for k, p in enumerate(pictures)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("ph1_phash", "ph1_phash_arrow", "ph1_phash_reduced"):
+        got = {r["frame_index"]: r["hash"] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == dict(db.execute(ORACLES[name]).fetchall()), name
