@@ -6,9 +6,9 @@ equal registers are as likely as sets are alike. Runs of registers are hashed in
 share a band are candidates; the likelihood of the joint register comparisons discards those that cannot
 reach the threshold, and full sets confirm the rest.
 
-Large buckets never become pair lists. Their members are first compared with one of them, which links a group of near
-copies at once. What is left is compared exactly in blocks of bounded size, between blocks that a link can join by size
-and by distance from that one, and a block gives out only a spanning forest of its links.
+Large buckets never become pair lists. Their members are dealt to chunks of bounded size and compared with their chunk and with a few
+pivots that stand in every chunk, which links a group of near copies at once. What is left is compared exactly in blocks of bounded
+size, between components and cells that a link can join, and a block gives out only a spanning forest of its links.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stillkeep.llm.common import KeyFilter, components, hashed_words, mixed, stored, table, text_hash, text_slices
@@ -184,38 +184,42 @@ def _plain_sets(items: pd.Series) -> list[np.ndarray]:
     return [np.asarray(s, dtype=np.int64) for s in items]
 
 
+def _forest(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """For each set the first one of its component, by exact intersection sizes."""
+    k = len(sets)
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    owner = np.repeat(np.arange(k), size)
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[code] > 1
+    owner, code = owner[shared], code[shared]
+    _, code = np.unique(code, return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    inter = np.zeros((k, k), dtype=np.float32)
+    codes = int(code[-1]) + 1 if len(code) else 0
+    wide = max(1, min(codes, (1 << 22) // k))
+    for first in range(0, codes, wide):
+        a, b = np.searchsorted(code, [first, first + wide])
+        rows = np.zeros((k, wide), dtype=np.float32)
+        rows[owner[a:b], code[a:b] - first] = 1
+        inter += rows @ rows.T
+    common = np.rint(inter).astype(np.int64)
+    linked = den * common >= num * (size[:, None] + size[None, :] - common)
+    np.fill_diagonal(linked, True)
+    label = np.arange(k)
+    while True:
+        new = np.where(linked, label[None, :], k).min(axis=1)
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _block_links(num: int, den: int, as_sets: Sets) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (block, node, items) in the order of blocks -> a spanning forest of the links among the sets of each block."""
 
     def links(nodes: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """By exact intersection sizes."""
-        k = len(nodes)
-        size = np.array([len(s) for s in sets], dtype=np.int64)
-        owner = np.repeat(np.arange(k), size)
-        _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = count[code] > 1
-        owner, code = owner[shared], code[shared]
-        _, code = np.unique(code, return_inverse=True)
-        order = np.argsort(code, kind="stable")
-        owner, code = owner[order], code[order]
-        inter = np.zeros((k, k), dtype=np.float32)
-        codes = int(code[-1]) + 1 if len(code) else 0
-        wide = max(1, min(codes, (1 << 22) // k))
-        for first in range(0, codes, wide):
-            a, b = np.searchsorted(code, [first, first + wide])
-            rows = np.zeros((k, wide), dtype=np.float32)
-            rows[owner[a:b], code[a:b] - first] = 1
-            inter += rows @ rows.T
-        common = np.rint(inter).astype(np.int64)
-        linked = den * common >= num * (size[:, None] + size[None, :] - common)
-        np.fill_diagonal(linked, True)
-        label = np.arange(k)
-        while True:
-            new = np.where(linked, label[None, :], k).min(axis=1)
-            if (new == label).all():
-                break
-            label = new
-        own = np.flatnonzero(label != np.arange(k))
+        label = _forest(sets, num, den)
+        own = np.flatnonzero(label != np.arange(len(nodes)))
         return nodes[own], nodes[label[own]]
 
     def all_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,26 +245,28 @@ def _block_links(num: int, den: int, as_sets: Sets) -> Callable[[Iterator[pa.Rec
     return all_blocks
 
 
-def _star(num: int, den: int, as_sets: Sets) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Compares the members of a chunk with their group's smallest node, whose set is in every chunk.
+def _met(num: int, den: int, as_sets: Sets) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Compares the members of a chunk with each other and with their group's pivots, which are in every chunk.
 
-    Gives each member's cell: d, how many threshold distances it lies from that set (0: linked with it), and s, its size in steps
-    of the threshold. The Jaccard distance is a metric, so linked members are at most one step apart in d, and in s likewise.
+    Gives each member r, the first one of its component in the chunk, and its cell: d, how many threshold distances it lies from the
+    group's smallest node (0: linked with it), and s, its size in steps of the threshold. The Jaccard distance is a metric, so linked
+    members are at most one step apart in d, and in s likewise.
     """
     reach = (den - num) / den * (1 + 1e-9) or 1.0
     step = math.log(den / num) * (1 + 1e-9) or 1.0
 
-    def star(chunk: pd.DataFrame) -> pd.DataFrame:
-        sets = as_sets(chunk["items"])
-        of = int(np.flatnonzero(chunk["node"].to_numpy() == chunk["a"].to_numpy())[0])
+    def met(chunk: pd.DataFrame) -> pd.DataFrame:
+        sets, node = as_sets(chunk["items"]), chunk["node"].to_numpy()
+        of = int(np.flatnonzero(node == chunk["a"].to_numpy())[0])
         size = np.array([len(x) for x in sets], dtype=np.int64)
         common = np.array([len(np.intersect1d(x, sets[of], assume_unique=True)) for x in sets], dtype=np.int64)
         union = size + size[of] - common
         d = np.where(den * common >= num * union, 0, np.maximum(1, np.floor((1 - common / np.maximum(union, 1)) / reach)))
         s = np.floor(np.log(np.maximum(size, 1)) / step)
-        return pd.DataFrame({"a": chunk["a"], "node": chunk["node"], "d": d.astype(np.int32), "s": s.astype(np.int32), "n": size})
+        r = node[_forest(sets, num, den)]
+        return pd.DataFrame({"a": chunk["a"], "node": node, "pivot": chunk["pivot"], "d": d.astype(np.int32), "s": s.astype(np.int32), "n": size, "r": r})
 
-    return star
+    return met
 
 
 def _blocks(rows: DataFrame, keys: list[str], block: int, elements: int) -> DataFrame:
@@ -269,45 +275,82 @@ def _blocks(rows: DataFrame, keys: list[str], block: int, elements: int) -> Data
     return rows.groupBy(*keys).agg(most.cast("int").alias("blocks"))
 
 
+def _salted(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """``rows`` joined with the facts of their group a. A group may hold a third of all rows: it meets its facts in parts."""
+    parts = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return rows.withColumn("salt", _salt()).join(parts, ["a", "salt"]).drop("salt")
+
+
+def _salt() -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(5)), F.lit(SALTS))
+
+
 def _compared(groups: DataFrame, sets: DataFrame, num: int, den: int, as_sets: Sets, block: int, elements: int) -> DataFrame:
     """The links (u, v), as spanning forests, within each group (a, node); a, the smallest node, is a member.
 
-    A group of one block is compared whole. In a larger one all members are first compared with a, in chunks. Those linked
-    with a are one component already; the others are compared with each other and with the linked ones, but only between
-    cells (see ``_star``) that a link can join, in blocks of bounded size.
+    A group of one block is compared whole. The members of a larger one are dealt to chunks of a block, and each is compared with its chunk and with
+    the group's pivots, a among them, which stand in every chunk and tie the chunks together. That makes components of
+    what is near each other, in work that grows with the members. Only members of different components need more: those in components of
+    less than a block are compared with all others; members of larger ones only with other components, between cells (see ``_met``)
+    that a link can join. All of it goes in blocks of bounded size.
     """
-    members = groups.join(sets.select("node", "n"), "node").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(SALTS)))
-    # a group may hold a third of all rows: it meets its size in parts
-    sizes = _blocks(members, ["a"], block, elements).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    sized = stored(members.join(sizes, ["a", "salt"]).drop("salt"), "sized")
+    members = groups.join(sets.select("node", "n"), "node")
+    parts = stored(members.groupBy("a", _salt().alias("salt")).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.min("node").alias("node")), "parts")
+    most = F.greatest(F.ceil(F.sum("k") / block), F.ceil(F.sum("n") / elements)).cast("int")
+    sizes = stored(parts.groupBy("a").agg(most.alias("blocks")), "sizes")
+    sized = stored(_salted(members, sizes), "sized")
     none = F.lit(0)
-    whole = sized.where("blocks = 1").select("a", "node", *(none.alias(c) for c in ("d", "s", "e", "t", "i", "j")))
-    chunks = sized.where("blocks > 1").select("a", "node", F.pmod(F.xxhash64("node", F.lit(3)), "blocks").cast("int").alias("chunk"))
-    centres = sized.where("blocks > 1 AND node = a").select("a", "node", F.explode(F.sequence(none, F.col("blocks") - 1)).alias("chunk"))
-    met = chunks.where("node <> a").unionByName(centres).join(sets.select("node", "items"), "node")
-    star = stored(met.groupBy("a", "chunk").applyInPandas(_star(num, den, as_sets), "a bigint, node bigint, d int, s int, n bigint"), "star")
-    cells = stored(_blocks(star.where("node <> a"), ["a", "d", "s"], block, elements), "cells")
-    # half of the neighbouring cells, so that a pair of cells is met once; members linked with a need no comparison among themselves
-    steps = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(s).alias("s")) for d, s in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))))
-    near = cells.select("a", "d", "s", F.col("blocks").alias("k"), F.explode(steps).alias("step"))
-    near = near.select("a", "d", "s", "k", (F.col("d") + F.col("step.d")).alias("e"), (F.col("s") + F.col("step.s")).alias("t"))
-    other = cells.select("a", F.col("d").alias("e"), F.col("s").alias("t"), F.col("blocks").alias("l"))
-    near = stored(near.where("d > 0 OR e > 0").join(other, ["a", "e", "t"]), "near_cells")
-    rest = star.where("node <> a").select("a", "node", "d", "s")
     upto = lambda n: F.explode(F.sequence(none, F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), n).cast("int")
-    left = rest.join(near, ["a", "d", "s"]).withColumn("i", own("k")).withColumn("j", upto("l"))
-    same = (F.col("d") == F.col("e")) & (F.col("s") == F.col("t"))
+    whole = sized.where("blocks = 1").select("node", F.xxhash64(none, "a").alias("block"))
+    pivots = parts.join(sizes.where("blocks > 1"), "a").select("a", "node", "blocks", F.lit(True).alias("pivot"))
+    spread = pivots.select("a", "node", "pivot", upto("blocks").alias("chunk"))
+    dealt = sized.where("blocks > 1").join(pivots.select("a", "node"), ["a", "node"], "left_anti")
+    dealt = dealt.select("a", "node", F.lit(False).alias("pivot"), F.pmod(F.xxhash64("node", F.lit(3)), "blocks").cast("int").alias("chunk"))
+    chunks = dealt.unionByName(spread).join(sets.select("node", "items"), "node")
+    shape = "a bigint, node bigint, pivot boolean, d int, s int, n bigint, r bigint"
+    met = stored(chunks.groupBy("a", "chunk").applyInPandas(_met(num, den, as_sets), shape), "met")
+    links = met.where("node <> r").select(F.col("r").alias("u"), F.col("node").alias("v"))
+    joined = components(links, "chunk_links")
+    # a pivot has met its whole group
+    rest = met.where("NOT pivot").join(joined, "node", "left").select("a", "node", "d", "s", "n", F.coalesce("component", "node").alias("c"))
+    rest = stored(rest, "rest")
+    counts = rest.groupBy("a", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    small = F.col("k") < block  # a component of its own from a block on
+    counts = stored(counts.withColumn("small", small), "counts")
+    sums = F.sum(F.when(small, F.col("k"))).alias("k"), F.sum(F.when(small, F.col("n"))).alias("n"), F.sum("k").alias("all_k"), F.sum("n").alias("all_n"), F.count_if(~small).alias("large"), F.count(F.lit(1)).alias("parts")
+    ceil = lambda k, n: F.greatest(F.ceil(F.col(k) / block), F.ceil(F.col(n) / elements)).cast("int")
+    facts = counts.groupBy("a").agg(*sums).where("parts > 1")  # one component: nothing is left to compare
+    facts = stored(facts.select("a", "large", F.coalesce(ceil("k", "n"), none).alias("few"), ceil("all_k", "all_n").alias("chunks")), "facts")
+    large = counts.where("NOT small").select("a", "c", F.lit(True).alias("big"))
+    rest = stored(_salted(rest, facts).join(large, ["a", "c"], "left").withColumn("big", F.coalesce("big", F.lit(False))), "open")
+    # few members in small components: one block of them meets every chunk
+    alone = rest.where("few = 1")
+    dealt = F.when(F.col("big"), F.array(F.pmod(F.xxhash64("node", F.lit(3)), "chunks").cast("int"))).otherwise(F.sequence(none, F.col("chunks") - 1))
+    strays = alone.select("node", "a", F.explode(dealt).alias("i")).select("node", F.xxhash64(F.lit(1), "a", "i").alias("block"))
+    # others by component (all small ones as one) and cell; a pair of cells is met once, one large component not with itself
+    rest = rest.where("few > 1 OR big AND large > 1").withColumn("c", F.when(F.col("big"), F.col("c")).otherwise(none))
+    cell = ["a", "big", "c", "d", "s"]
+    cells = stored(_blocks(rest, cell, block, elements), "cells")
+    steps = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(s).alias("s")) for d, s in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))))
+    near = cells.withColumnRenamed("blocks", "k").withColumn("step", F.explode(steps))
+    near = near.withColumn("e", F.col("d") + F.col("step.d")).withColumn("t", F.col("s") + F.col("step.s")).drop("step")
+    to = {"big": "to_big", "c": "to_c", "d": "e", "s": "t"}
+    near = near.join(cells.withColumnsRenamed(to | {"blocks": "l"}), ["a", "e", "t"])
+    alike = (F.col("d") == F.col("e")) & (F.col("s") == F.col("t"))
+    same = alike & (F.col("big") == F.col("to_big")) & (F.col("c") == F.col("to_c"))
+    near = near.where("NOT (big AND to_big AND c = to_c)").where(~alike | (F.struct("big", "c") <= F.struct("to_big", "to_c")))
+    near = stored(near, "near_cells")
+    rest = rest.select("node", *cell)
+    left = rest.join(near, cell).withColumn("i", own("k")).withColumn("j", upto("l"))
     left = left.withColumns({"i": F.when(same, F.least("i", "j")).otherwise(F.col("i")), "j": F.when(same, F.greatest("i", "j")).otherwise(F.col("j"))})
-    right = rest.withColumnsRenamed({"d": "e", "s": "t"}).join(near.where(~same), ["a", "e", "t"]).withColumn("j", own("l")).withColumn("i", upto("k"))
-    keys = ["a", "d", "s", "e", "t", "i", "j"]
-    placed = whole.unionByName(left.select("node", *keys)).unionByName(right.select("node", *keys))
+    right = rest.withColumnsRenamed(to).join(near.where(~same), ["a", *to.values()]).withColumn("j", own("l")).withColumn("i", upto("k"))
+    ends = F.xxhash64(F.lit(2), *cell, *to.values(), "i", "j").alias("block")
+    placed = whole.unionByName(strays).unionByName(left.select("node", ends)).unionByName(right.select("node", ends))
     # two blocks under one hash are compared as one, which loses nothing; small blocks share a batch
-    rows = placed.select("node", F.xxhash64(*keys).alias("block")).join(sets.select("node", "items"), "node").select("block", "node", "items")
+    rows = placed.join(sets.select("node", "items"), "node").select("block", "node", "items")
     found = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_block_links(num, den, as_sets), "u bigint, v bigint")
-    return found.unionByName(star.where("d = 0 AND node <> a").select(F.col("a").alias("u"), F.col("node").alias("v")))
-
-
+    return found.unionByName(links)
 def linked_components(
     bands: DataFrame,
     sets_of: Callable[[DataFrame], DataFrame],

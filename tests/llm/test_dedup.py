@@ -1,6 +1,7 @@
 """Dedup at the edges: large groups, repeated ids, names that collide, full filters."""
 
 import random
+import uuid
 from collections import defaultdict
 
 import pytest
@@ -96,3 +97,33 @@ def test_lines_with_one_name_are_not_dropped_for_each_other(spark, bits):
     assert all(kept[x] >= 1 for x in lines)
     if bits == 64:
         assert all(kept[x] == 1 for x in lines)
+
+
+def test_a_large_group_of_near_copies_is_not_compared_by_all_pairs_of_blocks(spark, monkeypatch, tmp_path):
+    """The groups' smallest members are unlike the others, which are all linked: those that met in chunks need no more."""
+    rng = random.Random(11)
+    base = rng.choices(WORDS, k=80)
+    texts = [" ".join(rng.choice(WORDS) if k in gone else w for k, w in enumerate(base)) for gone in (rng.sample(range(80), 3 if n < 6 else 1) for n in range(400))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(near_dedup.linked_components, "__defaults__", (None, None, near_dedup._plain_sets, 20, 10**9))
+    inner = near_dedup._block_links
+
+    def counting(*args):
+        work = inner(*args)
+
+        def counted(batches):
+            def seen():
+                for batch in batches:
+                    with open(f"{tmp_path}/{uuid.uuid4().hex}", "w") as f:
+                        f.write(str(batch.num_rows))
+                    yield batch
+
+            yield from work(seen())
+
+        return counted
+
+    monkeypatch.setattr(near_dedup, "_block_links", counting)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(docs, words=3, num=85).collect()}
+    assert got == _components({k: _sets(t) for k, t in enumerate(texts)}, 85, 100)
+    rows = sum(int(f.read_text()) for f in tmp_path.iterdir())
+    assert rows < 25 * len(texts), rows
