@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from stillkeep.settings import ExportSettings
 
+FRAMES_PER_FILE = 10_000  # of one video in a preview store
+
 _NULLS = {"ignoreNullFields": "false"}  # an unknown value is written as null
 
 
@@ -47,10 +49,16 @@ def selection_items(selected: DataFrame, settings: ExportSettings, scores: Colum
     return selected.select("video_id", F.col("selection_rank").alias("position"), F.to_json(image, _NULLS).alias("item"))
 
 
+def tasks(spark: SparkSession) -> int:
+    """How many tasks share a write of many small files: adaptive execution goes by bytes and would leave them to a few."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def write_manifests(items: DataFrame, path: str, name: str, videos: DataFrame | None = None) -> None:
     """One JSON file for each video, ``{"source_video": ..., name: [the items by position]}``, in the folder of the video.
 
-    A task writes its videos' items line by line in order and holds none of them, however many a video has. The job's commit publishes all
+    A task writes its videos' items line by line in order and holds none of them, however many a video has. Making a file costs more than
+    its few lines, so videos are dealt to all tasks (see ``tasks``). The job's commit publishes all
     files at once; a job that fails leaves none, and a video that is written again replaces its own file only. Videos of ``videos``
     (video_id) without items get an empty list, null ids are left out.
     """
@@ -60,6 +68,7 @@ def write_manifests(items: DataFrame, path: str, name: str, videos: DataFrame |
     source = F.expr("substring(to_json(array(video_id)), 2, length(to_json(array(video_id))) - 2)")
     # a text that is never null, so that the sorted rows are written as they come
     rows = rows.where("video_id IS NOT NULL").select("*", source.alias("source"), F.coalesce(F.col("video_id").cast("string"), F.lit("")).alias("key"))
+    rows = rows.repartition(tasks(rows.sparkSession), "key")
     order = Window.partitionBy("key").orderBy("position")
     first, last = F.lag("key").over(order).isNull(), F.lead("key").over(order).isNull()
     head = F.concat(F.lit('{"source_video": '), "source", F.lit(f', "{name}": [\n'))
@@ -76,9 +85,16 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
 def store_previews(previews: DataFrame, path: str) -> None:
     """Previews by video; a video that is written again replaces its own partition only.
 
-    Rows are dealt by video first, so that a video has few files; a large one is split, small ones share a task.
+    Rows are dealt by video first, so that a video has few files; a large one is split, small ones are spread over all tasks (see ``tasks``).
     """
-    previews.hint("rebalance", "video_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").parquet(path)
+    rows = previews.repartition(tasks(previews.sparkSession), *_split(previews))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").parquet(path)
+
+
+def _split(previews: DataFrame) -> list[Column]:
+    """The video and, where frames are numbered, the run of ``FRAMES_PER_FILE`` frames that a row is in."""
+    runs = [F.expr(f"frame_index div {FRAMES_PER_FILE}")] if "frame_index" in previews.columns else []
+    return [F.col("video_id"), *runs]
 
 
 def preview_counts(previews: DataFrame) -> DataFrame:

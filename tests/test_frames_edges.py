@@ -165,3 +165,14 @@ def test_hashes_of_flat_and_symmetric_pictures_are_those_of_the_sql(spark, tmp_p
     for name in ("ph1_phash", "ph1_phash_arrow", "ph1_phash_reduced"):
         got = {r["frame_index"]: r["hash"] for r in QUERIES[name](spark, str(tmp_path)).collect()}
         assert got == dict(db.execute(ORACLES[name]).fetchall()), name
+
+
+def test_many_small_files_are_written_by_all_tasks(spark, tmp_path):
+    """However few bytes they are; a video still has one file."""
+    rows = spark.createDataFrame([(v, k, f"{k}") for v in range(40) for k in range(3)], "video_id long, position long, item string")
+    sinks.write_manifests(rows, str(tmp_path / "m"), "images")
+    sinks.store_previews(rows.withColumnRenamed("position", "frame_index"), str(tmp_path / "p"))
+    for folder, end in (("m", "txt"), ("p", "parquet")):
+        files = list((tmp_path / folder).glob(f"video_id=*/*.{end}"))
+        assert len(files) == 40 and len({f.name[:10] for f in files}) == 2, folder
+    assert {json.loads(r["value"])["source_video"] for r in sinks.read_manifests(spark, str(tmp_path / "m")).collect()} == set(range(40))
