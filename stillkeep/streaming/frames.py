@@ -14,6 +14,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from stillkeep.storage import shared_path
 
+RUN = 64  # buckets of time whose scenes share a state
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
@@ -52,33 +53,46 @@ def next_point(point: float, t: float, interval: float) -> float:
 
 
 class GridSampler(StatefulProcessor):
-    """The state of a scene is the next time of its grid; a timer drops it when no frame has come for ``wait`` milliseconds of event time."""
+    """The state of a run of scenes of one video is the next time of each scene's grid.
+
+    A scene is dropped when no frame of it has come for ``wait`` milliseconds of event time: by a timer that drops the run with its last scene, or
+    when another scene of the run gets frames after that. One read and one write of the state serve all scenes of a batch.
+    """
 
     def __init__(self, interval: float, wait: int):
         self.interval, self.wait = interval, wait
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.point = handle.getValueState("point", "point double")
+        self.grids = handle.getValueState("grids", "scenes array<string>, points array<double>, ends array<bigint>, timer bigint")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         frames = pd.concat(list(rows)).sort_values(["t", "frame_index"], kind="stable")
-        point = self.point.get()[0] if self.point.exists() else float(frames["start_time"].iloc[0])
-        taken = []
-        for k, t in enumerate(frames["t"].tolist()):
+        state = self.grids.get()
+        grids = {s: (p, e) for s, p, e in zip(state[0], state[1], state[2], strict=True)} if state else {}
+        mark = timerValues.getCurrentWatermarkInMs()
+        scenes, at = frames["scene_id"].astype(str).tolist(), frames["t"].to_numpy()
+        starts, ms = frames["start_time"].tolist(), (frames["ts"].astype("datetime64[us]").astype("int64") // 1000).tolist()
+        taken, latest = [], {}
+        for k, (scene, t, start, ts) in enumerate(zip(scenes, at.tolist(), starts, ms, strict=True)):
+            point = grids[scene][0] if scene in grids else start
             if t >= point:
                 taken.append(k)
                 point = next_point(point, t, self.interval)
-        self.point.update((point,))
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        latest = int(frames["ts"].max().timestamp() * 1000)
-        self.handle.registerTimer(max(latest, timerValues.getCurrentWatermarkInMs()) + self.wait)
+            latest[scene] = max(ts, latest.get(scene, mark))
+            grids[scene] = (point, latest[scene] + self.wait)
+        grids = {s: g for s, g in grids.items() if g[1] > mark}
+        timer = max(e for _, e in grids.values())
+        if not state or state[3] != timer:
+            if state:
+                self.handle.deleteTimer(state[3])
+            self.handle.registerTimer(timer)
+        self.grids.update((list(grids), [p for p, _ in grids.values()], [e for _, e in grids.values()], timer))
         out = frames.iloc[taken]
-        yield pd.DataFrame({"video_id": key[0], "scene_id": key[1], "frame_index": out["frame_index"], "t": out["t"]})
+        yield pd.DataFrame({"video_id": key[0], "scene_id": out["scene_id"], "frame_index": out["frame_index"], "t": out["t"]})
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.point.clear()
+        self.grids.clear()
         yield pd.DataFrame()
 
     def close(self) -> None:
@@ -93,11 +107,12 @@ def sampled_frames(frames: DataFrame, scenes: DataFrame, fps: float, delay: str
     batch, inside a batch they are sorted; one that comes after a later frame of its cell is no longer taken. State that the
     watermark has left by ``delay`` is dropped by a timer. The session needs the state store of ``state_store``.
     """
-    inside = in_scenes(frames.withWatermark("ts", delay), scenes, bucket).select("video_id", "scene_id", "start_time", "ts", "frame_index", "t")
+    run = F.floor(F.col("start_time") / F.lit(RUN * bucket)).alias("run")  # so that a long video spreads over the tasks
+    inside = in_scenes(frames.withWatermark("ts", delay), scenes, bucket).select("video_id", run, "scene_id", "start_time", "ts", "frame_index", "t")
     kinds = dict(inside.dtypes)
     shape = f"video_id {kinds['video_id']}, scene_id {kinds['scene_id']}, frame_index {kinds['frame_index']}, t double"
     sampler = GridSampler(1.0 / fps, int(pd.Timedelta(delay).total_seconds() * 1000))
-    return inside.groupBy("video_id", "scene_id").transformWithStateInPandas(sampler, shape, "append", "EventTime")
+    return inside.groupBy("video_id", "run").transformWithStateInPandas(sampler, shape, "append", "EventTime")
 
 
 @contextmanager

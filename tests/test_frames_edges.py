@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from stillkeep.functions import pixels_arrow
@@ -176,3 +177,32 @@ def test_many_small_files_are_written_by_all_tasks(spark, tmp_path):
         files = list((tmp_path / folder).glob(f"video_id=*/*.{end}"))
         assert len(files) == 40 and len({f.name[:10] for f in files}) == 2, folder
     assert {json.loads(r["value"])["source_video"] for r in sinks.read_manifests(spark, str(tmp_path / "m")).collect()} == set(range(40))
+
+
+def test_scenes_of_a_video_share_one_state():
+    """One read and one write of the state in a batch; a scene that the watermark has left by the wait goes, the others stay."""
+    calls, kept, timers = [], [], []
+
+    class Value:
+        get = staticmethod(lambda: calls.append("get") or (kept[-1] if kept else None))
+        update = staticmethod(lambda v: calls.append("update") or kept.append(v))
+
+    class Handle:
+        getValueState = staticmethod(lambda *_: Value())  # noqa: N815
+        registerTimer, deleteTimer = staticmethod(timers.append), staticmethod(timers.remove)  # noqa: N815
+
+    class Times:
+        getCurrentWatermarkInMs = staticmethod(lambda: mark)  # noqa: N815
+
+    def batch(*rows):
+        frames = pd.DataFrame(rows, columns=["scene_id", "start_time", "frame_index", "t"])
+        frames["ts"] = pd.to_datetime(frames["t"], unit="s")
+        return [(r.scene_id, r.frame_index) for out in sampler.handleInputRows((1, 0), iter([frames]), Times()) for r in out.itertuples()]
+
+    sampler, mark = streams.GridSampler(1.0, 10_000), 0
+    sampler.init(Handle())
+    assert batch((2, 5.0, 8, 6.5), (1, 0.0, 1, 0.0), (1, 0.0, 2, 0.5), (2, 5.0, 7, 5.0)) == [(1, 1), (2, 7), (2, 8)]
+    assert calls == ["get", "update"] and kept[-1][0] == ["1", "2"] and timers == [16_500]
+    mark = 12_000
+    assert batch((2, 5.0, 9, 6.9), (2, 5.0, 10, 7.0)) == [(2, 10)]
+    assert kept[-1][0] == ["2"] and timers == [22_000]
