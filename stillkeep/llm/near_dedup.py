@@ -248,7 +248,7 @@ def _block_links(num: int, den: int, as_sets: Sets) -> Callable[[Iterator[pa.Rec
 def _met(num: int, den: int, as_sets: Sets) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Compares the members of a chunk with each other and with their group's pivots, which are in every chunk.
 
-    Gives each member r, the first one of its component in the chunk, and its cell: d, how many threshold distances it lies from the
+    Gives each member r, the smallest one of its component in the chunk, and its cell: d, how many threshold distances it lies from the
     group's smallest node (0: linked with it), and s, its size in steps of the threshold. The Jaccard distance is a metric, so linked
     members are at most one step apart in d, and in s likewise.
     """
@@ -256,6 +256,7 @@ def _met(num: int, den: int, as_sets: Sets) -> Callable[[pd.DataFrame], pd.DataF
     step = math.log(den / num) * (1 + 1e-9) or 1.0
 
     def met(chunk: pd.DataFrame) -> pd.DataFrame:
+        chunk = chunk.sort_values("node")
         sets, node = as_sets(chunk["items"]), chunk["node"].to_numpy()
         of = int(np.flatnonzero(node == chunk["a"].to_numpy())[0])
         size = np.array([len(x) for x in sets], dtype=np.int64)
@@ -275,10 +276,10 @@ def _blocks(rows: DataFrame, keys: list[str], block: int, elements: int) -> Data
     return rows.groupBy(*keys).agg(most.cast("int").alias("blocks"))
 
 
-def _salted(rows: DataFrame, facts: DataFrame) -> DataFrame:
+def _salted(rows: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
     """``rows`` joined with the facts of their group a. A group may hold a third of all rows: it meets its facts in parts."""
     parts = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    return rows.withColumn("salt", _salt()).join(parts, ["a", "salt"]).drop("salt")
+    return rows.withColumn("salt", _salt()).join(parts, ["a", "salt"], how).drop("salt")
 
 
 def _salt() -> Column:
@@ -297,21 +298,25 @@ def _compared(groups: DataFrame, sets: DataFrame, num: int, den: int, as_sets: S
     members = groups.join(sets.select("node", "n"), "node")
     parts = stored(members.groupBy("a", _salt().alias("salt")).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.min("node").alias("node")), "parts")
     most = F.greatest(F.ceil(F.sum("k") / block), F.ceil(F.sum("n") / elements)).cast("int")
-    sizes = stored(parts.groupBy("a").agg(most.alias("blocks")), "sizes")
-    sized = stored(_salted(members, sizes), "sized")
+    sizes = stored(parts.groupBy("a").agg(most.alias("blocks")).where("blocks > 1"), "sizes")
     none = F.lit(0)
+    in_blocks = lambda placed: _block_rows(placed, sets).mapInArrow(_block_links(num, den, as_sets), "u bigint, v bigint")
+    one = F.xxhash64(none, "a").alias("block")
+    if sizes.isEmpty():
+        return in_blocks(groups.select("node", one))
+    sized = stored(_salted(groups, sizes, "left"), "sized")
     upto = lambda n: F.explode(F.sequence(none, F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), n).cast("int")
-    whole = sized.where("blocks = 1").select("node", F.xxhash64(none, "a").alias("block"))
-    pivots = parts.join(sizes.where("blocks > 1"), "a").select("a", "node", "blocks", F.lit(True).alias("pivot"))
+    whole = sized.where("blocks IS NULL").select("node", one)
+    pivots = parts.join(sizes, "a").select("a", "node", "blocks", F.lit(True).alias("pivot"))
     spread = pivots.select("a", "node", "pivot", upto("blocks").alias("chunk"))
-    dealt = sized.where("blocks > 1").join(pivots.select("a", "node"), ["a", "node"], "left_anti")
+    dealt = sized.where("blocks IS NOT NULL").join(pivots.select("a", "node"), ["a", "node"], "left_anti")
     dealt = dealt.select("a", "node", F.lit(False).alias("pivot"), F.pmod(F.xxhash64("node", F.lit(3)), "blocks").cast("int").alias("chunk"))
     chunks = dealt.unionByName(spread).join(sets.select("node", "items"), "node")
     shape = "a bigint, node bigint, pivot boolean, d int, s int, n bigint, r bigint"
     met = stored(chunks.groupBy("a", "chunk").applyInPandas(_met(num, den, as_sets), shape), "met")
     links = met.where("node <> r").select(F.col("r").alias("u"), F.col("node").alias("v"))
-    joined = components(links, "chunk_links")
+    joined = stored(components(links, "chunk_links"), "chunk_components")
     # a pivot has met its whole group
     rest = met.where("NOT pivot").join(joined, "node", "left").select("a", "node", "d", "s", "n", F.coalesce("component", "node").alias("c"))
     rest = stored(rest, "rest")
@@ -347,10 +352,16 @@ def _compared(groups: DataFrame, sets: DataFrame, num: int, den: int, as_sets: S
     right = rest.withColumnsRenamed(to).join(near.where(~same), ["a", *to.values()]).withColumn("j", own("l")).withColumn("i", upto("k"))
     ends = F.xxhash64(F.lit(2), *cell, *to.values(), "i", "j").alias("block")
     placed = whole.unionByName(strays).unionByName(left.select("node", ends)).unionByName(right.select("node", ends))
+    return in_blocks(placed).unionByName(joined.select(F.col("component").alias("u"), F.col("node").alias("v")))
+
+
+def _block_rows(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(block, node, items) in the order of blocks and nodes, each block in one task."""
     # two blocks under one hash are compared as one, which loses nothing; small blocks share a batch
     rows = placed.join(sets.select("node", "items"), "node").select("block", "node", "items")
-    found = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_block_links(num, den, as_sets), "u bigint, v bigint")
-    return found.unionByName(links)
+    return rows.repartition("block").sortWithinPartitions("block", "node")
+
+
 def linked_components(
     bands: DataFrame,
     sets_of: Callable[[DataFrame], DataFrame],

@@ -127,3 +127,23 @@ def test_a_large_group_of_near_copies_is_not_compared_by_all_pairs_of_blocks(spa
     assert got == _components({k: _sets(t) for k, t in enumerate(texts)}, 85, 100)
     rows = sum(int(f.read_text()) for f in tmp_path.iterdir())
     assert rows < 25 * len(texts), rows
+
+
+def test_overlapping_stars_take_few_rounds(spark, monkeypatch):
+    """What large groups give out: stars around small nodes, which share members. Tables written stand for rounds."""
+    rng = random.Random(2)
+    edges = [(a, v) for a in range(10) for v in rng.sample(range(100, 700), 300)] + [(800, v) for v in range(801, 1200)]
+    seen = []
+    monkeypatch.setattr(common, "stored", lambda df, tag, write=common.stored: seen.append(tag) or write(df, tag))
+    out = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert out == {x: 800 if x >= 800 else 0 for e in edges for x in e}
+    assert len(seen) < 15, len(seen)
+
+
+def test_groups_of_one_block_write_no_tables_of_chunks(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(near_dedup, "stored", lambda df, tag: seen.append(tag) or common.stored(df, tag))
+    docs = spark.createDataFrame(list(enumerate(_texts(7))), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(docs, words=3, num=85).collect()}
+    assert got == _components({k: _sets(t) for k, t in enumerate(_texts(7))}, 85, 100)
+    assert "groups" in seen and not {"met", "cells"} & set(seen)
