@@ -312,7 +312,8 @@ def _compared(groups: DataFrame, sets: DataFrame, num: int, den: int, as_sets: S
     spread = pivots.select("a", "node", "pivot", upto("blocks").alias("chunk"))
     dealt = sized.where("blocks IS NOT NULL").join(pivots.select("a", "node"), ["a", "node"], "left_anti")
     dealt = dealt.select("a", "node", F.lit(False).alias("pivot"), F.pmod(F.xxhash64("node", F.lit(3)), "blocks").cast("int").alias("chunk"))
-    chunks = dealt.unionByName(spread).join(sets.select("node", "items"), "node")
+    # written first, so that sets are not shuffled for a few members
+    chunks = stored(dealt.unionByName(spread), "chunks").join(sets.select("node", "items"), "node")
     shape = "a bigint, node bigint, pivot boolean, d int, s int, n bigint, r bigint"
     met = stored(chunks.groupBy("a", "chunk").applyInPandas(_met(num, den, as_sets), shape), "met")
     links = met.where("node <> r").select(F.col("r").alias("u"), F.col("node").alias("v"))
