@@ -178,18 +178,23 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """A side of a join that grows with the files: judged by its packed file, a table many times as large would go to all tasks through the driver."""
+    return rows.hint("merge")
+
+
 def scored_units(distinct: DataFrame, df: DataFrame, total: int, template: DataFrame) -> DataFrame:
     """The best template of each unit. distinct: (unit), its tokens with a space between. Returns unit, template, score."""
     idf = lambda df: F.log((1.0 + total) / (1.0 + df)) + 1.0
     words = distinct.select("unit", F.explode(F.split("unit", " ")).alias("token")).groupBy("unit", "token").agg(F.count(F.lit(1)).alias("tf"))
-    wanted = spread(df.join(words.select("token").distinct(), "token", "left_semi"))
-    weighted = salted(words, "unit").join(wanted, ["token", "salt"]).select("unit", "token", (F.col("tf") * idf(F.col("df"))).alias("w"))
+    wanted = spread(df.join(shuffled(words.select("token").distinct()), "token", "left_semi"))
+    weighted = salted(words, "unit").join(shuffled(wanted), ["token", "salt"]).select("unit", "token", (F.col("tf") * idf(F.col("df"))).alias("w"))
     norm = weighted.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = (
         weighted.join(F.broadcast(template), "token")  # a fixed table of a few hundred rows
         .groupBy("unit", "template")
         .agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-        .join(norm, "unit")
+        .join(shuffled(norm), "unit")
         .select("unit", "template", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
     )
     best = F.min(F.struct(-F.col("score"), F.col("template"))).alias("best")
@@ -227,7 +232,7 @@ def license_scan(files: DataFrame, threshold: float = 0.6, cover: float = 0.5) -
     shape = T.StructType([*base.schema.fields[:2], *(T.StructField(c, t) for c, t in FOUND)])
     heads = stored(base.select("doc_id", "path", F.xxhash64("text").alias("own"), "text").mapInArrow(_finder(idf, threshold), shape), "headers")
     scores = stored(scored_units(heads.select("unit").distinct(), df, total, template).where(F.col("score") >= threshold), "scores")
-    hits = salted(heads, "doc_id", "path").join(spread(scores), ["unit", "salt"]).drop("salt").where(F.col("score") >= F.col("need"))
+    hits = salted(heads, "doc_id", "path").join(shuffled(spread(scores)), ["unit", "salt"]).drop("salt").where(F.col("score") >= F.col("need"))
     named = F.coalesce(F.upper(F.regexp_extract("path", r"([^/]*)$", 1)).rlike(r"^(LICEN[CS]E|COPYING)([.-].*)?$"), F.lit(False))
     covered = F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", F.col("end") - 1)))))  # hits may overlap
     own = stored(
@@ -251,7 +256,7 @@ def license_scan(files: DataFrame, threshold: float = 0.6, cover: float = 0.5) -
     above = places.select("dir", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth"))
     above = above.withColumn("ancestor", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/"))
     nearest = (
-        above.join(chosen.withColumnRenamed("dir", "ancestor"), "ancestor")
+        above.join(shuffled(chosen.withColumnRenamed("dir", "ancestor")), "ancestor")
         .groupBy("dir")
         .agg(F.max(F.struct("depth", "ancestor", "dir_license")).alias("near"))
         .select("dir", "near.ancestor", "near.dir_license")
@@ -259,8 +264,8 @@ def license_scan(files: DataFrame, threshold: float = 0.6, cover: float = 0.5) -
     # equal (doc_id, path, text) rows share one row of `own`
     rows = base.select("doc_id", "path", F.xxhash64("text").alias("own"), directory(F.col("path")).alias("dir"))
     same = rows["doc_id"].eqNullSafe(own["doc_id"]) & rows["path"].eqNullSafe(own["path"]) & (rows["own"] == own["own"])
-    joined = rows.join(own, same, "left").select(rows["doc_id"], rows["path"], rows["dir"], "own_license", "own_score", "is_license_file")
-    return joined.join(nearest, "dir", "left").select(
+    joined = rows.join(shuffled(own), same, "left").select(rows["doc_id"], rows["path"], rows["dir"], "own_license", "own_score", "is_license_file")
+    return joined.join(shuffled(nearest), "dir", "left").select(
         "doc_id",
         "path",
         "own_license",

@@ -146,3 +146,22 @@ def test_whole_licences(spark):
     assert [out[k]["own_license"] for k in range(len(rows))] == [n.removesuffix("-full") for n in FULL_TEXTS]
     assert all(r["is_license_file"] for r in out.values())
     assert licenses.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string, unit int").where("false")).count() == 0
+
+
+def test_no_table_that_grows_goes_through_the_driver(spark, capsys):
+    """Whatever Spark guesses of their sizes, only the templates are broadcast."""
+
+    def broadcasts(df):
+        df.explain()
+        return capsys.readouterr().out.count("BroadcastExchange")
+
+    files = [(k, f"/a/{k % 3}/x.py", "Released under the MIT License\ncode") for k in range(9)]
+    out = licenses.license_scan(spark.createDataFrame(files, "doc_id long, path string, text string"))
+    assert broadcasts(out) == 0
+    units = spark.createDataFrame([("released under the mit license",), ("under the mit",)], "unit string")
+    df = spark.createDataFrame([(t, 1) for t in "released under the mit license".split()], "token string, df long")
+    template = spark.createDataFrame([("MIT", t, 0.45) for t in "released under the mit license".split()], "template string, token string, tw double")
+    scores = licenses.scored_units(units, df, 9, template)
+    assert broadcasts(scores) == 1
+    assert {r["unit"] for r in scores.collect()} == {"released under the mit license", "under the mit"}
+    assert {r["license"] for r in out.collect()} == {"MIT"}
