@@ -18,36 +18,64 @@ from stillkeep.settings import TechnicalSettings
 MEASURES = ("sharpness", "exposure", "burned_pixels", "underexposed_pixels", "contrast", "motion_blur", "global_score")
 
 
+PIXELS_AT_ONCE = 1 << 18  # pictures of one size are measured together up to so many pixels
+
+
 def grey(rgb: bytes, width: int, height: int) -> np.ndarray:
-    p = np.frombuffer(rgb, np.uint8).reshape(height, width, 3).astype(np.float64)
-    return np.floor(p[:, :, 0] * 0.299 + p[:, :, 1] * 0.587 + p[:, :, 2] * 0.114 + 0.5)
+    """The grey picture of one preview, or those of several of this size whose bytes follow each other as a stack."""
+    p = np.frombuffer(rgb, np.uint8).reshape(-1, height, width, 3).astype(np.float64)
+    g = np.floor(p[..., 0] * 0.299 + p[..., 1] * 0.587 + p[..., 2] * 0.114 + 0.5)
+    return g if len(g) > 1 else g[0]
 
 
 def _score(x: float, low: float, high: float) -> float:
     return min(1.0, max(0.0, (x - low) / (high - low)))
 
 
+def _bordered(g: np.ndarray) -> np.ndarray:
+    return np.pad(g, [(0, 0)] * (g.ndim - 2) + [(1, 1)] * 2, mode="reflect")
+
+
 def laplacian(g: np.ndarray) -> np.ndarray:
-    p = np.pad(g, 1, mode="reflect")
-    return p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * g
+    p = _bordered(g)
+    return p[..., :-2, 1:-1] + p[..., 2:, 1:-1] + p[..., 1:-1, :-2] + p[..., 1:-1, 2:] - 4 * g
 
 
 def technical(g: np.ndarray, s: TechnicalSettings) -> dict[str, float]:
+    return technicals(g[None], s)[0]
+
+
+def technicals(g: np.ndarray, s: TechnicalSettings) -> list[dict[str, float]]:
+    """The measures of each picture of a stack; each picture's sums run as they would for it alone."""
+    flat = lambda x: x.reshape(len(x), -1)
     unit = g / 255
-    p = np.pad(unit, 1, mode="reflect")
-    across = p[:-2] + 2 * p[1:-1] + p[2:]
-    down = p[:, :-2] + 2 * p[:, 1:-1] + p[:, 2:]
-    mx, my = np.abs(across[:, 2:] - across[:, :-2]).mean(), np.abs(down[2:] - down[:-2]).mean()
-    out = {
-        "sharpness": _score(laplacian(g).var() * (s.luma_scale / 255) ** 2, s.sharpness_min_variance, s.sharpness_good_variance),
-        "exposure": min(1.0, max(0.0, 1 - abs(unit.mean() - s.exposure_target) / s.exposure_max_deviation)),
-        "burned_pixels": 1 - _score((unit >= s.burned_pixel_threshold).mean(), 0, s.burned_pixels_max_fraction),
-        "underexposed_pixels": 1 - _score((unit <= s.underexposed_pixel_threshold).mean(), 0, s.underexposed_pixels_max_fraction),
-        "contrast": _score(unit.std(), s.contrast_min_stddev, s.contrast_good_stddev),
-        "motion_blur": 0.0 if mx + my <= s.motion_blur_min_gradient else 1 - _score(abs(mx - my) / (mx + my), 0, s.motion_blur_max_anisotropy),
-    }
-    total = sum(s.weights[k] for k in out)
-    return out | {"global_score": sum(v * s.weights[k] for k, v in out.items()) / total}
+    p = _bordered(unit)
+    across = p[:, :-2] + 2 * p[:, 1:-1] + p[:, 2:]
+    down = p[:, :, :-2] + 2 * p[:, :, 1:-1] + p[:, :, 2:]
+    sums = (
+        flat(laplacian(g)).var(1) * (s.luma_scale / 255) ** 2,
+        flat(unit).mean(1),
+        flat(unit >= s.burned_pixel_threshold).mean(1),
+        flat(unit <= s.underexposed_pixel_threshold).mean(1),
+        flat(unit).std(1),
+        flat(np.abs(across[:, :, 2:] - across[:, :, :-2])).mean(1),
+        flat(np.abs(down[:, 2:] - down[:, :-2])).mean(1),
+    )
+    made = []
+    for sharpness, mean, burned, under, contrast, mx, my in zip(*(x.tolist() for x in sums), strict=True):
+        out = {
+            "sharpness": _score(sharpness, s.sharpness_min_variance, s.sharpness_good_variance),
+            "exposure": min(1.0, max(0.0, 1 - abs(mean - s.exposure_target) / s.exposure_max_deviation)),
+            "burned_pixels": 1 - _score(burned, 0, s.burned_pixels_max_fraction),
+            "underexposed_pixels": 1 - _score(under, 0, s.underexposed_pixels_max_fraction),
+            "contrast": _score(contrast, s.contrast_min_stddev, s.contrast_good_stddev),
+            "motion_blur": 0.0 if mx + my <= s.motion_blur_min_gradient else 1 - _score(abs(mx - my) / (mx + my), 0, s.motion_blur_max_anisotropy),
+        }
+        weighted = 0.0
+        for k, v in out.items():  # one after the other, as in SQL; sum() would carry what rounding loses
+            weighted += v * s.weights[k]
+        made.append(out | {"global_score": weighted / sum(s.weights[k] for k in out)})
+    return made
 
 
 def box_sharpness(g: np.ndarray, box: tuple[float, float, float, float]) -> float:
@@ -99,44 +127,53 @@ def resized(g: np.ndarray, width: int, height: int) -> np.ndarray:
 
 
 def phash(g: np.ndarray, size: int, factor: int) -> np.ndarray:
-    """size x size bits, row-major: reduce to factor * size, DCT, low frequencies against their median without the first.
+    return phashes(g[None], size, factor)[0]
+
+
+def phashes(g: np.ndarray, size: int, factor: int) -> np.ndarray:
+    """size x size bits of each picture of a stack, row-major: reduce to factor * size, DCT, low frequencies against their median without the first.
 
     The sums run in order, along the rows and then down the columns, as in ``pixels.dct`` and in SQL: of frequencies that are equal but for
     rounding, a matrix product would put others above the median, and others again on another machine.
     """
     n = size * factor
     m = np.array(cosine_matrix(n))[:size]
-    small = np.rint(resized(g, n, n)) if g.shape != (n, n) else g
-    rows, low = np.zeros((n, size)), np.zeros((size, size))
+    small = np.stack([np.rint(resized(x, n, n)) for x in g]) if g.shape[1:] != (n, n) else g
+    rows, low = np.zeros((len(g), n, size)), np.zeros((len(g), size, size))
     for x in range(n):
-        rows += small[:, x, None] * m[:, x]
+        rows += small[:, :, x, None] * m[:, x]
     for y in range(n):
-        low += m[:, y, None] * rows[y]
-    low = low.ravel()
-    return low > (np.median(low[1:]) if len(low) > 1 else 0.0)
+        low += m[:, y, None] * rows[:, y, None]
+    low = low.reshape(len(g), -1)
+    return low > (np.median(low[:, 1:], axis=1, keepdims=True) if low.shape[1] > 1 else 0.0)
 
 
 def scored_frames(frames: DataFrame, settings: TechnicalSettings, hash_size: int = 8, reduce_factor: int = 4) -> DataFrame:
     """video_id, frame_index, width, height, rgb -> the measures, the hash as words of 64 bits, error.
 
-    Only scores and hashes leave; pixels are dropped at once. error is null or invalid_preview, with null scores.
+    Only scores and hashes leave; pixels are dropped at once. error is null or invalid_preview, with null scores. Previews of one
+    size in a batch are measured together, in stacks of about ``PIXELS_AT_ONCE`` pixels.
     """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in (*MEASURES, "hash", "error")}
-            for w, h, rgb in zip(*(batch.column(c).to_pylist() for c in ("width", "height", "rgb")), strict=True):
-                if not w or not h or w <= 0 or h <= 0 or rgb is None or len(rgb) != w * h * 3:
-                    for k in (*MEASURES, "hash"):
-                        out[k].append(None)
-                    out["error"].append("invalid_preview")
-                    continue
-                g = grey(rgb, w, h)
-                for k, v in technical(g, settings).items():
-                    out[k].append(v)
-                bits = np.packbits(phash(g, hash_size, reduce_factor), bitorder="little")
-                out["hash"].append(np.pad(bits, (0, -len(bits) % 8)).view("<i8").tolist())
-                out["error"].append(None)
+            n = batch.num_rows
+            out: dict[str, list] = {k: [None] * n for k in (*MEASURES, "hash")} | {"error": ["invalid_preview"] * n}
+            pictures = batch.column("rgb").to_pylist()
+            sizes: dict[tuple[int, int], list[int]] = {}
+            for k, (w, h, rgb) in enumerate(zip(batch.column("width").to_pylist(), batch.column("height").to_pylist(), pictures, strict=True)):
+                if w and h and w > 0 and h > 0 and rgb is not None and len(rgb) == w * h * 3:
+                    sizes.setdefault((w, h), []).append(k)
+            for (w, h), rows in sizes.items():
+                step = max(1, PIXELS_AT_ONCE // (w * h))
+                for own in (rows[a : a + step] for a in range(0, len(rows), step)):
+                    g = grey(b"".join(pictures[k] for k in own), w, h).reshape(-1, h, w)
+                    bits = np.packbits(phashes(g, hash_size, reduce_factor), axis=1, bitorder="little")
+                    words = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view("<i8").tolist()
+                    for k, measures, word in zip(own, technicals(g, settings), words, strict=True):
+                        for name, v in measures.items():
+                            out[name][k] = v
+                        out["hash"][k], out["error"][k] = word, None
             arrays = [pa.array(out[k], pa.float64()) for k in MEASURES]
             arrays += [pa.array(out["hash"], pa.list_(pa.int64())), pa.array(out["error"], pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["video_id", "frame_index", *MEASURES, "hash", "error"])

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from stillkeep.llm.common import stored, table
 from stillkeep.llm.license_texts import FULL_TEXTS
+from stillkeep.storage import shuffled
 
 # Short statements by which well-known licences are named in headers and licence files; whole texts and notices follow.
 TEMPLATES = {
@@ -178,11 +179,6 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
-def shuffled(rows: DataFrame) -> DataFrame:
-    """A side of a join that grows with the files: judged by its packed file, a table many times as large would go to all tasks through the driver."""
-    return rows.hint("merge")
-
-
 def scored_units(distinct: DataFrame, df: DataFrame, total: int, template: DataFrame) -> DataFrame:
     """The best template of each unit. distinct: (unit), its tokens with a space between. Returns unit, template, score."""
     idf = lambda df: F.log((1.0 + total) / (1.0 + df)) + 1.0

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from stillkeep.storage import stored
+from stillkeep.storage import shuffled, stored
 
 
 @dataclass(frozen=True)
@@ -99,7 +99,7 @@ def duplicate_pairs(candidates: DataFrame, similarity: Similarity, window: float
         return marked.select("video_id", "_b", F.col("_k.band").alias("_band"), F.col("_k.value").alias("_value"), inside.alias(name))
 
     near = slim.withColumn("_own", F.col("_b")).withColumn("_b", F.explode(F.array(F.col("_b"), F.col("_b") + 1)))
-    pairs = placed(near, "l").join(placed(slim.withColumn("_own", F.col("_b")), "r"), keys)
+    pairs = placed(near, "l").join(shuffled(placed(slim.withColumn("_own", F.col("_b")), "r")), keys)
     once = (F.col("l._own") < F.col("r._own")) | (F.col("l.rank") < F.col("r.rank"))
     if bands:
         shared = F.zip_with("l._values", "r._values", lambda a, b: a == b)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stillkeep.storage import tasks
+
 RANGE = 86_400.0  # seconds of a video that one task passes over at least
 
 
@@ -43,11 +45,18 @@ def sample_fast(frames_in_scene: DataFrame, fps: float) -> DataFrame:
 
 
 def _grid_points(interval: float, width: float, block: int = 1 << 16) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The points of each scene's grid with the range that each is in; the last point before a range stands in that range too."""
+    """The points of each scene's grid with the range that each is in; the last point before a range stands in that range too.
+
+    Points of many short scenes leave together, some ``block`` at a time.
+    """
+
+    def made(batch: pa.RecordBatch, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        scene, *rest = (pa.array(np.concatenate(x)) for x in zip(*held, strict=True))
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(scene) for c in ("video_id", "scene_id")), *rest], ["video_id", "scene_id", "cell", "t", "_part"])
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [batch.column(c) for c in ("video_id", "scene_id")]
+            held, size = [], 0
             for k, (start, end) in enumerate(zip(batch.column("start_time").to_pylist(), batch.column("end_time").to_pylist(), strict=True)):
                 point, cell = start, 0
                 while point is not None:
@@ -60,11 +69,15 @@ def _grid_points(interval: float, width: float, block: int = 1 << 16) -> Callabl
                     n = np.maximum(until - part[:own], 0) + 1
                     which = np.repeat(np.arange(own), n)
                     parts = part[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                    take = pa.array(np.full(len(which), k))
-                    columns = [*(c.take(take) for c in keys), pa.array(which + cell), pa.array(t[which]), pa.array(parts)]
-                    yield pa.RecordBatch.from_arrays(columns, ["video_id", "scene_id", "cell", "t", "_part"])
+                    held.append((np.full(len(which), k), which + cell, t[which], parts))
+                    size += len(which)
+                    if size >= block:
+                        yield made(batch, held)
+                        held, size = [], 0
                     cell += own
                     point = float(t[own]) if own == len(t) - 1 and t[own] < end else None
+            if held:
+                yield made(batch, held)
 
     return points
 
@@ -72,13 +85,15 @@ def _grid_points(interval: float, width: float, block: int = 1 << 16) -> Callabl
 def sample_exact(frames_in_scene: DataFrame, scenes: DataFrame, fps: float, width: float = RANGE) -> DataFrame:
     """The first frame at or after each point of the grid start, start + 1/fps, ... summed up as a sequential sampler does.
 
-    The points are bit-equal to repeated addition: a task sums up its scenes' grids in blocks. Frames find their cell by an as-of pass over
+    The points are bit-equal to repeated addition: a task sums up its scenes' grids in blocks; scenes are dealt to all tasks. Frames find their cell by an as-of pass over
     each ``width`` seconds of a scene, the last point running, so a long scene spreads over all tasks; the first frames of cells of
     two ranges meet in a second, small step.
     """
     kinds = dict(scenes.dtypes)
     shape = f"video_id {kinds['video_id']}, scene_id {kinds['scene_id']}, cell bigint, t double, _part bigint"
-    points = scenes.where("end_time > start_time").select("video_id", "scene_id", "start_time", "end_time").mapInArrow(_grid_points(1.0 / fps, width), shape)
+    grids = scenes.where("end_time > start_time").select("video_id", "scene_id", "start_time", "end_time")
+    # few bytes, so that all scenes may lie in one file, but many points
+    points = grids.repartition(tasks(scenes.sparkSession), "video_id", "scene_id").mapInArrow(_grid_points(1.0 / fps, width), shape)
     both = frames_in_scene.withColumns({"_kind": F.lit(1), "_part": F.floor(F.col("t") / F.lit(width))}).unionByName(points.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
     order = Window.partitionBy("video_id", "scene_id", "_part").orderBy("t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     celled = both.withColumn("cell", F.last("cell", ignorenulls=True).over(order)).where("_kind = 1")

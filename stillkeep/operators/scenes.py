@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stillkeep.storage import shuffled
+
 
 def content_change(frames: DataFrame, signature: Column) -> DataFrame:
     """Mean absolute difference of each frame's small signature (array of int) to the frame before; null for the first.
@@ -81,6 +83,6 @@ def boundaries_to_scenes(videos: DataFrame, boundaries: DataFrame) -> DataFrame:
 def detect_scenes(frames: DataFrame, value: str, threshold: float, window: int, least: float, min_frames: int) -> DataFrame:
     """All steps from a value per frame (video_id, frame_index, t) to scenes; a video ends a second after its last frame."""
     cuts = min_scene_length(adaptive_cuts(frames, value, threshold, window, least), min_frames)
-    at = cuts.join(frames.select("video_id", "frame_index", "t"), ["video_id", "frame_index"])
+    at = cuts.join(shuffled(frames.select("video_id", "frame_index", "t")), ["video_id", "frame_index"])
     ends = frames.groupBy("video_id").agg((F.max("t") + 1.0).alias("duration"))
     return boundaries_to_scenes(ends, at)

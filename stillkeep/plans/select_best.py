@@ -13,7 +13,7 @@ from stillkeep.operators.selection import decide
 from stillkeep.plans.scoring import Providers, score_videos
 from stillkeep.settings import CompositeSettings, DedupSettings, FaceSettings, SamplingSettings, SceneSettings, SelectionSettings, TechnicalSettings
 from stillkeep.sources.sinks import store_previews
-from stillkeep.storage import stored
+from stillkeep.storage import shuffled, stored
 
 
 def with_known(candidates: DataFrame, scenes: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def select_from_previews(
     sampled = sample_exact(assign_scene(frames.drop(content), scenes), scenes, sampling.fps)
     wanted = stored(sampled.drop("scene_start", "scene_end", "cell"), "sampled")
     scored = score_videos(wanted, providers, technical, face, composite, dedup.hash_size, reduce_factor).where("error IS NULL").drop("error", "n_faces")
-    candidates = wanted.join(stored(scored, "scored"), ["video_id", "frame_index"])
+    candidates = wanted.join(shuffled(stored(scored, "scored")), ["video_id", "frame_index"])
     return select_candidates(candidates, scenes, hamming(dedup.hash_size**2, words=True), dedup, selection)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stillkeep.settings import ExportSettings
+from stillkeep.storage import tasks
 
 FRAMES_PER_FILE = 10_000  # of one video in a preview store
 
@@ -49,18 +50,19 @@ def selection_items(selected: DataFrame, settings: ExportSettings, scores: Colum
     return selected.select("video_id", F.col("selection_rank").alias("position"), F.to_json(image, _NULLS).alias("item"))
 
 
-def tasks(spark: SparkSession) -> int:
-    """How many tasks share a write of many small files: adaptive execution goes by bytes and would leave them to a few."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+RECORD = "\x1e"  # stands before each JSON text of a sequence (RFC 7464), inside one it is always escaped
 
 
-def write_manifests(items: DataFrame, path: str, name: str, videos: DataFrame | None = None) -> None:
-    """One JSON file for each video, ``{"source_video": ..., name: [the items by position]}``, in the folder of the video.
+def write_manifests(items: DataFrame, path: str, name: str, videos: DataFrame | None = None, bundled: bool = False) -> None:
+    """One JSON text for each video, ``{"source_video": ..., name: [the items by position]}``, as a file in the folder of the video.
 
     A task writes its videos' items line by line in order and holds none of them, however many a video has. Making a file costs more than
     its few lines, so videos are dealt to all tasks (see ``tasks``). The job's commit publishes all
     files at once; a job that fails leaves none, and a video that is written again replaces its own file only. Videos of ``videos``
     (video_id) without items get an empty list, null ids are left out.
+
+    bundled: the same texts, those of a task's videos in one file as a sequence of JSON texts, for so many videos that a file and a folder for
+    each would cost more than all else (some 24 ms to make, as much to list and read). ``path`` must be new: no video in it can be replaced.
     """
     rows = items.select("video_id", "position", "item")
     if videos is not None:
@@ -71,14 +73,19 @@ def write_manifests(items: DataFrame, path: str, name: str, videos: DataFrame |
     rows = rows.repartition(tasks(rows.sparkSession), "key")
     order = Window.partitionBy("key").orderBy("position")
     first, last = F.lag("key").over(order).isNull(), F.lead("key").over(order).isNull()
-    head = F.concat(F.lit('{"source_video": '), "source", F.lit(f', "{name}": [\n'))
+    head = F.concat(F.lit((RECORD if bundled else "") + '{"source_video": '), "source", F.lit(f', "{name}": [\n'))
     line = F.concat(F.when(first, head).otherwise(""), F.coalesce("item", F.lit("")), F.when(last, "\n]}").otherwise(","))
     lines = rows.select(F.col("key").alias("video_id"), line.alias("value"))
+    if bundled:
+        lines.select("value").write.text(path)
+        return
     lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").text(path)
 
 
-def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """(value, video_id): each video's manifest as one text."""
+def read_manifests(spark: SparkSession, path: str, bundled: bool = False) -> DataFrame:
+    """(value, video_id): each video's manifest as one text; of ``bundled`` ones the value alone."""
+    if bundled:
+        return spark.read.text(path, lineSep=RECORD).where("value <> ''")  # nothing stands before a file's first record
     return spark.read.text(path, wholetext=True)
 
 

@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def tasks(spark: SparkSession) -> int:
+    """How many tasks share work that its bytes do not show, as many small files: adaptive execution goes by bytes and would leave it to a few."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
     """A new folder name under spark.checkpoint.dir.
 
@@ -39,6 +44,11 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: judged by its packed file, a table many times as large would go to all tasks through the driver."""
+    return rows.hint("merge")
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table that ``stored`` wrote and that nothing reads any more.
 

@@ -2,12 +2,17 @@
 
 import json
 import random
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from stillkeep import queries
 from stillkeep.functions import pixels_arrow
 from stillkeep.operators import dedup, reports, sampling
 from stillkeep.plans.scoring import Providers, score_videos
@@ -206,3 +211,70 @@ def test_scenes_of_a_video_share_one_state():
     mark = 12_000
     assert batch((2, 5.0, 9, 6.9), (2, 5.0, 10, 7.0)) == [(2, 10)]
     assert kept[-1][0] == ["2"] and timers == [22_000]
+
+
+def test_bundled_manifests_hold_the_same_texts_in_few_files(spark, tmp_path):
+    """A file for each task instead of one for each video, whatever stands in a text; what is there is not overwritten."""
+    rows = [(v, k, json.dumps({"k": k, "note": f'a\n]}}\n\x1e"{v}'}, indent=k)) for v in ("a", 'b "c"', "d=e\x1e", *map(str, range(40))) for k in range(3)]
+    items = spark.createDataFrame(rows, "video_id string, position long, item string").repartition(5)
+    videos = spark.createDataFrame([("a",), ("empty",), (None,)], "video_id string")
+    one, many = str(tmp_path / "one"), str(tmp_path / "many")
+    sinks.write_manifests(items, many, "images", videos)
+    sinks.write_manifests(items, one, "images", videos, bundled=True)
+    texts = lambda df: sorted(r["value"].rstrip() for r in df.collect())
+    assert texts(sinks.read_manifests(spark, one, bundled=True)) == texts(sinks.read_manifests(spark, many))
+    made = {m["source_video"]: m["images"] for m in map(json.loads, texts(sinks.read_manifests(spark, one, bundled=True)))}
+    assert len(made) == 44 and made["empty"] == [] and [x["k"] for x in made["d=e\x1e"]] == [0, 1, 2]
+    assert len(list((tmp_path / "one").glob("*.txt"))) == 2 and len(list((tmp_path / "many").glob("*/*.txt"))) == 44
+    with pytest.raises(AnalysisException):
+        sinks.write_manifests(items, one, "images", bundled=True)
+    sinks.write_manifests(items.where("false"), str(tmp_path / "none"), "images", bundled=True)
+    assert sinks.read_manifests(spark, str(tmp_path / "none"), bundled=True).count() == 0
+
+
+def test_queries_of_manifests_make_no_file_for_each_video(spark, tmp_path, monkeypatch):
+    paths = []
+    path = queries.shared_path
+    monkeypatch.setattr(queries, "shared_path", lambda *a: paths.append(path(*a)) or paths[-1])
+    d = "/root/testdata/sf0.001"
+    for name in ("snk1_candidate_manifest", "snk2_selection_manifest", "snk2_scores_from_previews"):
+        assert QUERIES[name](spark, d).count() > 0
+        folder = Path(paths[-1].removeprefix("file:"))
+        assert len(list(folder.rglob("*.txt"))) == 2, name  # as many as there are shuffle partitions
+
+
+def test_grids_of_short_scenes_leave_together():
+    scenes = [(v, s, float(s), s + 2.5) for v in range(100) for s in range(10)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*scenes, strict=True)], ["video_id", "scene_id", "start_time", "end_time"])
+    out = list(sampling._grid_points(1.0, 5.0)(iter([batch])))
+    assert len(out) == 1
+    small = list(sampling._grid_points(1.0, 5.0, block=4)(iter([batch])))
+    rows = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert rows == [tuple(r.values()) for b in small for r in b.to_pylist()]
+    want = [(v, s, c, s + float(c), p) for v, s, a, b in scenes for c in range(3) for p in range(int((a + c) // 5), int(min(a + c + 1, b) // 5) + 1)]
+    assert rows == want
+
+
+def test_previews_are_measured_together_as_each_alone(spark, monkeypatch):
+    """Stacks of one size give what each picture gives, bit for bit; one that is not whole costs the others nothing."""
+    rng, rows = np.random.default_rng(5), []
+    for k in range(60):
+        w, h = ((8, 8), (11, 5), (1, 4), (20, 16))[k % 4]
+        rgb = bytearray(rng.integers(0, int(rng.integers(2, 257)), (h, w, 3), dtype=np.uint8).tobytes())
+        rows.append((1, k, w, h, None if k == 9 else rgb[:-1] if k == 13 else rgb))
+    s, calls = TechnicalSettings(), []
+    whole = pixels_arrow.technicals
+    monkeypatch.setattr(pixels_arrow, "technicals", lambda g, s: calls.append(len(g)) or whole(g, s))
+    schema = "video_id int, frame_index long, width int, height int, rgb binary"
+    batches = [pa.RecordBatch.from_pydict({c: [r[k] for r in rows] for k, c in enumerate(("video_id", "frame_index", "width", "height", "rgb"))})]
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, f, schema: list(f(iter(batches))))
+    out = [r for b in pixels_arrow.scored_frames(spark.createDataFrame([], schema), s) for r in b.to_pylist()]
+    assert sorted(calls) == [13, 15, 15, 15]
+    for (_, k, w, h, rgb), r in zip(rows, out, strict=True):
+        if k in (9, 13):
+            assert r["error"] == "invalid_preview" and r["hash"] is None and r["global_score"] is None
+            continue
+        g = pixels_arrow.grey(bytes(rgb), w, h)
+        assert {m: r[m] for m in pixels_arrow.MEASURES} == whole(g[None], s)[0] and r["error"] is None
+        bits = np.packbits(pixels_arrow.phash(g, 8, 4), bitorder="little")
+        assert r["hash"] == bits.view("<i8").tolist()
