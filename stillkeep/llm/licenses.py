@@ -167,7 +167,7 @@ def _finder(idf: dict[str, float], threshold: float) -> Callable[[Iterator[pa.Re
     return find
 
 
-SALTS = 16  # parts of a token or a unit that a large share of rows has
+SALTS = 16  # parts of a token, a unit or a directory that a large share of rows has
 
 
 def salted(rows: DataFrame, *by: str) -> DataFrame:
@@ -252,7 +252,8 @@ def license_scan(files: DataFrame, threshold: float = 0.6, cover: float = 0.5) -
     above = places.select("dir", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth"))
     above = above.withColumn("ancestor", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/"))
     nearest = (
-        above.join(shuffled(chosen.withColumnRenamed("dir", "ancestor")), "ancestor")
+        salted(above, "dir")  # all directories have the root above them
+        .join(shuffled(spread(chosen.withColumnRenamed("dir", "ancestor"))), ["ancestor", "salt"])
         .groupBy("dir")
         .agg(F.max(F.struct("depth", "ancestor", "dir_license")).alias("near"))
         .select("dir", "near.ancestor", "near.dir_license")
